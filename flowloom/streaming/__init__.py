@@ -1,0 +1,4 @@
+"""The engine assigns static demand: there is no streaming operator to offer.
+
+The package exists so that callers can rely on its name; nothing is exported.
+"""
