@@ -146,12 +146,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     def alike(pairs: DataFrame, label: str) -> DataFrame:
         return materialize(confirm(pairs, texts, percent, size), label)
 
-    stars = held.where("rep <> least").groupBy(F.col("least").alias("a"), F.col("rep").alias("b")).agg(F.first("n").alias("n"))
+    stars = materialize(held.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     one = stars.groupBy("b").agg(F.min("a").alias("a"))
     links = alike(one.select("a", "b"), "links")
     found = components(links)
-    tested = one.select("a", "b")
-    rest = _apart(stars.select("a", "b").join(tested, ["a", "b"], "left_anti"), found)
+    rest = _apart(stars.join(one, ["a", "b"], "left_anti"), found)
     more = alike(rest, "links")
     links = links.unionByName(more)
     found = components(links)
@@ -166,7 +165,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
         others = open_.where(F.col("level") <= at).select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), "level")
         able = F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent
         pairs = pivots.join(others, "key").where(able & (F.col("ac") != F.col("bc")) & ((F.col("level") < at) | (F.col("a") < F.col("b"))))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
         new = alike(pairs, "links")
         if not new.isEmpty():
             links = links.unionByName(new)
