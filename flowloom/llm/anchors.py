@@ -81,3 +81,17 @@ def anchors(prefix: Prefix, n: int, window: int, gram: int) -> tuple[np.ndarray,
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def chosen(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The places that are the least (leftmost of equal ones) of some ``width`` neighbours; of fewer values the least."""
+    n = len(hashes)
+    if n <= width:
+        return np.argmin(hashes, keepdims=True) if n else np.zeros(0, np.int64)
+    parts = []
+    for at in range(0, n - width + 1, PIECE):
+        piece = hashes[at : at + PIECE + width - 1]
+        local = np.arange(len(piece), dtype=np.uint64)
+        least = sliding_least((piece & ~INDEX) | local, width) & INDEX
+        parts.append(at + least[np.concatenate([[True], least[1:] != least[:-1]])].astype(np.int64))
+    return np.unique(np.concatenate(parts))

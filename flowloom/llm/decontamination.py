@@ -184,24 +184,50 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     nothing; repeated rows are answered each; an empty benchmark gives no rows.  The
     benchmark is taken in blocks of ``block_rows`` items, each against all documents.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "item_id", "first_word", "n_words", "similarity"]
     schema = f"`{id_col}` {kind}, item_id long, first_word long, n_words long, similarity double"
     rows = docs.select(id_col, text_col)
     out = None
     for block in item_blocks(benchmark, item_id, item_text, block_rows):
-        shared = spark.sparkContext.broadcast(Items(block, min_words))
+        find = _finder(docs, block, min_words, similarity)
 
-        def run(batches, shared=shared):
-            items, hasher = shared.value, WordHasher()
+        def run(batches, find=find):
+            search = find()
             for batch in batches:
-                found = []
-                for doc, text in zip(batch[id_col], batch[text_col]):
-                    words = hasher.hashes(WORD.findall((text or "").lower()))
-                    found += [(doc, items.ids[i], b, n, s) for i, b, n, s in matches(words, items, similarity)]
+                found = [(doc, *m) for doc, text in zip(batch[id_col], batch[text_col]) for m in search(text)]
                 yield pd.DataFrame(found, columns=names)
 
         part = rows.mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    return rows.limit(0).mapInPandas(lambda batches: iter(()), schema) if out is None else out
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 8, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_rows: int = 20_000) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text holds no item of the benchmark; no shuffle."""
+    for block in item_blocks(benchmark, item_id, item_text, block_rows):
+        find = _finder(docs, block, min_words, similarity)
+
+        def run(batches, find=find):
+            search = find()
+            for batch in batches:
+                yield batch[[not search(t) for t in batch[text_col]]]
+
+        docs = docs.mapInPandas(run, docs.schema)
+    return docs
+
+
+def _finder(docs: DataFrame, block: list[tuple[int, str]], min_words: int, similarity: float):
+    """Broadcasts a block of items; what is returned makes, on an executor, a search of one text."""
+    shared = docs.sparkSession.sparkContext.broadcast(Items(block, min_words))
+
+    def make():
+        items, hasher = shared.value, WordHasher()
+
+        def search(text: str | None) -> list[tuple[int, int, int, float]]:
+            words = hasher.hashes(WORD.findall((text or "").lower()))
+            return [(items.ids[i], b, n, s) for i, b, n, s in matches(words, items, similarity)]
+
+        return search
+
+    return make

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language, licenses, near_duplicates, packing, pii, repeats, urls
+from . import decontamination, fingerprints, language, licenses, near_duplicates, packing, passages, pii, repeats, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out())
     model = language.fit(docs.where(~F.col("held_out")))
@@ -58,6 +62,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_shared_passages": op1_shared_passages,
     "op2_language_id": op2_language_id,
     "op3_url_filters": op3_url_filters,
     "op4_suffix_repeats": op4_suffix_repeats,

@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Prefix, anchors
+from .bitmaps import bitmap, held as may_hold
 from .common import discard, materialize
 from .words import mix
 
 GRAM = 128
 BLOCK = 16
-BITMAP_BITS = 1 << 25
 ID = ["doc", "key"]
 
 
@@ -62,16 +62,6 @@ def runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInPandas(run, ", ".join(f"{n} long" for n in names))
 
 
-def bitmap(keys: DataFrame) -> np.ndarray:
-    """A set of keys as a bitmap of fixed size, which may hold more keys but lacks none."""
-    bit = F.pmod(F.col("key"), F.lit(BITMAP_BITS))
-    words = keys.select(bit.alias("at")).select(F.expr("at div 64").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
-    out = np.zeros(BITMAP_BITS // 64, np.int64)
-    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        out[r["word"]] = r["bits"]
-    return out.view(np.uint64)
-
-
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, with_kept: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row, and with ``with_kept`` the bytes.
 
@@ -126,9 +116,7 @@ def _texts(rows: DataFrame, kind: str, some: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            place = batch["key"].to_numpy().astype(np.int64) % BITMAP_BITS
-            held = (shared.value[place // 64] >> (place % 64).astype(np.uint64)) & np.uint64(1)
-            data = [None if h else _bytes(t) for h, t in zip(held, batch["text"])]
+            data = [None if h else _bytes(t) for h, t in zip(may_hold(shared.value, batch["key"]), batch["text"])]
             yield pd.DataFrame(
                 {
                     "_id": batch["_id"],
