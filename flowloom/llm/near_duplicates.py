@@ -13,7 +13,7 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
@@ -123,12 +123,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     with nothing; rows of one id count as one document; a null id has no component.
 
     Documents of equal sets are one class.  In each table every class is first compared
-    with the class of the smallest id there.  Tables that still hold several components
-    are then worked through by pivots: classes fall into levels by a hash of their id, a
-    quarter as many in each higher one, and from the top level down each class is compared
-    with all of its tables that lie in other components and whose size allows a link.  So
-    every pair of a table is either compared or already connected, without pairs inside
-    what is connected.
+    with the class of the smallest id there.  What tables with several components are
+    left is settled exactly: shingles that no other class of those tables has can't be in
+    an intersection, so with u of a class's n shingles its own, it is linked with nothing
+    if 100 * (n - u) < percent * n, and two classes aren't linked if their n - u and
+    n + u of the other rule it out.  Each table's remaining classes are compared with its
+    class of the smallest share of own shingles, then the pairs that are still apart and
+    not ruled out are compared, each in the first table that holds both.
     """
     m = hashes_each(percent / 100)
     signed = materialize(signatures(docs, m, size, id_col, text_col), "signatures")
@@ -155,24 +156,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     links = links.unionByName(more)
     found = components(links)
 
-    level = F.floor((F.length(F.regexp_extract(F.lpad(F.bin(F.xxhash64("rep").bitwiseAND(F.lit((1 << 40) - 1))), 40, "0"), "(0*)$", 1))) / 2)
-    open_ = _open_tables(held, found).withColumn("level", level.cast("int"))
-    open_ = materialize(open_, "open")
-    discard(held)
-    levels = [r["level"] for r in open_.select("level").distinct().collect()]  # twenty at most
-    for at in sorted(levels, reverse=True):
-        pivots = open_.where(F.col("level") == at).select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
-        others = open_.where(F.col("level") <= at).select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), "level")
-        able = F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent
-        pairs = pivots.join(others, "key").where(able & (F.col("ac") != F.col("bc")) & ((F.col("level") < at) | (F.col("a") < F.col("b"))))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-        new = alike(pairs, "links")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            found = components(links)
-            open_ = materialize(_relabel(open_.where(F.col("level") < at), found), "open")
-        else:
-            open_ = open_.where(F.col("level") < at)
+    open_ = materialize(_open_tables(held, found), "open")
+    if not open_.isEmpty():
+        own = _own_shingles(texts.join(open_.select("rep").distinct(), "rep", "left_semi"), size)
+        able = open_.join(own, "rep").where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
+        able = materialize(_mixed(able), "able")
+        central = able.groupBy("key").agg(F.min_by(F.struct("rep", "n", "own", "component"), F.struct(F.col("own") / F.col("n"), "rep")).alias("c"))
+        pairs = able.join(central, "key").where((F.col("component") != F.col("c.component")) & _may_link("n", "own", "c.n", "c.own", percent))
+        pairs = pairs.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+        tested = materialize(stars.unionByName(pairs).distinct(), "tested")
+        links = links.unionByName(alike(tested.join(stars, ["a", "b"], "left_anti"), "links"))
+        found = components(links)
+
+        halves = materialize(classes.select("rep", "halves").join(able.select("rep").distinct(), "rep", "left_semi"), "halves")
+        able = materialize(_mixed(_relabel(able, found)).join(halves, "rep"), "apart")
+        left = able.select("key", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "own", "component", "halves")))
+        right = able.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "own", "component", "halves")))
+        apart = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & _may_link("n_a", "own_a", "n_b", "own_b", percent)
+        pairs = left.join(right, (left["key"] == right["key"]) & apart & (left["key"] == _first_key("halves_a", "halves_b", m)))
+        pairs = pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).join(tested, ["a", "b"], "left_anti")
+        links = links.unionByName(alike(pairs, "links"))
+        found = components(links)
 
     named = signed.where("n_shingles > 0").groupBy("set_id", "n_shingles").agg(F.min("doc_id").alias("rep"))
     named = named.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", "n_shingles", F.coalesce("component", "rep").alias("component"))
@@ -204,3 +208,40 @@ def _open_tables(held: DataFrame, found: DataFrame) -> DataFrame:
     named = _relabel(held.select("rep", "n", "key"), found)
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held"))
     return named.join(mixed.where("low <> high and held > 2").select("key"), "key", "left_semi")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of the tables that hold several components."""
+    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return rows.join(mixed.select("key"), "key", "left_semi")
+
+
+def _may_link(n: str, own: str, other_n: str, other_own: str, percent: int) -> Column:
+    """Whether the most that two sets can share suffices, and so does the least that they hold together."""
+    shared = F.least(F.col(n) - F.col(own), F.col(other_n) - F.col(other_own))
+    every = F.greatest(F.col(n) + F.col(other_own), F.col(other_n) + F.col(own))
+    return 100 * shared >= percent * every
+
+
+def _first_key(a: str, b: str, m: int) -> Column:
+    """The key of the first table that holds both, by their hashes in either collection."""
+
+    def first(start: int) -> Column:
+        same = F.zip_with(F.slice(a, start, m), F.slice(b, start, m), lambda x, y: F.when(x == y, x))
+        return F.get(F.filter(same, lambda x: x.isNotNull()), F.lit(0))
+
+    return F.xxhash64(first(1), first(m + 1))
+
+
+def _own_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """(rep, own): how many shingles of a class no other of these texts has."""
+
+    def run(batches):
+        shingler = Shingler(size)
+        for batch in batches:
+            yield pd.DataFrame({"rep": batch["rep"], "shingles": [shingler.shingles(t).view(np.int64) for t in batch["text"]]})
+
+    rows = texts.select("rep", "text").mapInPandas(run, "rep long, shingles array<long>").select("rep", F.explode("shingles").alias("shingle"))
+    single = rows.groupBy("shingle").agg(F.min("rep").alias("rep"), F.count("*").alias("held")).where("held = 1")
+    counts = single.groupBy("rep").agg(F.count("*").alias("single"))
+    return texts.select("rep").join(counts, "rep", "left").select("rep", F.coalesce("single", F.lit(0)).alias("own"))
