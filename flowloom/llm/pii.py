@@ -1,8 +1,8 @@
 """Personal data by weak supervision.
 
 Exact patterns find e-mail addresses, IP addresses, payment cards and phone numbers; these
-base spans always stay.  Further candidates (long runs that hold a digit, as credentials
-do) are voted on by labelers: a regex of published key formats, a gazetteer of words that
+base spans always stay.  Further candidates (long runs of letters and digits, as
+credentials are) are voted on by labelers: a regex of published key formats, a gazetteer of words that
 name credentials, the context before the run and its shape.  Expectation-maximisation
 estimates how reliable each labeler is from their agreement alone; its beliefs train a
 logistic span classifier, which decides.
@@ -75,14 +75,16 @@ def base_spans(text: str) -> list[Span]:
 FORMATS = re.compile(r"AKIA[0-9A-Z]{16}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{24,}")
 NAMES = frozenset("token password passwd pwd secret key apikey api_key auth bearer credential credentials access_key private_key".split())
 BEFORE = re.compile(r"([A-Za-z_]+)?\s*([=:]?)\s*[\"']?\Z")
+#: Ten letters of one case in a row are words rather than a key.
+PROSE = re.compile(r"[a-z]{10}|[A-Z]?[a-z]{9}")
 LABELERS = ("format", "gazetteer", "context", "shape")
 
 
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Runs of 16 or more word characters with a digit, outside the base spans."""
+    """Runs of 16 or more word characters with a digit and a letter, outside the base spans."""
     out = []
     for m in CANDIDATE.finditer(text):
-        if any(map(str.isdigit, m[0])) and not any(a < m.end() and m.start() < b for _, a, b in taken):
+        if any(map(str.isdigit, m[0])) and any(map(str.isalpha, m[0])) and not any(a < m.end() and m.start() < b for _, a, b in taken):
             out.append(m.span())
     return out
 
@@ -92,12 +94,12 @@ def votes(text: str, start: int, end: int) -> list[int]:
     run = text[start:end]
     m = BEFORE.search(text, max(0, start - 40), start)
     name, sign = (m[1] or "").lower(), m[2]
-    letters = sum(map(str.isalpha, run))
+    digits = sum(map(str.isdigit, run)) / len(run)
     return [
-        1 if FORMATS.fullmatch(run) else -1,
-        1 if name in NAMES else -1 if sign else 0,
-        1 if sign else -1 if name in NAMES else 0,
-        1 if letters and 0.15 <= 1 - letters / len(run) else 0,
+        1 if FORMATS.fullmatch(run) else 0 if PROSE.search(run) else -1,
+        1 if name in NAMES else 0 if name and sign else -1,
+        1 if sign else 0 if PROSE.search(run) else -1,
+        1 if digits >= 0.2 or run.isupper() else 0,
     ]
 
 
