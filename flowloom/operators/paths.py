@@ -113,10 +113,10 @@ def search_trips(demand: DataFrame, held: Adjacency, cost: np.ndarray) -> DataFr
 
 
 def by_source(demand: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Demand dealt out so that the trips of a source share a task, but for sources over 1/4096 of all trips' share of slots."""
+    """Demand dealt out so that the trips of a source share a task, at most 65536 of them in one."""
     spark = demand.sparkSession
     tasks = tasks or max(spark.sparkContext.defaultParallelism, 1)
-    salt = F.floor(F.col("trip_id") / 65536)  # trips of a source are numbered together: at most 65536 of them in a task
+    salt = F.floor(F.col("trip_id") / 65536)  # trips of a source are numbered together
     return demand.repartition(tasks, "source", salt)
 
 
