@@ -60,11 +60,30 @@ shingles AS (
   SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
   FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM words WHERE len(w) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
-common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both >= 85 * (x.n + y.n - both)),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN links ON a = other)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
 FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
 """
 
-ORACLES = {"op3_url_filters": OP3, "op7_near_duplicates": OP7, "op10_license_scan": OP10}
+OP4 = """
+WITH digits AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS s
+  FROM (SELECT doc_id, h, unnest(generate_series(0, len(h) // 2 - 400)) AS i FROM digits WHERE len(h) >= 800)),
+twice AS (SELECT s FROM starts GROUP BY 1 HAVING count(*) > 1),
+hits AS (SELECT doc_id, i, i > coalesce(lag(i) OVER w + 400, -1) AS fresh FROM starts JOIN twice USING (s) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 400 AS b
+  FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hits) GROUP BY doc_id, r),
+gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER w, 0) AS x, a AS y FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT doc_id, max(b), len(any_value(h)) // 2 FROM runs JOIN digits USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS k FROM gaps JOIN digits USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM digits LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op3_url_filters": OP3, "op4_suffix_repeats": OP4, "op7_near_duplicates": OP7, "op10_license_scan": OP10}
