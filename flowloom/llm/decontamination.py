@@ -23,8 +23,8 @@ from .words import WordHasher, mix
 WORD = re.compile(r"\w+")
 SHINGLE = 5
 BLOCKS, BLOCK_BITS, RADIUS = 4, 16, 3
-SMALLEST = 6
-CHUNK = 100_000
+SMALLEST, LARGEST = 6, 12288
+CHUNK = 16_384
 
 
 def size_class(n: int) -> int:
@@ -32,10 +32,11 @@ def size_class(n: int) -> int:
 
     Window and half-window stride together fit in 0.7 of a short item and, from 46 words
     on, where the similarity allows an edit inside, in 0.45 of it.
+    No class is over LARGEST, whose counts still fit in 16 bits.
     """
     room = (0.45 if n >= 46 else 0.7) * n
     size = SMALLEST
-    while 2 * size + size - 1 <= room:
+    while 2 * size + size - 1 <= room and size < LARGEST:
         size *= 2
     return size
 
@@ -49,15 +50,16 @@ def window_prints(feature: np.ndarray, starts: np.ndarray, size: int, sums: np.n
     """SimHash of the windows of ``size`` words at ``starts``: each bit is the majority of its pairs' bits."""
     sums = bit_sums(feature) if sums is None else sums
     width = size - 1
-    ones = sums[starts + width] - sums[starts]
-    return np.packbits(2 * ones > width, axis=1, bitorder="little").view("<u8")[:, 0]
+    ones = sums.take(starts + width, axis=0)
+    ones -= sums.take(starts, axis=0)  # may wrap around, but a window's count doesn't
+    return np.packbits(ones > width // 2, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
 def bit_sums(feature: np.ndarray) -> np.ndarray:
-    """Running sums of the features' bits, from a first row of zeros."""
+    """Running sums of the features' bits modulo 2^16, from a first row of zeros."""
     bits = np.unpackbits(feature.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    out = np.zeros((len(feature) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=out[1:])
+    out = np.zeros((len(feature) + 1, 64), np.int16)
+    np.cumsum(bits, axis=0, dtype=np.int16, out=out[1:])
     return out
 
 
@@ -139,32 +141,69 @@ class Items:
         return np.concatenate(left), np.concatenate(right)
 
 
-def matches(words: np.ndarray, items: Items, similarity: float) -> list[tuple[int, int, int, float]]:
-    """(item, first word, words, similarity), the best place of each item that a document holds."""
-    found: dict[int, tuple[float, int]] = {}
-    tried: set[tuple[int, int]] = set()
+class _Best:
+    """The best place of each item that a document holds."""
+
+    def __init__(self, words: np.ndarray, items: Items, similarity: float):
+        self._words, self._items, self._similarity = words, items, similarity
+        self._tried: set[tuple[int, int]] = set()
+        self._found: dict[int, tuple[float, int]] = {}
+
+    def verify(self, item: int, start: int) -> None:
+        n = self._items.words[item]
+        begin = max(0, min(start, len(self._words) - n))
+        if (item, begin) in self._tried:
+            return
+        self._tried.add((item, begin))
+        here = counted(shingles(self._words[begin : begin + n]))
+        s = weighted_similarity(self._items.counts[item], here, self._items.weight)
+        if s >= self._similarity and (s, -begin) > self._found.get(item, (0.0, 0)):
+            self._found[item] = (s, -begin)
+
+    def rows(self) -> list[tuple[int, int, int, float]]:
+        return [(self._items.ids[i], -b, self._items.words[i], s) for i, (s, b) in sorted(self._found.items())]
+
+
+def matches(texts: list[np.ndarray], items: Items, similarity: float) -> list[list[tuple[int, int, int, float]]]:
+    """(item, first word, words, similarity) of the items that each text (word hashes) holds.
+
+    Texts are laid end to end in chunks, so that their windows are fingerprinted together;
+    no window crosses from one text to the next, a long text goes on in the next chunk.
+    """
+    best = [_Best(t, items, similarity) for t in texts]
     largest = max(items.classes, default=0)
-    for at in range(0, max(len(words) - 1, 0), CHUNK):
-        part = words[at : at + CHUNK + largest]
-        feature = features(part)
-        sums = bit_sums(feature)
-        for size in items.classes:
-            if len(part) < size:
-                continue
-            starts = np.arange(0, len(part) - size + 1, max(1, size // 2))
-            prints = window_prints(feature, starts, size, sums)
-            where, filed = items.within_radius(size, prints)
-            _, item, offset, _ = items.classes[size]
-            for i, start in set(zip(item[filed].tolist(), (at + starts[where] - offset[filed]).tolist())):
-                begin = max(0, min(start, len(words) - items.words[i]))
-                if (i, begin) in tried:
-                    continue
-                tried.add((i, begin))
-                here = counted(shingles(words[begin : begin + items.words[i]]))
-                s = weighted_similarity(items.counts[i], here, items.weight)
-                if s >= similarity and (s, -begin) > found.get(i, (0.0, 0)):
-                    found[i] = (s, -begin)
-    return [(i, -b, items.words[i], s) for i, (s, b) in sorted(found.items())]
+    parts: list[tuple[int, int, np.ndarray]] = []
+    held = 0
+    for k, words in enumerate(texts):
+        for at in range(0, max(len(words) - 1, 0), CHUNK):
+            part = words[at : at + CHUNK + largest]
+            parts.append((k, at, part))
+            held += len(part)
+            if held >= CHUNK:
+                _search(parts, items, best)
+                parts, held = [], 0
+    if parts:
+        _search(parts, items, best)
+    return [b.rows() for b in best]
+
+
+def _search(parts: list[tuple[int, int, np.ndarray]], items: Items, best: list[_Best]) -> None:
+    """Look up all windows of some stretches (text, place in it, words) and verify the hits."""
+    text, at = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
+    sizes = np.array([len(p[2]) for p in parts])
+    begin = np.cumsum(sizes) - sizes
+    feature = features(np.concatenate([p[2] for p in parts]))
+    sums = bit_sums(feature)
+    for size, (_, item, offset, _) in items.classes.items():
+        stride = max(1, size // 2)
+        counts = np.maximum((sizes - size) // stride + 1, 0) * (sizes >= size)
+        owner = np.repeat(np.arange(len(parts)), counts)
+        place = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)) * stride
+        where, filed = items.within_radius(size, window_prints(feature, begin[owner] + place, size, sums))
+        own = owner[where]
+        hits = zip(text[own].tolist(), item[filed].tolist(), (at[own] + place[where] - offset[filed]).tolist())
+        for k, i, start in sorted(set(hits)):
+            best[k].verify(i, start)
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_rows: int):
@@ -195,7 +234,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
         def run(batches, find=find):
             search = find()
             for batch in batches:
-                found = [(doc, *m) for doc, text in zip(batch[id_col], batch[text_col]) for m in search(text)]
+                found = [(doc, *m) for doc, own in zip(batch[id_col], search(batch[text_col])) for m in own]
                 yield pd.DataFrame(found, columns=names)
 
         part = rows.mapInPandas(run, schema)
@@ -211,22 +250,25 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: floa
         def run(batches, find=find):
             search = find()
             for batch in batches:
-                yield batch[[not search(t) for t in batch[text_col]]]
+                yield batch[[not own for own in search(batch[text_col])]]
 
         docs = docs.mapInPandas(run, docs.schema)
     return docs
 
 
 def _finder(docs: DataFrame, block: list[tuple[int, str]], min_words: int, similarity: float):
-    """Broadcasts a block of items; what is returned makes, on an executor, a search of one text."""
+    """Broadcasts a block of items; what is returned makes, on an executor, a search of texts."""
     shared = docs.sparkSession.sparkContext.broadcast(Items(block, min_words))
 
     def make():
         items, hasher = shared.value, WordHasher()
 
-        def search(text: str | None) -> list[tuple[int, int, int, float]]:
-            words = hasher.hashes(WORD.findall((text or "").lower()))
-            return [(items.ids[i], b, n, s) for i, b, n, s in matches(words, items, similarity)]
+        def search(texts) -> list[list[tuple[int, int, int, float]]]:
+            out = []
+            for at in range(0, len(texts), 500):
+                part = texts.iloc[at : at + 500]
+                out += matches([hasher.hashes(WORD.findall((t or "").lower())) for t in part], items, similarity)
+            return out
 
         return search
 
