@@ -3,7 +3,8 @@
 Two collections of ``m`` short hashes each (``ROWS`` MinHash values to a hash) stand for
 ``m * m`` tables: the key of a table is a pair of hashes, one of each collection.  So the
 MinHash values to compute grow with the root of the number of tables.  Candidates of a
-table are confirmed on their full sets of word shingles.
+table are confirmed on their full sets of word shingles; shingles that only one class has
+rule out, before any texts meet, what can't be linked.
 """
 
 from __future__ import annotations
