@@ -85,7 +85,8 @@ def signatures(docs: DataFrame, m: int, size: int, id_col: str, text_col: str) -
 def tables(classes: DataFrame, m: int) -> DataFrame:
     """(rep, n, keys): the table keys of each class that shares a hash of either collection with another class."""
     halves = classes.select("rep", "n_shingles", F.posexplode("halves").alias("slot", "half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("held")).where("held > 1").select("half")
+    # Written, so that the join deals both sides anew and Spark may split a frequent hash.
+    shared = materialize(halves.groupBy("half").agg(F.count("*").alias("held")).where("held > 1").select("half"), "shared")
     left = halves.join(shared, "half", "left_semi").groupBy("rep").agg(F.first("n_shingles").alias("n"), F.collect_list(F.struct("slot", "half")).alias("own"))
     first = F.filter("own", lambda x: x.slot < m)
     second = F.filter("own", lambda x: x.slot >= m)
@@ -138,8 +139,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     keyed = materialize(tables(classes, m), "tables")
     rows = keyed.select("rep", "n", F.explode("keys").alias("key"))
     least = rows.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("held")).where("held > 1")
+    least = materialize(least.select("key", "least"), "least")
     # (rep, n, key, least) of the tables with several classes
-    held = materialize(rows.join(least.select("key", "least"), "key"), "held")
+    held = materialize(rows.join(least, "key"), "held")
     discard(keyed)
     named = held.select("rep").distinct()
     plain = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
