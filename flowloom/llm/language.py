@@ -6,6 +6,7 @@ back to its character n-grams: the longest order of which some n-gram is known s
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -35,7 +36,7 @@ class Model:
         self.languages = sorted(counts)
         by_language = {lang: c.most_common() for lang, c in counts.items()}
         ranked = {lang: sorted(c, key=lambda x: (-x[1], x[0])) for lang, c in by_language.items()}
-        self.tables: list[dict[str, np.ndarray]] = [self._logs({k: Counter(dict(v[:max_words])) for k, v in ranked.items()})]
+        self.tables: list[dict[str, tuple[float, ...]]] = [self._logs({k: Counter(dict(v[:max_words])) for k, v in ranked.items()})]
         for order in ORDERS:
             held = {}
             for lang, pairs in ranked.items():
@@ -46,22 +47,27 @@ class Model:
                 held[lang] = Counter(dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:max_grams]))
             self.tables.append(self._logs(held))
 
-    def _logs(self, held: dict[str, Counter]) -> dict[str, np.ndarray]:
+    def _logs(self, held: dict[str, Counter]) -> dict[str, tuple[float, ...]]:
+        """Log frequencies by language relative to their mean, so that what is as frequent everywhere says nothing."""
         known = set().union(*held.values()) if held else set()
         sums = {lang: sum(c.values()) for lang, c in held.items()}
-        return {k: np.array([np.log((held[lang][k] + 0.5) / (sums[lang] + 0.5 * len(known))) for lang in self.languages]) for k in sorted(known)}
-
-    def score(self, word: str) -> np.ndarray:
-        """Log frequencies relative to their mean, so that unknown words say nothing."""
+        out = {}
+        for k in sorted(known):
+            logs = [math.log((held[lang][k] + 0.5) / (sums[lang] + 0.5 * len(known))) for lang in self.languages]
+            mean = sum(logs) / len(logs)
+            out[k] = tuple(x - mean for x in logs)
+        return out
+
+    def score(self, word: str) -> tuple[float, ...]:
+        """Of a known word its own scores, else the mean of its n-grams' of the longest order with a known one."""
         found = self.tables[0].get(word)
+        if found is not None:
+            return found
         for order, table in zip(ORDERS, self.tables[1:]):
-            if found is not None:
-                break
             logs = [table[g] for g in grams(word, order) if g in table]
-            found = np.mean(logs, axis=0) if logs else None
-        if found is None:
-            return np.zeros(len(self.languages))
-        return found - found.mean()
+            if logs:
+                return tuple(sum(x) / len(logs) for x in zip(*logs))
+        return (0.0,) * len(self.languages)
 
 
 def held_out(id_col: str = "doc_id"):
