@@ -27,14 +27,25 @@ SMALLEST, LARGEST = 6, 12288
 CHUNK = 16_384
 
 
-def size_class(n: int) -> int:
-    """The window size of an item of n words: 6 times a power of two, small enough for one edit and the stride.
+def clean_run(n: int, similarity: float) -> int:
+    """The exact run that an item of n words keeps at least in a place of the similarity.
 
-    Window and half-window stride together fit in 0.7 of a short item and, from 46 words
-    on, where the similarity allows an edit inside, in 0.45 of it.
+    An edit more than 4 words from the ends takes 4 shingles or more of the item and puts as
+    many others there; edits nearer to the ends take at most 4 words each.  All shingles
+    count alike here: those of many items weigh less, and edits of them alone may be more.
+    """
+    edits = int(max(n - SHINGLE + 1, 0) * (1 - similarity) / (1 + similarity) / (SHINGLE - 1) + 1e-9)
+    return -(-(n - 2 * (SHINGLE - 1) - edits) // (edits + 1))
+
+
+def size_class(n: int, similarity: float = 0.8) -> int:
+    """The window size of an item of n words: 6 times a power of two, so small that an edited copy holds a clean one.
+
+    Window and half-window stride together fit in the item's clean run; only items of which
+    that is under 8 words (as of the default similarity: under 16) have windows of 6 anyway.
     No class is over LARGEST, whose counts still fit in 16 bits.
     """
-    room = (0.45 if n >= 46 else 0.7) * n
+    room = clean_run(n, similarity)
     size = SMALLEST
     while 2 * size + size - 1 <= room and size < LARGEST:
         size *= 2
@@ -89,7 +100,7 @@ def counted(values: np.ndarray) -> dict[int, int]:
 class Items:
     """A block of benchmark items with their windows filed by block values."""
 
-    def __init__(self, items: list[tuple[int, str]], min_words: int):
+    def __init__(self, items: list[tuple[int, str]], min_words: int, similarity: float = 0.8):
         hasher = WordHasher()
         self.ids, self.words, self.counts = [], [], []
         prints: dict[int, list[tuple[np.ndarray, int]]] = {}
@@ -97,7 +108,7 @@ class Items:
             words = hasher.hashes(WORD.findall((text or "").lower()))
             if len(words) < max(min_words, SMALLEST):
                 continue
-            size = size_class(len(words))
+            size = size_class(len(words), similarity)
             starts = np.arange(len(words) - size + 1)
             prints.setdefault(size, []).append((window_prints(features(words), starts, size), len(self.ids)))
             self.ids.append(key)
@@ -258,7 +269,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: floa
 
 def _finder(docs: DataFrame, block: list[tuple[int, str]], min_words: int, similarity: float):
     """Broadcasts a block of items; what is returned makes, on an executor, a search of texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(Items(block, min_words))
+    shared = docs.sparkSession.sparkContext.broadcast(Items(block, min_words, similarity))
 
     def make():
         items, hasher = shared.value, WordHasher()

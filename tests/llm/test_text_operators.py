@@ -136,6 +136,28 @@ def test_blocks_find_every_print_within_the_radius():
     assert found == expected
 
 
+def test_long_items_with_scattered_edits():
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    hasher = D.WordHasher()
+    for n, edits in ((100, 2), (165, 3), (200, 4), (300, 6), (500, 10), (1000, 20)):
+        for _ in range(20):
+            item = [word() for _ in range(n)]
+            copy = list(item)
+            for i in range(1, edits + 1):
+                copy[i * n // (edits + 1)] = word()
+            before = [word() for _ in range(rng.randint(1, 99))]
+            words = hasher.hashes(before + copy + [word() for _ in range(50)])
+            ((found,),) = D.matches([words], D.Items([(7, " ".join(item))], 8), 0.8)
+            assert found[:3] == (7, len(before), n) and found[3] >= 0.8
+
+
+def test_window_and_stride_fit_in_the_clean_run():
+    for n in range(16, 3000):
+        size = D.size_class(n, 0.8)
+        assert size + size // 2 - 1 <= D.clean_run(n, 0.8)
+
+
 # Personal data
 
 PATTERNS = {
