@@ -6,7 +6,8 @@ a window: an item that stands in a document covers one of those windows at some
 Fingerprints of 64 bits are compared through four blocks of 16 bits: two that differ in
 at most three bits agree on a whole block, so looking each block up finds all of them.
 Each hit places the whole item in the document, and the weighted similarity of the word
-shingles of item and place decides.
+shingles of item and place decides.  Items too short for that are looked up as whole
+word sequences.
 """
 
 from __future__ import annotations
@@ -85,6 +86,14 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def sequences(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words by place."""
+    out = np.zeros(max(len(words) - n + 1, 0), np.uint64)
+    for k in range(n):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(out)])
+    return out
+
+
 def weighted_similarity(a: dict, b: dict, weight) -> float:
     """Sum of the smaller by the sum of the larger weighted counts."""
     both = sum(min(n, b[s]) * weight(s) for s, n in a.items() if s in b)
@@ -103,10 +112,13 @@ class Items:
     def __init__(self, items: list[tuple[int, str]], min_words: int, similarity: float = 0.8):
         hasher = WordHasher()
         self.ids, self.words, self.counts = [], [], []
+        self.short: dict[int, dict[int, list[int]]] = {}  # by number of words: the ids by hash
         prints: dict[int, list[tuple[np.ndarray, int]]] = {}
         for key, text in items:
             words = hasher.hashes(WORD.findall((text or "").lower()))
             if len(words) < max(min_words, SMALLEST):
+                if len(words):
+                    self.short.setdefault(len(words), {}).setdefault(int(sequences(words, len(words))[0]), []).append(key)
                 continue
             size = size_class(len(words), similarity)
             starts = np.arange(len(words) - size + 1)
@@ -130,6 +142,17 @@ class Items:
                 order = np.argsort(key, kind="stable")
                 filed.append((order, np.searchsorted(key[order], np.arange((1 << BLOCK_BITS) + 1, dtype=np.uint64))))
             self.classes[size] = (values, item, offset, filed)
+        self._sorted = {n: np.sort(np.fromiter(held, np.uint64, len(held))) for n, held in self.short.items()}
+
+    def exact(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(item, first word, words, 1.0) of the first place of each short item that the words hold."""
+        out = []
+        for n, values in self._sorted.items():
+            here = sequences(words, n)
+            at = np.flatnonzero(values[np.minimum(np.searchsorted(values, here), len(values) - 1)] == here)
+            found, first = np.unique(here[at], return_index=True)
+            out += [(key, int(at[i]), n, 1.0) for h, i in zip(found.tolist(), first.tolist()) for key in self.short[n][h]]
+        return out
 
     def weight(self, shingle: int) -> float:
         """Shingles that fewer items have weigh more; those of no item weigh as those of one."""
@@ -195,7 +218,7 @@ def matches(texts: list[np.ndarray], items: Items, similarity: float) -> list[li
                 parts, held = [], 0
     if parts:
         _search(parts, items, best)
-    return [b.rows() for b in best]
+    return [b.rows() + items.exact(t) for b, t in zip(best, texts)]
 
 
 def _search(parts: list[tuple[int, int, np.ndarray]], items: Items, best: list[_Best]) -> None:
@@ -230,8 +253,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     """(id, item_id, first_word, n_words, similarity) of each item that a document holds.
 
     Words are runs of letters, digits and underscores, lower-cased.  Items under
-    ``min_words`` words say too little and match nothing; null and empty texts hold
-    nothing; repeated rows are answered each; an empty benchmark gives no rows.  The
+    ``min_words`` words are found only as they are, word by word, at their first place;
+    items without words match nothing; null and empty texts hold nothing; repeated rows are answered each; an empty benchmark gives no rows.  The
     benchmark is taken in blocks of ``block_rows`` items, each against all documents.
     """
     kind = docs.schema[id_col].dataType.simpleString()

@@ -136,6 +136,24 @@ def test_blocks_find_every_print_within_the_radius():
     assert found == expected
 
 
+def test_short_items_are_found_exactly(spark):
+    rng = random.Random(9)
+    items = {i: [rng.choice("abc") for _ in range(1 + i % 7)] for i in range(24)} | {30: ["Who", "is", "it"], 31: []}
+    docs = {i: [rng.choice("abcd") for _ in range(rng.randint(0, 40))] for i in range(60)} | {70: ["well,", "WHO", "is", "it?"], 71: ["who", "was", "it"]}
+    expected = set()
+    for d, words in docs.items():
+        words = [w.strip(",?").lower() for w in words]
+        for i, item in items.items():
+            at = [k for k in range(len(words) - len(item) + 1) if words[k : k + len(item)] == [w.lower() for w in item]]
+            if item and at:
+                expected.add((d, i, at[0], len(item), 1.0))
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], SCHEMA)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    rows = D.contaminated(frame, bench).collect()
+    assert (70, 30, 1, 3, 1.0) in expected and len(rows) == len(expected) and {tuple(r) for r in rows} == expected
+    assert {r["doc_id"] for r in D.without_contaminated(frame, bench).collect()} == set(docs) - {x[0] for x in expected}
+
+
 def test_long_items_with_scattered_edits():
     rng = random.Random(8)
     word = lambda: f"w{rng.randrange(10**9)}"
