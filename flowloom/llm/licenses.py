@@ -2,11 +2,15 @@
 
 A text is reduced to a canonical form: copyright lines go, case folds, punctuation
 becomes single spaces and equivalent spellings take one form.  The SHA-256 of that
-form is joined with the digests of known license texts and notices.
+form is joined with the digests of known license texts and notices: the notices below
+and the whole texts in ``license_texts``.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +43,15 @@ KNOWN = [
     ),
 ]
 
+# Headings that the whole texts of short licenses go under.
+HEADINGS = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "The BSD 2-Clause License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "The BSD 3-Clause License"),
+    "ISC": ("ISC License", "The ISC License"),
+    "0BSD": ("Zero-Clause BSD", "BSD Zero Clause License", "Zero-Clause BSD License"),
+}
+
 # Spellings that count as the same word.
 SPELLINGS = [
     ("licenc", "licens"),
@@ -64,14 +77,30 @@ def canonical(text: Column) -> Column:
     return words
 
 
-def catalogue(spark, known=KNOWN) -> DataFrame:
-    """(digest, license) of the known texts, one row for each canonical form."""
+def whole_texts() -> list[tuple[str, str]]:
+    """(license, text) of the whole texts as published; the short ones also unwrapped, and with or without a heading and their rights."""
+    out = []
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        text, name = path.read_text(encoding="utf-8"), path.stem
+        if name not in HEADINGS:
+            out.append((name, text))
+            continue
+        for body in (text, re.sub(r"(?<!\n)\n(?!\n)", " ", text)):
+            out += [(name, f"{h}\n{r}\n{body}") for h in ("", *HEADINGS[name]) for r in ("", "All rights reserved.")]
+    return out
+
+
+def catalogue(spark, known=None) -> DataFrame:
+    """(digest, license) of the known texts (KNOWN and the whole texts if none are given), one row for each canonical form."""
+    known = KNOWN + whole_texts() if known is None else known
     rows = local_rows(spark, [{"license": n, "known": t} for n, t in known], {"license": "string", "known": "string"})
     return rows.select(F.sha2(canonical(F.col("known")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines: bool = True, broadcast_rows: int = 100_000) -> DataFrame:
-    """Every license text or notice that a document is or holds as a line.
+    """Every license text or notice of the catalogue that a document is or holds as a line.
+
+    A notice that is wrapped over lines, or a license text inside a longer text, is none.
 
     Returns (id, unit, line_no, license, digest): unit ``text`` with line 0 where the
     whole text is a known one, and, with ``lines``, unit ``line`` for each line of a

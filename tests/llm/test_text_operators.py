@@ -285,3 +285,17 @@ def test_licenses(spark):
     assert rows == {(1, "text", 0, "MIT"), (2, "line", 3, "Apache-2.0"), (3, "text", 0, "MIT"), (3, "line", 2, "MIT")}
     assert licenses.scan(frame.limit(0), licenses.catalogue(spark)).count() == 0
     assert licenses.scan(frame, licenses.catalogue(spark), broadcast_rows=0, lines=False).count() == 2
+
+
+def test_whole_license_texts(spark):
+    folder = licenses.Path(licenses.__file__).parent / "license_texts"
+    texts = {p.stem: p.read_text() for p in sorted(folder.glob("*.txt"))}
+    mit, bsd = texts["MIT"], texts["BSD-3-Clause"]
+    docs = {i: (name, text.upper().replace("LICENSE", "LICENCE")) for i, (name, text) in enumerate(texts.items())}
+    docs[50] = ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n" + mit)
+    docs[51] = ("MIT", "Copyright 2020 Someone\n" + "\n\n".join(" ".join(p.split()) for p in mit.split("\n\n")))
+    docs[52] = ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n" + bsd)
+    docs |= {60: (None, mit + "and more"), 61: (None, mit[:-20])}
+    frame = spark.createDataFrame([(k, t) for k, (_, t) in docs.items()], SCHEMA)
+    rows = licenses.scan(frame, licenses.catalogue(spark)).where("unit = 'text'").collect()
+    assert len(texts) == 12 and {(r["doc_id"], r["license"]) for r in rows} == {(k, n) for k, (n, _) in docs.items() if n}
