@@ -1,28 +1,35 @@
-"""Bitmaps of fixed size for leaving out rows before a join."""
+"""Bitmaps of bounded size for leaving out rows before a join."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 1 << 25
+#: 32 MB, the most that :func:`fitted` makes.
+MOST_BITS = 1 << 28
 
 
-def bitmap(keys: DataFrame) -> np.ndarray:
-    """The 64-bit numbers of the column ``key`` as 4 MB, which may hold more numbers but lacks none."""
-    at = F.pmod(F.col("key"), F.lit(BITS))
+def bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
+    """The 64-bit numbers of the column ``key`` as ``bits`` bits, which may hold more numbers but lack none."""
+    at = F.pmod(F.col("key"), F.lit(bits))
     words = keys.select(at.alias("at")).select(F.expr("at div 64").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
-    out = np.zeros(BITS // 64, np.int64)
-    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        out[r["word"]] = r["bits"]
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out.view(np.uint64)
 
 
-def held(bits: np.ndarray, keys: pd.Series) -> np.ndarray:
+def fitted(keys: DataFrame) -> np.ndarray:
+    """A bitmap with 16 bits for each key, as far as its size is bounded."""
+    return bitmap(keys, min(MOST_BITS, max(BITS, 1 << (16 * keys.count()).bit_length())))
+
+
+def held(bits: np.ndarray, keys) -> np.ndarray:
     """Whether the bitmap may hold each key."""
-    place = keys.to_numpy().astype(np.int64) % BITS
+    place = np.asarray(keys).astype(np.int64) % (64 * len(bits))
     return ((bits[place // 64] >> (place % 64).astype(np.uint64)) & np.uint64(1)).astype(bool)
 
 
@@ -32,6 +39,6 @@ def maybe_in(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield batch[held(shared.value, batch["key"])]
+            yield batch.filter(pa.array(held(shared.value, batch["key"].to_numpy(zero_copy_only=False))))
 
-    return rows.mapInPandas(run, rows.schema)
+    return rows.mapInArrow(run, rows.schema)
