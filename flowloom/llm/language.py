@@ -12,9 +12,12 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import map_columns
+
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
@@ -30,22 +33,11 @@ def grams(word: str, order: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies of words and n-grams by language, all of bounded number."""
-
-    def __init__(self, counts: dict[str, Counter], max_words: int, max_grams: int):
-        self.languages = sorted(counts)
-        by_language = {lang: c.most_common() for lang, c in counts.items()}
-        ranked = {lang: sorted(c, key=lambda x: (-x[1], x[0])) for lang, c in by_language.items()}
-        self.tables: list[dict[str, tuple[float, ...]]] = [self._logs({k: Counter(dict(v[:max_words])) for k, v in ranked.items()})]
-        for order in ORDERS:
-            held = {}
-            for lang, pairs in ranked.items():
-                c: Counter = Counter()
-                for word, n in pairs:
-                    for g in grams(word, order):
-                        c[g] += n
-                held[lang] = Counter(dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:max_grams]))
-            self.tables.append(self._logs(held))
+    """Log frequencies of words and n-grams by language, all of bounded number; ``counts`` are by order (0: words) and language."""
+
+    def __init__(self, counts: dict[int, dict[str, Counter]]):
+        self.languages = sorted(counts.get(0, {}))
+        self.tables: list[dict[str, tuple[float, ...]]] = [self._logs({lang: counts.get(order, {}).get(lang, Counter()) for lang in self.languages}) for order in (0, *ORDERS)]
 
     def _logs(self, held: dict[str, Counter]) -> dict[str, tuple[float, ...]]:
         """Log frequencies by language relative to their mean, so that what is as frequent everywhere says nothing."""
@@ -74,31 +66,50 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_language: int) -> DataFrame:
+    """(_lang, _text) of the ``docs_per_language`` rows of the smallest hash of id and text of each language.
+
+    Only rows under a hash bound that follows from the language's number of rows meet: about
+    ``docs_per_language`` and six standard deviations more, whatever the table holds.
+    """
+    rows = docs.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), F.xxhash64(id_col, text_col).alias("_hash")).where("_lang is not null and _text is not null")
+    bound = docs_per_language + 6 * math.sqrt(docs_per_language)
+    counts = rows.groupBy("_lang").agg(F.count("*").alias("_n"))
+    few = rows.join(counts, "_lang").where(F.col("_hash") / 2.0**64 + 0.5 < bound / F.col("_n")).dropDuplicates(["_lang", "_hash"])
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash"))
+    return few.withColumn("_rank", rank).where(F.col("_rank") <= docs_per_language).select("_lang", "_text")
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 1500, max_words: int = 20_000, max_grams: int = 6_000) -> Model:
     """Learn from at most ``docs_per_language`` labelled rows of each language.
 
-    They are those of the smallest hash of id and text.  ``max_words`` words of a
-    language and ``max_grams`` of its n-grams of each order are kept, the most frequent
-    ones.  Rows without a language or a text teach nothing.
+    They are those of the smallest hash of id and text; equal rows count once.
+    ``max_words`` words of a language and ``max_grams`` of its n-grams of each order are
+    kept, the most frequent ones in the whole sample.  Rows without a language or a text
+    teach nothing; an empty table gives a model without languages.
     """
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id", "_text"), "_id"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where("_lang is not null and _text is not null")
-    sample = rows.withColumn("_rank", rank).where(F.col("_rank") <= docs_per_language).select("_lang", "_text")
 
     def count(batches):
         for batch in batches:
-            found: dict[str, Counter] = {}
+            found: dict[tuple[str, int], Counter] = {}
             for lang, text in zip(batch["_lang"], batch["_text"]):
-                found.setdefault(lang, Counter()).update(words_of(text))
-            yield pd.DataFrame([(lang, w, n) for lang, c in found.items() for w, n in c.items()], columns=["lang", "word", "n"])
-
-    totals = sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    kept = totals.withColumn("_rank", best).where(F.col("_rank") <= 2 * max_words).select("lang", "word", "n")
-    counts: dict[str, Counter] = {}
-    for lang, word, n in kept.toLocalIterator():
-        counts.setdefault(lang, Counter())[word] = n
-    return Model(counts, max_words, max_grams)
+                found.setdefault((lang, 0), Counter()).update(words_of(text))
+            for (lang, _), words in list(found.items()):
+                for order in ORDERS:
+                    c = found[lang, order] = Counter()
+                    for word, n in words.items():
+                        for g in grams(word, order):
+                            c[g] += n
+            yield pd.DataFrame([(lang, order, w, n) for (lang, order), c in found.items() for w, n in c.items()], columns=["lang", "order", "gram", "n"])
+
+    held = sample(docs, id_col, text_col, lang_col, docs_per_language)
+    totals = held.mapInPandas(count, "lang string, order int, gram string, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
+    best = F.row_number().over(Window.partitionBy("lang", "order").orderBy(F.desc("n"), "gram"))
+    kept = totals.withColumn("_rank", best).where(F.col("_rank") <= F.when(F.col("order") == 0, max_words).otherwise(max_grams))
+    counts: dict[int, dict[str, Counter]] = {}
+    for lang, order, gram, n in kept.select("lang", "order", "gram", "n").toLocalIterator():
+        counts.setdefault(order, {}).setdefault(lang, Counter())[gram] = n
+    return Model(counts)
 
 
 class Scorer:
@@ -150,21 +161,34 @@ class Scorer:
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` (id, the columns named in ``keep``) with lang_pred and score, one row for each row, no shuffle.
 
-    The model's size is bounded by the parameters of :func:`fit`; it is broadcast.
+    The model's size is bounded by the parameters of :func:`fit`; it is broadcast.  Null
+    and empty texts and those without a letter are ``und`` with 0; ids may be null;
+    repeated rows are answered each; an empty table gives none.  A kept column named
+    like a result gives way to it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = list(dict.fromkeys([id_col, text_col, *keep]))
-    given = [c for c in names if c == id_col or c in keep]
+    given = [c for c in dict.fromkeys([id_col, *keep]) if c not in ("lang_pred", "score")]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([f"`{c}` {types[c]}" for c in given] + ["lang_pred string", "score double"])
 
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.predict(t) for t in batch[text_col]]
-            out = batch[given].copy()
-            out["lang_pred"] = [x for x, _ in found]
-            out["score"] = [float(s) for _, s in found]
-            yield out
+            found = [scorer.predict(t) for t in batch[text_col].to_pylist()]
+            yield {c: batch[c] for c in given} | {"lang_pred": [x for x, _ in found], "score": [float(s) for _, s in found]}
+
+    return map_columns(docs.select(*dict.fromkeys([*given, text_col])), run, schema)
+
+
+def identified(docs: DataFrame, model: Model, least: float, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is predicted with a score of ``least`` or more; that becomes ``lang_col``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            found = [scorer.predict(t) for t in batch[text_col].to_pylist()]
+            named = batch.set_column(batch.schema.get_field_index(lang_col), lang_col, pa.array([x for x, _ in found], pa.string()))
+            yield named.filter(pa.array([x != UNDETERMINED and s >= least for x, s in found], pa.bool_()))
 
-    return docs.select(*names).mapInPandas(run, schema)
+    return docs.mapInArrow(run, docs.schema)
