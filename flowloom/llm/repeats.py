@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .anchors import Prefix, anchors
 from .bitmaps import bitmap, held as may_hold
-from .common import discard, materialize
+from .common import by_name, discard, map_columns, materialize
 from .words import mix
 
 GRAM = 128
@@ -116,20 +116,18 @@ def _texts(rows: DataFrame, kind: str, some: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            data = [None if h else _bytes(t) for h, t in zip(may_hold(shared.value, batch["key"]), batch["text"])]
-            yield pd.DataFrame(
-                {
-                    "_id": batch["_id"],
-                    "doc": batch["doc"],
-                    "key": batch["key"],
-                    "n_bytes": pd.array([None if d is None else len(d) for d in data], "Int64"),
-                    "kept_sha256": [None if d is None else hashlib.sha256(d).hexdigest() for d in data],
-                    "text": [t or "" if d is None else None for d, t in zip(data, batch["text"])],
-                    "plain": data,
-                }
-            )
+            texts = batch["text"].to_pylist()
+            data = [None if h else _bytes(t) for h, t in zip(may_hold(shared.value, batch["key"].to_numpy()), texts)]
+            yield {
+                "_id": batch["_id"],
+                "doc": batch["doc"],
+                "key": batch["key"],
+                "n_bytes": [None if d is None else len(d) for d in data],
+                "kept_sha256": [None if d is None else hashlib.sha256(d).hexdigest() for d in data],
+                "text": [t or "" if d is None else None for d, t in zip(data, texts)],
+            }
 
-    return rows.mapInPandas(run, f"_id {kind}, doc long, key long, n_bytes long, kept_sha256 string, text string, plain binary").drop("plain")
+    return map_columns(rows, run, f"_id {kind}, doc long, key long, n_bytes long, kept_sha256 string, text string")
 
 
 def _contexts(opened: DataFrame, kept: DataFrame, length: int) -> DataFrame:
@@ -235,24 +233,22 @@ def _positions(contexts: DataFrame, again: DataFrame, length: int) -> DataFrame:
 
 def _cut(texts: DataFrame, spans: DataFrame, kind: str, length: int, id_col: str, with_kept: bool) -> DataFrame:
     """The answers: of texts with spans what remains of them, of the others the whole."""
-    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-
     def run(batches):
         for batch in batches:
             out = []
-            for doc, text, spans in zip(batch["_id"], batch["text"], batch["spans"]):
+            for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist()):
                 data = _bytes(text)
                 removed, n, at, pieces = 0, 0, 0, []
                 for a, b in _merged(spans, length):
                     pieces.append(data[at:a])
                     removed, n, at = removed + b - a, n + 1, b
                 kept = b"".join([*pieces, data[at:]])
-                out.append((doc, len(data), removed, n, hashlib.sha256(kept).hexdigest(), kept if with_kept and n else None))
-            yield pd.DataFrame(out, columns=[*names, "kept"])
+                out.append((len(data), removed, n, hashlib.sha256(kept).hexdigest(), kept if with_kept and n else None))
+            yield {"_id": batch["_id"]} | by_name(out, [c.split()[0] for c in RESULT.split(", ")])
 
     held = texts.where("text is not null").select("_id", *ID, "text").join(spans, ID, "left").select("_id", "text", "spans")
-    done = texts.where("text is null").select(F.col("_id").alias(id_col), "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256", F.lit(None).cast("binary").alias("kept"))
-    out = done.unionByName(held.mapInPandas(run, f"`{id_col}` {kind}, {RESULT}"))
+    done = texts.where("text is null").select("_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256", F.lit(None).cast("binary").alias("kept"))
+    out = done.unionByName(map_columns(held, run, f"_id {kind}, {RESULT}")).withColumnRenamed("_id", id_col)
     return out if with_kept else out.drop("kept")
 
 
