@@ -15,10 +15,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_columns
 from .words import WordHasher, mix
 
 WORD = re.compile(r"\w+")
@@ -240,53 +241,58 @@ def _search(parts: list[tuple[int, int, np.ndarray]], items: Items, best: list[_
             best[k].verify(i, start)
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_rows: int):
-    """The benchmark in blocks of about ``block_rows`` rows, each small enough to broadcast."""
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_rows: int, block_bytes: int):
+    """The benchmark in blocks of about ``block_rows`` rows or ``block_bytes`` bytes at most, each small enough to broadcast."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    n = -(-rows.count() // block_rows)
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(-(-count // block_rows), -(-size // block_bytes))
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
         yield [(r["id"], r["text"]) for r in part.orderBy("id", "text").collect()]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_rows: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_rows: int = 20_000, block_bytes: int = 8 << 20) -> DataFrame:
     """(id, item_id, first_word, n_words, similarity) of each item that a document holds.
 
     Words are runs of letters, digits and underscores, lower-cased.  Items under
-    ``min_words`` words are found only as they are, word by word, at their first place;
-    items without words match nothing; null and empty texts hold nothing; repeated rows are answered each; an empty benchmark gives no rows.  The
-    benchmark is taken in blocks of ``block_rows`` items, each against all documents.
+    ``min_words`` words (6 at least) are found only as they are, word by word, at their
+    first place; items without words match nothing; null and empty texts hold nothing;
+    ids may be null; repeated rows are answered each; an empty benchmark gives no rows.
+    The benchmark is taken in blocks of ``block_rows`` items and ``block_bytes`` bytes,
+    each against all documents.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, "item_id", "first_word", "n_words", "similarity"]
-    schema = f"`{id_col}` {kind}, item_id long, first_word long, n_words long, similarity double"
-    rows = docs.select(id_col, text_col)
+    schema = f"_id {kind}, item_id long, first_word long, n_words long, similarity double"
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     out = None
-    for block in item_blocks(benchmark, item_id, item_text, block_rows):
+    for block in item_blocks(benchmark, item_id, item_text, block_rows, block_bytes):
         find = _finder(docs, block, min_words, similarity)
 
         def run(batches, find=find):
             search = find()
             for batch in batches:
-                found = [(doc, *m) for doc, own in zip(batch[id_col], search(batch[text_col])) for m in own]
-                yield pd.DataFrame(found, columns=names)
+                found = [(i, *m) for i, own in enumerate(search(batch["_text"].to_pylist())) for m in own]
+                at, item, first, n, same = map(list, zip(*found)) if found else ([], [], [], [], [])
+                yield {"_id": batch["_id"].take(pa.array(at, pa.int64())), "item_id": item, "first_word": first, "n_words": n, "similarity": same}
 
-        part = rows.mapInPandas(run, schema)
+        part = map_columns(rows, run, schema)
         out = part if out is None else out.unionByName(part)
-    return rows.limit(0).mapInPandas(lambda batches: iter(()), schema) if out is None else out
+    if out is None:
+        out = map_columns(rows.limit(0), lambda batches: iter(()), schema)
+    return out.withColumnRenamed("_id", id_col)
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 8, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_rows: int = 20_000) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 8, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_rows: int = 20_000, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no item of the benchmark; no shuffle."""
-    for block in item_blocks(benchmark, item_id, item_text, block_rows):
+    for block in item_blocks(benchmark, item_id, item_text, block_rows, block_bytes):
         find = _finder(docs, block, min_words, similarity)
 
         def run(batches, find=find):
             search = find()
             for batch in batches:
-                yield batch[[not own for own in search(batch[text_col])]]
+                yield batch.filter(pa.array([not own for own in search(batch[text_col].to_pylist())], pa.bool_()))
 
-        docs = docs.mapInPandas(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs
 
 
@@ -297,10 +303,10 @@ def _finder(docs: DataFrame, block: list[tuple[int, str]], min_words: int, simil
     def make():
         items, hasher = shared.value, WordHasher()
 
-        def search(texts) -> list[list[tuple[int, int, int, float]]]:
+        def search(texts: list) -> list[list[tuple[int, int, int, float]]]:
             out = []
             for at in range(0, len(texts), 500):
-                part = texts.iloc[at : at + 500]
+                part = texts[at : at + 500]
                 out += matches([hasher.hashes(WORD.findall((t or "").lower())) for t in part], items, similarity)
             return out
 
