@@ -1,11 +1,13 @@
 """Personal data by weak supervision.
 
 Exact patterns find e-mail addresses, IP addresses, payment cards and phone numbers; these
-base spans always stay.  Further candidates (long runs of letters and digits, as
-credentials are) are voted on by labelers: a regex of published key formats, a gazetteer of words that
-name credentials, the context before the run and its shape.  Expectation-maximisation
-estimates how reliable each labeler is from their agreement alone; its beliefs train a
-logistic span classifier, which decides.
+base spans always stay, and so do bank account numbers (IBAN) whose check digits hold.
+Further candidates are credentials (runs of letters, digits and their usual punctuation)
+and personal names (neighbouring capitalised words).  For each of the two kinds labelers
+vote: a regex of published formats, a gazetteer, the context around the candidate and its
+shape, each on evidence of its own.  Expectation-maximisation estimates how reliable each
+labeler is from their agreement alone; its beliefs train a logistic span classifier for
+the kind, which decides.
 """
 
 from __future__ import annotations
@@ -17,11 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+from .common import by_name, discard, map_columns, materialize
+
+KINDS = ("email", "ip", "card", "phone", "iban", "secret", "name")
 BASE = KINDS[:4]
+LEARNT = KINDS[5:]
 Span = tuple[str, int, int]
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -31,7 +37,9 @@ LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{16,}")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+RUN = re.compile(r"(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/.-]{8,}(?:={1,2}(?![A-Za-z0-9=]))?")
+PERSON = re.compile(r"(?<!\w)[A-Z][a-z]{1,20}(?: [A-Z]\.)?(?: [A-Z][a-z]{1,20}){1,2}(?!\w)")
 
 
 def luhn(digits: str) -> bool:
@@ -71,47 +79,129 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-# Published formats of keys, and words that name credentials.
-FORMATS = re.compile(r"AKIA[0-9A-Z]{16}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{24,}")
-NAMES = frozenset("token password passwd pwd secret key apikey api_key auth bearer credential credentials access_key private_key".split())
-BEFORE = re.compile(r"([A-Za-z_]+)?\s*([=:]?)\s*[\"']?\Z")
-#: Ten letters of one case in a row are words rather than a key.
-PROSE = re.compile(r"[a-z]{10}|[A-Z]?[a-z]{9}")
+def iban_spans(text: str, taken: list[Span]) -> list[Span]:
+    """Account numbers of 15 to 34 characters with right check digits, outside the base spans."""
+    out = []
+    for m in IBAN.finditer(text):
+        plain = m[0].replace(" ", "")
+        if len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+            out.append(("iban", *m.span()))
+    return apart(out, taken)
+
+
+def apart(spans: list[Span], taken: list[Span]) -> list[Span]:
+    """The spans that overlap none of ``taken``; both ascend by start."""
+    out, at, reach = [], 0, -1
+    for s in spans:
+        while at < len(taken) and taken[at][1] < s[2]:
+            reach = max(reach, taken[at][2])
+            at += 1
+        if reach <= s[1]:
+            out.append(s)
+    return out
+
+
+# Published formats of keys, words that name credentials, titles and given names.
+FORMATS = re.compile(
+    r"AKIA[0-9A-Z]{16}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{24,}"
+    r"|AIza[0-9A-Za-z_-]{35}|xox[abprs]-[0-9A-Za-z-]{10,}|glpat-[0-9A-Za-z_-]{20}|eyJ[0-9A-Za-z_-]+\.eyJ[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+"
+)
+CREDENTIALS = frozenset("token password passwd pwd secret key apikey api_key auth bearer credential credentials access_key private_key client_secret passphrase".split())
+TITLES = frozenset("mr mrs ms miss dr prof herr frau sr sra don m mme mlle".split())
+GIVEN = frozenset(
+    "james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen "
+    "christopher nancy daniel lisa matthew betty anthony margaret mark sandra paul ashley steven kimberly andrew emily kenneth donna joshua michelle "
+    "kevin carol brian amanda george melissa edward deborah hans peter klaus maria anna ursula monika petra sabine jose antonio juan manuel francisco "
+    "luis carmen josefa isabel dolores jean pierre michel andre philippe marie jeanne francoise monique catherine nathalie".split()
+)
+BEFORE = re.compile(r"([A-Za-z_]+)?[\"']?\s*(:=|=>|[=:]?)\s*([\"']?)\Z")
+WORDS = re.compile(r"[A-Za-z][a-z]{3,}|[A-Z]{4,}")
+TITLE = re.compile(r"(\w+)\.?\s*\Z")
+OPENING = re.compile(r"(?:\A|[.!?:\n\"'(])\s*\Z")
 LABELERS = ("format", "gazetteer", "context", "shape")
+SHORT = 16
 
 
-def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Runs of 16 or more word characters with a digit and a letter, outside the base spans."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        if any(map(str.isdigit, m[0])) and any(map(str.isalpha, m[0])) and not any(a < m.end() and m.start() < b for _, a, b in taken):
-            out.append(m.span())
-    return out
+def _before(text: str, start: int) -> tuple[str, str, str]:
+    """(word, sign, quote) just before a candidate."""
+    m = BEFORE.search(text, max(0, start - 40), start)
+    return (m[1] or "").lower(), m[2], m[3]
 
 
-def votes(text: str, start: int, end: int) -> list[int]:
+def secret_candidates(text: str, taken: list[Span]) -> list[Span]:
+    """Runs with a letter and a digit outside ``taken``; runs under SHORT characters only after the name of a credential."""
+    out = []
+    for m in RUN.finditer(text):
+        run = m[0]
+        start = m.start() + len(run) - len(run.lstrip("+/.-"))
+        end = m.end() - (len(run) - len(run.rstrip("+/.-")))
+        run = text[start:end]
+        if len(run) < 8 or not (any(map(str.isdigit, run)) and any(map(str.isalpha, run))):
+            continue
+        if len(run) >= SHORT or _before(text, start)[0] in CREDENTIALS:
+            out.append(("secret", start, end))
+    return apart(out, taken)
+
+
+def secret_votes(text: str, start: int, end: int) -> list[int]:
     """Of each labeler: 1 for a credential, 0 against it, -1 for no opinion."""
     run = text[start:end]
-    m = BEFORE.search(text, max(0, start - 40), start)
-    name, sign = (m[1] or "").lower(), m[2]
-    digits = sum(map(str.isdigit, run)) / len(run)
+    word, sign, quote = _before(text, start)
+    plain = sum(map(len, WORDS.findall(run))) / len(run)
+    changes = sum(a.isdigit() != b.isdigit() for a, b in zip(run, run[1:])) / len(run)
     return [
-        1 if FORMATS.fullmatch(run) else 0 if PROSE.search(run) else -1,
-        1 if name in NAMES else 0 if name and sign else -1,
-        1 if sign else 0 if PROSE.search(run) else -1,
-        1 if digits >= 0.2 or run.isupper() else 0,
+        1 if FORMATS.fullmatch(run) else 0 if plain >= 0.5 else -1,
+        1 if word in CREDENTIALS else -1 if not word else 0,
+        0 if text[max(0, start - 2) : start] == "//" or text[start - 1 : start] in "@#/?&" and start else 1 if sign or quote else -1,
+        1 if changes >= 0.15 else 0,
     ]
 
 
-def features(text: str, start: int, end: int) -> list[float]:
-    """The votes and the run's length, digit share, case and variety of characters."""
+def secret_features(text: str, start: int, end: int) -> list[float]:
+    """The run's length, digit share, case, variety of characters and share of words."""
     run = text[start:end]
     n = len(run)
-    kinds = len(set(run)) / min(n, 62)
-    upper = sum(map(str.isupper, run)) / n
-    digits = sum(map(str.isdigit, run)) / n
-    v = votes(text, start, end)
-    return [1.0, *[(x == 1) - (x == 0) + 0.0 for x in v], math.log2(n) / 8, digits, upper, kinds]
+    return [math.log2(n) / 8, sum(map(str.isdigit, run)) / n, sum(map(str.isupper, run)) / n, len(set(run)) / min(n, 62), sum(map(len, WORDS.findall(run))) / n]
+
+
+def name_candidates(text: str, taken: list[Span]) -> list[Span]:
+    """Two or three neighbouring capitalised words, with an initial perhaps, outside ``taken``."""
+    return apart([("name", *m.span()) for m in PERSON.finditer(text)], taken)
+
+
+def name_votes(text: str, start: int, end: int) -> list[int]:
+    """Of each labeler: 1 for a personal name, 0 against it, -1 for no opinion."""
+    words = text[start:end].split()
+    m = TITLE.search(text, max(0, start - 20), start)
+    titled = bool(m) and m[1].lower() in TITLES
+    return [
+        1 if any(len(w) == 2 and w[1] == "." for w in words) else -1,
+        1 if words[0].lower() in GIVEN else 0,
+        1 if titled else 0 if OPENING.search(text, max(0, start - 5), start) else -1,
+        0 if any(f" {w.lower()} " in text for w in words) else -1,
+    ]
+
+
+def name_features(text: str, start: int, end: int) -> list[float]:
+    """The candidate's words, its length and the longest word."""
+    words = text[start:end].split()
+    return [len(words) / 4, (end - start) / 40, max(map(len, words)) / 20, 1.0 if "-" in text[start:end] else 0.0, 0.0]
+
+
+OF_KIND = {"secret": (secret_candidates, secret_votes, secret_features), "name": (name_candidates, name_votes, name_features)}
+N_FEATURES = 1 + len(LABELERS) + 5
+
+
+def candidates(text: str, taken: list[Span]) -> list[Span]:
+    """The candidates of all learnt kinds outside ``taken``, which ascends by start."""
+    return [c for kind in LEARNT for c in OF_KIND[kind][0](text, taken)]
+
+
+def judged(text: str, span: Span) -> tuple[list[int], list[float]]:
+    """(votes, features) of a candidate; the votes are features too."""
+    kind, start, end = span
+    votes = OF_KIND[kind][1](text, start, end)
+    return votes, [1.0, *[(x == 1) - (x == 0) + 0.0 for x in votes], *OF_KIND[kind][2](text, start, end)]
 
 
 def estimate(votes_: np.ndarray, rounds: int = 50, prior: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
@@ -132,8 +222,8 @@ def estimate(votes_: np.ndarray, rounds: int = 50, prior: float = 0.5) -> tuple[
 
 
 @dataclass(frozen=True)
-class Model:
-    """The span classifier's weights and the labelers' estimated rates."""
+class Classifier:
+    """A kind's span classifier: its weights, and the labelers' estimated (hit rate, false alarm rate)."""
 
     weights: tuple[float, ...]
     rates: tuple[tuple[float, float], ...]
@@ -142,68 +232,92 @@ class Model:
         return sum(w * x for w, x in zip(self.weights, row)) > 0
 
 
-def train(rows: np.ndarray, votes_: np.ndarray, steps: int = 400, rate: float = 0.5, decay: float = 1e-3) -> Model:
+Model = dict[str, Classifier]
+
+
+def train(rows: np.ndarray, votes_: np.ndarray, steps: int = 400, rate: float = 0.5, decay: float = 1e-3) -> Classifier:
     """Fit the classifier to the beliefs; without candidates it accepts what most labelers would."""
     if not len(rows):
-        return Model((-0.5, *[1.0] * len(LABELERS), 0.0, 0.0, 0.0, 0.0), tuple((0.5, 0.5) for _ in LABELERS))
+        return Classifier((-0.5, *[1.0] * len(LABELERS), *[0.0] * (N_FEATURES - 1 - len(LABELERS))), tuple((0.5, 0.5) for _ in LABELERS))
     belief, rates = estimate(votes_)
     w = np.zeros(rows.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-rows @ w))
         w -= rate * (rows.T @ (p - belief) / len(rows) + decay * w)
-    return Model(tuple(w.tolist()), tuple(map(tuple, rates.tolist())))
+    return Classifier(tuple(w.tolist()), tuple(map(tuple, rates.tolist())))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 5_000) -> Model:
-    """Train on at most ``sample`` candidates of ``docs``: those of the smallest hash of id and place."""
+    """Train on at most ``sample`` candidates of each kind: those of the smallest hash of text and place.
+
+    Null ids teach like others; an empty table gives classifiers that follow most labelers.
+    """
 
     def gather(batches):
         for batch in batches:
             out = []
-            for doc, text in zip(batch["_id"], batch["_text"]):
-                for a, b in candidates(text, base_spans(text)):
-                    out.append((doc, a, votes(text, a, b), features(text, a, b)))
-            yield pd.DataFrame(out, columns=["doc", "at", "votes", "features"])
+            for key, text in zip(batch["_key"], batch["_text"]):
+                for span in candidates(text, fixed_spans(text)[1]):
+                    out.append((span[0], key, span[1], *judged(text, span)))
+            yield pd.DataFrame(out, columns=["kind", "key", "at", "votes", "features"])
+
+    rows = docs.select(F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text")).where("_text is not null")
+    found = rows.mapInPandas(gather, "kind string, key long, at long, votes array<int>, features array<double>")
+    found = materialize(found, "candidates")
+    out = {}
+    for kind in LEARNT:
+        held = found.where(F.col("kind") == kind).orderBy(F.xxhash64("key", "at"), "features").limit(sample).collect()
+        out[kind] = train(np.array([r["features"] for r in held], float), np.array([r["votes"] for r in held], int).reshape(len(held), len(LABELERS)))
+    discard(found)
+    return out
+
 
-    rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").rlike("[0-9]"))
-    found = rows.mapInPandas(gather, "doc string, at long, votes array<int>, features array<double>")
-    held = found.orderBy(F.xxhash64("doc", "at"), "doc", "at", "features").limit(sample).collect()
-    return train(np.array([r["features"] for r in held], float), np.array([r["votes"] for r in held], int).reshape(len(held), len(LABELERS)))
+def _order(span: Span) -> tuple[int, int]:
+    return span[1], KINDS.index(span[0])
+
+
+def fixed_spans(text: str) -> tuple[list[Span], list[Span]]:
+    """(base spans, base spans and account numbers), by start and kind."""
+    base = base_spans(text)
+    more = iban_spans(text, base)
+    return base, sorted(base + more, key=_order) if more else base
 
 
 def spans_of(text: str, model: Model) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), by start and kind."""
-    base = base_spans(text)
-    more = [("secret", a, b) for a, b in candidates(text, base) if model.accepts(features(text, a, b))]
-    return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]))) if more else base
+    base, fixed = fixed_spans(text)
+    more = [c for c in candidates(text, fixed) if model[c[0]].accepts(judged(text, c)[1])]
+    return base, sorted(fixed + more, key=_order) if more else fixed
 
 
 def written(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long"
+FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_iban long, n_secret long, n_name long"
 
 
 def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts and spans of every text, one row for each row, no shuffle.
 
-    The counts by kind and ``base_sha256`` are of the base spans, ``spans`` lists all of
-    them (code points, end exclusive).  A null text counts as empty and has no span.
+    The counts by kind are of all spans, ``base_sha256`` is of the base spans, ``spans``
+    lists all of them (code points, end exclusive).  A null text counts as empty and has
+    no span; ids may be null; repeated rows are answered each.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    names = [id_col] + [c.split()[0] for c in FOUND.split(", ")]
+    names = [c.split()[0] for c in FOUND.split(", ")]
 
     def run(batches):
         for batch in batches:
             out = []
-            for doc, text in zip(batch[id_col], batch[text_col]):
+            for text in batch["_text"].to_pylist():
                 base, found = spans_of(text or "", model)
                 n = [sum(k == s[0] for s in found) for k in KINDS]
-                out.append((doc, *n[:4], hashlib.sha256(written(base).encode()).hexdigest(), written(found), n[4]))
-            yield pd.DataFrame(out, columns=names)
+                out.append((*n[:4], hashlib.sha256(written(base).encode()).hexdigest(), written(found), *n[4:]))
+            yield {"_id": batch["_id"]} | by_name(out, names)
 
-    return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, {FOUND}")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return map_columns(rows, run, f"_id {kind}, {FOUND}").withColumnRenamed("_id", id_col)
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -221,7 +335,7 @@ def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            batch[text_col] = [t if t is None else redacted(t, spans_of(t, model)[1]) for t in batch[text_col]]
-            yield batch
+            texts = [t if t is None else redacted(t, spans_of(t, model)[1]) for t in batch[text_col].to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index(text_col), text_col, pa.array(texts, pa.string()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
