@@ -17,11 +17,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import by_name, discard, map_columns, materialize
 from .components import components
 from .words import WordHasher, mix
 
 ROWS = 3
+SALTS = 16
+BLOCK = 256
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,19 +69,20 @@ class Signer:
 
 
 def signatures(docs: DataFrame, m: int, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, set_id, halves) of every row; a row without words has no set and no halves."""
+    """(doc_id, salt, n_shingles, set_id, halves) of every row; a row without words has no set and no halves."""
 
     def run(batches):
         shingler, signer = Shingler(size), Signer(m)
         for batch in batches:
             out = []
-            for doc, text in zip(batch["_id"], batch["_text"]):
+            for text in batch["_text"].to_pylist():
                 s = shingler.shingles(text)
-                out.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), signer.sign(s)) if len(s) else (doc, 0, None, None))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_id", "halves"])
+                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), signer.sign(s)) if len(s) else (0, None, None))
+            salts = np.arange(len(out), dtype=np.int32) % SALTS
+            yield {"doc_id": batch["_id"], "salt": salts} | by_name(out, ["n_shingles", "set_id", "halves"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, "doc_id long, n_shingles long, set_id binary, halves array<long>")
+    return map_columns(rows, run, "doc_id long, salt int, n_shingles long, set_id binary, halves array<long>")
 
 
 def tables(classes: DataFrame, m: int) -> DataFrame:
@@ -122,7 +125,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     Documents are linked where 100 * intersection >= percent * union of their sets of
     ``size``-word shingles; the component is the smallest id reachable, and ``kept`` marks
     the document of that id.  Documents without words (null, empty, white space) are linked
-    with nothing; rows of one id count as one document; a null id has no component.
+    with nothing.  Rows of one id are one document with a set for each of its texts: it is
+    linked with all that any of them is linked with, and ``n_shingles`` is of the row's
+    own text.  A null id links nothing; its row has the component of the documents of its
+    very set, if there are any, and is never kept.
 
     Documents of equal sets are one class.  In each table every class is first compared
     with the class of the smallest id there.  What tables with several components are
@@ -135,7 +141,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     """
     m = hashes_each(percent / 100)
     signed = materialize(signatures(docs, m, size, id_col, text_col), "signatures")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_id", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"))
+    worded = signed.where("n_shingles > 0 and doc_id is not null")
+    classes, ties = _classes(worded)
     keyed = materialize(tables(classes, m), "tables")
     rows = keyed.select("rep", "n", F.explode("keys").alias("key"))
     least = rows.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("held")).where("held > 1")
@@ -143,9 +150,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     # (rep, n, key, least) of the tables with several classes
     held = materialize(rows.join(least, "key"), "held")
     discard(keyed)
-    named = held.select("rep").distinct()
-    plain = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    texts = materialize(plain.join(named, "rep", "left_semi").groupBy("rep").agg(F.max("text").alias("text")), "texts")
+    texts = materialize(_texts_of(docs, held.select("rep").distinct(), classes if ties is not None else None, size, id_col, text_col), "texts")
 
     def alike(pairs: DataFrame, label: str) -> DataFrame:
         return materialize(confirm(pairs, texts, percent, size), label)
@@ -153,6 +158,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     stars = materialize(held.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     one = stars.groupBy("b").agg(F.min("a").alias("a"))
     links = alike(one.select("a", "b"), "links")
+    links = links if ties is None else links.unionByName(ties)
     found = components(links)
     rest = _apart(stars.join(one, ["a", "b"], "left_anti"), found)
     more = alike(rest, "links")
@@ -173,24 +179,74 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
 
         halves = materialize(classes.select("rep", "halves").join(able.select("rep").distinct(), "rep", "left_semi"), "halves")
         able = materialize(_mixed(_relabel(able, found)).join(halves, "rep"), "apart")
-        left = able.select("key", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "own", "component", "halves")))
-        right = able.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "own", "component", "halves")))
+        # A table's pairs are dealt out by blocks of its classes, so that no task has all of a large table's.
+        parts = able.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        able = able.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        left = able.select("key", F.col("part").alias("x"), every.alias("y"), *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "own", "component", "halves")))
+        right = able.select("key", every.alias("x"), F.col("part").alias("y"), *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "own", "component", "halves")))
         apart = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & _may_link("n_a", "own_a", "n_b", "own_b", percent)
-        pairs = left.join(right, (left["key"] == right["key"]) & apart & (left["key"] == _first_key("halves_a", "halves_b", m)))
+        pairs = left.join(right, ["key", "x", "y"]).where(apart & (F.col("key") == _first_key("halves_a", "halves_b", m)))
         pairs = pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).join(tested, ["a", "b"], "left_anti")
         links = links.unionByName(alike(pairs, "links"))
         found = components(links)
 
-    named = signed.where("n_shingles > 0").groupBy("set_id", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    named = named.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_id").join(named, ["set_id", "n_shingles"], "left")
-    # Rows of one id with different texts tie their classes together.
-    return out.select(
-        F.col("doc_id").alias(id_col),
-        "n_shingles",
-        F.coalesce("component", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(False)).alias("kept"),
-    )
+    named = classes.select("set_id", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.select("set_id", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    if ties is not None:  # classes are named by hashes there; the component is the smallest id of its rows
+        named = materialize(named, "named")
+        ids = worded.join(named, ["set_id", "n_shingles"]).groupBy("component").agg(F.min("doc_id").alias("least"))
+        named = named.join(ids, "component").select("set_id", "n_shingles", F.col("least").alias("component"))
+    # A class of many copies meets its component once for each salt, its rows are spread over the salts.
+    rows = signed.where("n_shingles > 0").select("doc_id", "salt", "n_shingles", "set_id")
+    spread = rows.groupBy("set_id", "n_shingles", "salt").agg(F.lit(1).alias("one")).join(named, ["set_id", "n_shingles"]).drop("one")
+    out = rows.join(spread, ["set_id", "n_shingles", "salt"], "left").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    alone = signed.where("n_shingles = 0 and doc_id is not null").select("doc_id", "n_shingles")
+    # An id's row without words goes with its other rows.
+    own = out.join(alone, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("own"))
+    alone = alone.join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("own", "doc_id").alias("component_id"))
+    nameless = signed.where("n_shingles = 0 and doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return out.unionByName(alone).unionByName(nameless).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", kept)
+
+
+def _classes(worded: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(set_id, n_shingles, rep, halves) of the sets of equal shingles, and links (a, b) that tie the classes of one id.
+
+    A class is named by its smallest id.  Where some id has several sets, that could name
+    two classes alike; then hashes name them, and there are ties.
+    """
+    sets = worded.groupBy("set_id", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"))
+    several = worded.groupBy("doc_id").agg((F.min("set_id") != F.max("set_id")).alias("several")).where("several")
+    if several.isEmpty():
+        return materialize(sets, "classes"), None
+    for seed in range(16):
+        named = materialize(sets.withColumn("rep", F.xxhash64("set_id", "n_shingles", F.lit(seed))), "classes")
+        if named.groupBy("rep").count().where("count > 1").isEmpty():
+            break
+        discard(named)
+    else:
+        raise ValueError("too many sets to tell them apart by 64 bits")
+    own = worded.join(named.select("set_id", "n_shingles", "rep"), ["set_id", "n_shingles"]).select("doc_id", "rep").distinct()
+    least = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a <> most")
+    ties = own.join(least.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
+    return named, materialize(ties, "ties")
+
+
+def _texts_of(docs: DataFrame, reps: DataFrame, classes: DataFrame | None, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(rep, text): one text of each class in ``reps``; its smallest id's, or where hashes name classes, of any row of that set."""
+    if classes is None:
+        rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where(F.col("text").rlike("[^ \\t-\\r]"))
+        return rows.join(reps, "rep", "left_semi").groupBy("rep").agg(F.max("text").alias("text"))
+
+    def run(batches):
+        shingler = Shingler(size)
+        for batch in batches:
+            sets = [shingler.shingles(t) for t in batch["text"].to_pylist()]
+            yield {"text": batch["text"], "n_shingles": [len(s) for s in sets], "set_id": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]}
+
+    rows = map_columns(docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text")), run, "text string, n_shingles long, set_id binary")
+    return rows.join(classes.join(reps, "rep", "left_semi").select("set_id", "n_shingles", "rep"), ["set_id", "n_shingles"]).groupBy("rep").agg(F.max("text").alias("text"))
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
