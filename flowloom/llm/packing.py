@@ -16,11 +16,11 @@ from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import local_rows, materialize
+from .common import map_columns, materialize
 from .tokens import TokenBytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -30,7 +30,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
     """The pieces of every document: its token ids and ``end_id``, cut only beyond the capacity.
 
     Of a cut document every piece but the first is full.  A null text counts as empty,
-    so it has the one piece of ``end_id``.  Repeated rows are cut each.
+    so it has the one piece of ``end_id``.  Repeated rows are cut each; ids may be null.
     """
 
     def cut(batches):
@@ -38,17 +38,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             out = []
-            for doc, text in zip(batch[id_col], batch[text_col]):
+            for row, text in enumerate(batch["_text"].to_pylist()):
                 ids = coder.encode(text or "") + end
                 n = len(ids) // 4
                 at, size = 0, n % capacity or min(capacity, n)
                 k = 0
                 while at < n:
-                    out.append((doc, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
+                    out.append((row, k, at, size, zlib.crc32(memoryview(ids)[4 * at : 4 * (at + size)])))
                     at, size, k = at + size, capacity, k + 1
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            row, piece, start, length, crc = map(list, zip(*out)) if out else ([], [], [], [], [])
+            yield {"doc_id": batch["_id"].take(pa.array(row, pa.int64())), "piece": piece, "start": start, "length": length, "ids_crc32": crc}
 
-    out = docs.select(id_col, text_col).mapInPandas(cut, PIECES)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    out = map_columns(rows, cut, PIECES)
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
 
 
@@ -135,7 +137,7 @@ def pack(found: DataFrame, capacity: int = 1024, id_col: str = "doc_id", salts:
     """
     spark = found.sparkSession
     salts = salts or max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)).cast("int"))
+    salted = found.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     parts = salted.groupBy("length", "_salt").count()
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))

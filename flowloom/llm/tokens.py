@@ -45,14 +45,14 @@ def merge_ranks(spec: dict) -> dict[bytes, int] | None:
 class TokenBytes:
     """encode(text): its ids as little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 400_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             ranks = merge_ranks(json.load(f))
         self._library = Tokenizer.from_file(path)
         self._added = [t.content for t in self._library.get_added_tokens_decoder().values()]
-        self._keep = keep
+        self._keep, self._longest = keep, longest
         self._known: dict[str, bytes] = {}
         self._chunk = self._ids
         if ranks:
@@ -78,8 +78,13 @@ class TokenBytes:
         except KeyError:
             if len(known) > self._keep:
                 known.clear()
+            out = []
             for c in rest:
-                if c not in known:
-                    known[c] = self._chunk(" " + c)
-            tail = b"".join(map(known.__getitem__, rest))
+                ids = known.get(c)
+                if ids is None:
+                    ids = self._chunk(" " + c)
+                    if len(c) <= self._longest:  # so that what is kept has a bounded size
+                        known[c] = ids
+                out.append(ids)
+            tail = b"".join(out)
         return self._chunk(head) + tail
