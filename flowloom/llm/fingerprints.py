@@ -12,11 +12,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import by_name, map_columns, materialize
 
 PRIME = np.uint64((1 << 31) - 1)
 BASES = (1_000_003, 998_244_353)
@@ -134,10 +135,11 @@ def likeness(a: str, b: str) -> float:
     return max(0.0, (share - 1 / 256) / (1 - 1 / 256))
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, kept_prefix long"
+RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, kept_prefix long"
+NAMES = [c.split()[0] for c in RESULT.split(", ")]
 
 
-def _answer(doc, text: str, hashes: PrefixHash, own: str, after: str, after_own: str) -> tuple:
+def _answer(text: str, hashes: PrefixHash, own: str, after: str, after_own: str) -> tuple:
     n = len(text)
     quarter = n // 4
     edited = text[: n - quarter] + after[:quarter]
@@ -147,7 +149,11 @@ def _answer(doc, text: str, hashes: PrefixHash, own: str, after: str, after_own:
         changed = PrefixHash(code_points(edited))
         other = fingerprint(changed)
     digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-    return doc, n, digest, own, other, likeness(own, other), likeness(own, after_own), hashes.common(0, changed, 0)
+    return n, digest, own, other, likeness(own, other), likeness(own, after_own), hashes.common(0, changed, 0)
+
+
+#: Rows of a walked range: answered ones, its last text, its first text.
+ANSWER, LAST, FIRST = 0, 1, 2
 
 
 def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,61 +161,59 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The edited text of a document replaces its last quarter by the first code points of
     the document with the next id (after the last: the first).  Rows are dealt out by
-    ranges of ids and each task walks its range in order; only the first and the last
-    text of each range meet in one small task, to link neighbouring ranges.
+    ranges of ids and each task walks its range in order; the last text of each range is
+    joined with the first one of the next, by the ranges' numbers.
 
     A null text counts as empty, and two empty texts are alike (1.0); a single row is
-    its own neighbour; rows of one id follow each other by text; an empty table gives
-    no rows.  ``kept_prefix`` is the longest common prefix of a text and its edited text.
+    its own neighbour; null ids come first; rows of one id follow each other by the hash
+    of their texts, so that many of them are several ranges; an empty table gives no
+    rows.  ``kept_prefix`` is the longest common prefix of a text and its edited text.
     """
-    head = RESULT.replace("doc_id", id_col, 1)
-    names = [c.split()[0] for c in RESULT.split(", ")]
-    names[0] = id_col
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def walk(batches):
-        pending = None
+        range_ = TaskContext.get().partitionId()
+        last = None  # (its id as an array of one, text, hashes, fingerprint)
         for batch in batches:
-            done = []
-            for doc, text in zip(batch[id_col], batch[text_col]):
+            ids, out, places = batch["_id"], [], []
+            held = last
+            for i, text in enumerate(batch["_text"].to_pylist()):
                 text = text or ""
                 hashes = PrefixHash(code_points(text))
                 own = fingerprint(hashes)
-                if pending is None:
-                    done.append((2, text, doc) + (None,) * 7)
+                if last is None:
+                    out.append((FIRST, range_, text) + (None,) * len(NAMES))
+                    places.append(1)
                 else:
-                    done.append((0, None) + _answer(*pending, text, own))
-                pending = (doc, text, hashes, own)
-            yield _frame(done, ["kind", "text", *names])
-        if pending is not None:
-            yield _frame([(1, pending[1], pending[0]) + (None,) * 7], ["kind", "text", *names])
+                    out.append((ANSWER, range_, None) + _answer(*last[1:], text, own))
+                    places.append(i)
+                last = (i, text, hashes, own)
+            # The row before the batch's own ones is the last one of the batch before.
+            before = held[0] if held else ids.slice(0, 0)
+            every = pa.concat_arrays([before if len(before) else pa.nulls(1, ids.type), ids])
+            yield {"_id": every.take(pa.array(places, pa.int64()))} | by_name(out, ["kind", "range", "text", *NAMES])
+            if last is not None and len(ids):
+                last = (ids.slice(len(ids) - 1), *last[1:])
+        if last is not None:
+            yield {"_id": last[0]} | by_name([(LAST, range_, last[1]) + (None,) * len(NAMES)], ["kind", "range", "text", *NAMES])
 
     def link(batches):
-        first = last = None
         for batch in batches:
-            done = []
-            for kind, doc, text in zip(batch["kind"], batch[id_col], batch["text"]):
-                hashes = PrefixHash(code_points(text))
-                row = (doc, text, hashes, fingerprint(hashes))
-                if kind == 2:
-                    if last is not None:
-                        done.append(_answer(*last, row[1], row[3]))
-                    first = first or row
-                else:
-                    last = row
-            yield _frame(done, names)
-        if last is not None:
-            yield _frame([_answer(*last, first[1], first[3])], names)
-
-    rows = docs.select(id_col, text_col).repartitionByRange(id_col).sortWithinPartitions(id_col, text_col)
-    walked = materialize(rows.mapInPandas(walk, f"kind int, text string, {head}"), "fingerprints")
-    ends = walked.where("kind > 0").select("kind", id_col, "text").repartition(1).sortWithinPartitions(F.asc_nulls_first(id_col), "text", F.desc("kind"))
-    return walked.where("kind = 0").select(*names).unionByName(ends.mapInPandas(link, head))
-
-
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    for c in ("n_chars", "kept_prefix"):
-        out[c] = out[c].astype("Int64")
-    for c in ("near_edited", "near_next"):
-        out[c] = out[c].astype("float64")
-    return out
+            out = []
+            for text, after in zip(batch["text"].to_pylist(), batch["after"].to_pylist()):
+                both = [PrefixHash(code_points(t)) for t in (text, after)]
+                own, next_ = map(fingerprint, both)
+                out.append(_answer(text, both[0], own, after, next_))
+            yield {"_id": batch["_id"]} | by_name(out, NAMES)
+
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    order = ["_id", F.xxhash64("_text"), "_text"]
+    rows = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    walked = materialize(map_columns(rows, walk, f"_id {kind}, kind int, range int, text string, {RESULT}"), "fingerprints")
+    firsts = walked.where(F.col("kind") == FIRST).select("range", F.col("text").alias("after"))
+    held = sorted(r["range"] for r in firsts.select("range").collect())  # a number for each task
+    follows = walked.sparkSession.createDataFrame([(r, held[(i + 1) % len(held)]) for i, r in enumerate(held)], "range int, next int")
+    ends = walked.where(F.col("kind") == LAST).select("_id", "range", "text").join(follows, "range")
+    ends = ends.join(firsts.withColumnRenamed("range", "next"), "next").select("_id", "text", "after")
+    out = walked.where(F.col("kind") == ANSWER).select("_id", *NAMES).unionByName(map_columns(ends, link, f"_id {kind}, {RESULT}"))
+    return out.withColumnRenamed("_id", id_col)
