@@ -91,13 +91,33 @@ def whole_texts() -> list[tuple[str, str]]:
 
 
 def catalogue(spark, known=None) -> DataFrame:
-    """(digest, license) of the known texts (KNOWN and the whole texts if none are given), one row for each canonical form."""
+    """(digest, license, words) of the known texts (KNOWN and the whole texts if none are given), one row for each canonical form.
+
+    ``words`` are the two longest words of the form that stand so in any text of that form:
+    letters and digits that no spelling makes.
+    """
     known = KNOWN + whole_texts() if known is None else known
     rows = local_rows(spark, [{"license": n, "known": t} for n, t in known], {"license": "string", "known": "string"})
-    return rows.select(F.sha2(canonical(F.col("known")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
-
-
-def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines: bool = True, broadcast_rows: int = 100_000) -> DataFrame:
+    rows = rows.select("license", canonical(F.col("known")).alias("form"))
+    made = [new for _, new in SPELLINGS]
+    plain = F.filter(F.array_distinct(F.split("form", " ")), lambda w: ~F.exists(F.array(*map(F.lit, made)), lambda m: w.contains(m)))
+    longest = F.reverse(F.array_sort(F.transform(plain, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))
+    words = F.transform(F.slice(longest, 1, 2), lambda x: x.w)
+    return rows.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"), F.min(words).alias("words"))
+
+
+def may_hold(text: Column, words: list[list[str]]) -> Column:
+    """Whether the text holds all words of some known text, as every text of its form does."""
+    every = F.lit(False)
+    for pair in sorted({tuple(sorted(w)) for w in words}):
+        held = F.lit(True)
+        for w in sorted(pair, key=lambda w: (-len(w), w)):
+            held = held & text.contains(w)
+        every = every | held
+    return every
+
+
+def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines: bool = True, broadcast_rows: int = 100_000, most_pairs: int = 64) -> DataFrame:
     """Every license text or notice of the catalogue that a document is or holds as a line.
 
     A notice that is wrapped over lines, or a license text inside a longer text, is none.
@@ -105,17 +125,28 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     Returns (id, unit, line_no, license, digest): unit ``text`` with line 0 where the
     whole text is a known one, and, with ``lines``, unit ``line`` for each line of a
     text of several lines.  Null and empty texts have no rows, repeated rows are
-    answered each, other columns are ignored.  ``known`` is broadcast only up to
-    ``broadcast_rows`` rows; beyond that Spark plans the join.
+    answered each, ids may be null, other columns are ignored.  Texts and lines that lack
+    the words of every known text are left out before anything is reduced, if the
+    catalogue has ``most_pairs`` different pairs of such words at most.  ``known`` is
+    broadcast only up to ``broadcast_rows`` rows; beyond that Spark plans the join.
     """
-    text = F.col(text_col)
-    parts = F.split(text, "\n", -1)
-    units = F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).cast("long").alias("line_no"), text.alias("body")))
+    pairs = known.select(F.array_sort("words").alias("words")).distinct().limit(most_pairs + 1).collect() if "words" in known.columns else []
+    narrow = 0 < len(pairs) <= most_pairs
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+
+    def able(body: Column) -> Column:
+        return may_hold(F.lower(body), [r["words"] for r in pairs]) if narrow else F.lit(True)
+
+    rows = rows.where(able(F.col("_text")))
+    whole = rows.select("_id", F.lit("text").alias("unit"), F.lit(0).cast("long").alias("line_no"), F.col("_text").alias("body"))
+    units = whole
     if lines:
-        own = F.transform(parts, lambda x, i: F.struct(F.lit("line").alias("unit"), (i + 1).cast("long").alias("line_no"), x.alias("body")))
-        units = F.when(F.size(parts) > 1, F.concat(units, own)).otherwise(units)
-    flat = docs.select(F.col(id_col).alias("_id"), F.explode(units).alias("u")).select("_id", "u.unit", "u.line_no", canonical(F.col("u.body")).alias("words"))
-    flat = flat.where(F.length("words") > 0).select("_id", "unit", "line_no", F.sha2(F.col("words"), 256).alias("digest"))
+        parts = F.split("_text", "\n", -1)
+        own = rows.where(F.col("_text").contains("\n")).select("_id", F.posexplode(parts).alias("line_no", "body"))
+        units = units.unionByName(own.select("_id", F.lit("line").alias("unit"), (F.col("line_no") + 1).cast("long").alias("line_no"), "body"))
+    flat = units.where(able(F.col("body"))).select("_id", "unit", "line_no", canonical(F.col("body")).alias("form"))
+    flat = flat.where(F.length("form") > 0).select("_id", "unit", "line_no", F.sha2("form", 256).alias("digest"))
+    known = known.select("digest", "license")
     small = known.limit(broadcast_rows + 1).count() <= broadcast_rows
     found = flat.join(F.broadcast(known) if small else known, "digest")
     return found.select(F.col("_id").alias(id_col), "unit", "line_no", "license", "digest")
