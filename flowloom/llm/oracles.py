@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import licenses
+from . import licenses, urls
 
-OP3 = """
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+OP3 = f"""
 WITH parts AS (
-  SELECT page_id,
+  SELECT row_number() OVER () AS r, page_id,
     coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
@@ -15,23 +20,19 @@ judged AS (
     CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
          WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
          WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
-         WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
-    '.' || host || '.' AS labels
-  FROM parts)
+         WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM parts),
+patterns(name, action, pattern, exception) AS (VALUES {", ".join(f"({_quoted(x.name)}, {_quoted(x.action)}, {_quoted(x.pattern)}, {x.exception})" for x in urls.RULES if not x.listed)}),
+hits AS (
+  SELECT r, arg_max(name, (exception, length(name), name)) AS name, arg_max(action, (exception, length(name), name)) AS action
+  FROM parts JOIN patterns ON regexp_matches(host || path, pattern) GROUP BY r)
 SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN pattern_rule IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
-  pattern_rule
-FROM (
-  SELECT *, CASE WHEN contains(labels, '.phish-login.') THEN 'phish-login' WHEN contains(labels, '.casino-win.') THEN 'casino-win'
-                 WHEN contains(labels, '.spam-farm.') THEN 'spam-farm' WHEN contains(labels, '.adult-x.') THEN 'adult-x' END AS pattern_rule
-  FROM judged)
+  CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' ELSE coalesce(action, 'allow') END AS verdict,
+  name AS pattern_rule
+FROM judged LEFT JOIN hits USING (r)
 """
 
 
-def _quoted(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
 def _canonical(expr: str) -> str:
     out = f"trim(regexp_replace(regexp_replace(lower({expr}), {_quoted(licenses.COPYRIGHT)}, ' ', 'g'), {_quoted(licenses.SEPARATORS)}, ' ', 'g'))"
     for old, new in licenses.SPELLINGS:
@@ -53,18 +54,20 @@ FROM (SELECT *, sha256({_canonical("body")}) AS digest FROM units) JOIN known US
 """
 
 OP7 = """
-WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
-  FROM documents),
+WITH RECURSIVE rows AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+words AS (
+  SELECT r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM rows),
 shingles AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
-  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM words WHERE len(w) > 0)),
-sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
-common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
-reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN links ON a = other)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
-FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
+  SELECT DISTINCT r, doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT r, doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY 1),
+common AS (SELECT a.r AS x, b.r AS y, a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT DISTINCT a, b FROM common JOIN sizes p ON p.r = x JOIN sizes q ON q.r = y WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM rows UNION SELECT reach.doc_id, b FROM reach JOIN links ON a = other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT rows.doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(rows.doc_id = component_id, false) AS kept
+FROM rows LEFT JOIN sizes USING (r) LEFT JOIN least ON rows.doc_id = least.doc_id
 """
 
 OP4 = """

@@ -84,7 +84,7 @@ def test_language_of_held_out_texts(spark):
         assert found[i]["lang_pred"] == truth and 0 <= found[i]["score"] <= 1
     scorer = L.Scorer(model)
     assert scorer.predict("schönung")[0] == "bb"  # an unseen word, by its n-grams
-    assert L.Scorer(L.Model({}, 10, 10)).predict("word") == ("und", 0.0)
+    assert L.Scorer(L.Model({})).predict("word") == ("und", 0.0)
     assert L.predict(docs.limit(0), model).count() == 0
 
 
@@ -234,6 +234,50 @@ def test_personal_data(spark):
     assert pii.find(frame.limit(0), pii.fit(frame.limit(0))).count() == 0
 
 
+def test_learnt_kinds_reject_and_accept(spark):
+    """Credentials and names among look-alikes: held-out precision and recall."""
+    rng = random.Random(12)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n, more="": "".join(rng.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789" * 2 + more) for _ in range(n - 2)) + "7x"
+    slug = lambda: "-".join(rng.choice(["report", "annual", "section", "chapter", "winter", "release"]) for _ in range(3)) + f"-{rng.randrange(2030)}"
+    right = {
+        "secret": [lambda: f'token = "{hexes(40)}"', lambda: f"password={mixed(11)}", lambda: f"api_key: '{mixed(32, '+/-')}'", lambda: f"AKIA{''.join(rng.choice('ABCDEFGH23456789') for _ in range(16))}"],
+        "name": [lambda: f"told Mr. {rng.choice(['James', 'Maria', 'Peter'])} {rng.choice(['Zorn', 'Quist', 'Vale'])}", lambda: f"by {rng.choice(['Linda', 'Hans', 'Michel'])} {rng.choice(['B.', 'K.'])} {rng.choice(['Zorn', 'Quist', 'Vale'])}"],
+    }
+    wrong = {
+        "secret": [lambda: f"see http://www.example.com/{slug()}/page2", lambda: f"the {slug()} of it", lambda: f"version release{rng.randrange(100)}candidate{rng.randrange(9)}"],
+        "name": [lambda: f"end. The {rng.choice(['Winter', 'Harbour', 'Meadow'])} was cold", lambda: f"\n{rng.choice(['Winter', 'Harbour'])} {rng.choice(['Street', 'Report'])} for winter, harbour , street and report ones"],
+    }
+    docs, truth = [], []
+    for i in range(1200):
+        kind = rng.choice(["secret", "name"])
+        good = rng.random() < 0.5
+        docs.append((i, f"some words here {rng.choice((right if good else wrong)[kind])()} and more words there"))
+        truth.append((kind, good))
+    frame = spark.createDataFrame(docs, SCHEMA)
+    model = pii.fit(frame.where("doc_id < 800"))
+    found = {r["doc_id"]: r for r in pii.find(frame.where("doc_id >= 800"), model).collect()}
+    for kind in ("secret", "name"):
+        own = {i for i, (k, good) in enumerate(truth) if i >= 800 and k == kind and good}
+        got = {i for i, r in found.items() if r[f"n_{kind}"]}
+        assert len(own & got) >= 0.95 * len(own) and len(own & got) >= 0.95 * len(got), (kind, len(own), len(got), len(own & got))
+
+
+def test_account_numbers():
+    text = "pay to DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432, not to DE88 3704 0044 0532 0130 00"
+    base, every = pii.fixed_spans(text)
+    assert [text[a:b] for k, a, b in every if k == "iban"] == ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
+
+
+def test_candidates_outside_spans_in_one_sweep():
+    rng = random.Random(13)
+    for _ in range(500):
+        taken = sorted(("x", a, a + rng.randint(1, 9)) for a in (rng.randrange(100) for _ in range(rng.randint(0, 8))))
+        own = sorted(("y", a, a + rng.randint(1, 9)) for a in (rng.randrange(100) for _ in range(rng.randint(0, 8))))
+        own = [s for i, s in enumerate(own) if not i or s[1] >= own[i - 1][2]]
+        assert pii.apart(own, taken) == [s for s in own if not any(a < s[2] and s[1] < b for _, a, b in taken)]
+
+
 def test_reliabilities_are_recovered():
     rng = np.random.default_rng(3)
     truth = rng.random(3000) < 0.4
@@ -269,8 +313,33 @@ def test_urls(spark):
     assert urls.judge(frame.limit(0)).count() == 0
     everywhere = urls.Rule("digits", "block", r"/\d+$", (), False)
     assert {r["page_id"] for r in urls.judge(frame, [everywhere]).collect() if r["verdict"] == "block"} == {4, 6}
+    key = lambda found: sorted(map(str, found.collect()))
+    assert key(urls.judge(frame, block_rules=7)) == key(urls.judge(frame))
+    assert {r["verdict"] for r in urls.judge(frame, []).collect()} == {"allow"}
+
+
+def test_rule_lists(spark, tmp_path):
+    """Every rule on every URL by Python's regular expressions, over a few thousand rules in blocks."""
+    lines = ["! a comment", "[a heading]", "", "||Ads.Example.com^", "@@||ads.example.com/help^", "|shop.example.net/cart|", "*/track/*/pixel", "/\\d{6}$/", "banner^", "||hub.example.org/a*z"]
+    lines += [f"||host{i}.example.net/area{i % 7}/*" for i in range(3000)]
+    (tmp_path / "rules.txt").write_text("\n".join(lines))
+    rules = urls.read_rules(spark, str(tmp_path / "rules.txt"))
+    assert len(rules) == 3007
+    hosts = ["ads.example.com", "x.ads.example.com", "bads.example.com", "shop.example.net", "hub.example.org", *(f"host{i}.example.net" for i in range(0, 3000, 331))]
+    paths = ["", "/", "/help", "/help/1", "/cart", "/cart/2", "/track/1/pixel", "/123456", "/banner", "/banners", "/a/b/z", "/area3/", "/area0/x", "/area1"]
+    pages = {i: f"http://{h}{p}" for i, (h, p) in enumerate((h, p) for h in hosts for p in paths)}
+    frame = spark.createDataFrame(list(pages.items()), "page_id long, url string")
+    expected = {}
+    for k, url in pages.items():
+        fits = [r for r in rules if re.search(r.pattern, url.split("://")[1])]
+        best = max(fits, key=lambda r: (r.exception, len(r.name), r.name), default=None)
+        expected[k] = (best.action if best else "allow", best.name if best else None)
+    found = {r["page_id"]: (r["verdict"], r["pattern_rule"]) for r in urls.judge(frame, rules, block_rules=1000).collect()}
+    assert found == expected and len({x for x in expected.values() if x[1]}) >= 10
     with pytest.raises(ValueError):
-        urls.judge(frame, max_rules=1)
+        urls.parse("||example.com^$third-party")
+    with pytest.raises(ValueError):
+        urls.read_rules(spark, str(tmp_path / "rules.txt"), most=10)
 
 
 def test_licenses(spark):
@@ -287,6 +356,18 @@ def test_licenses(spark):
     assert licenses.scan(frame, licenses.catalogue(spark), broadcast_rows=0, lines=False).count() == 2
 
 
+def test_what_is_left_out_holds_no_license(spark):
+    """With and without leaving out texts that lack the known texts' words: the same rows."""
+    known = licenses.catalogue(spark)
+    texts = [t for _, t in licenses.KNOWN + licenses.whole_texts()[:3]]
+    docs = [(i, f(t)) for i, t in enumerate(texts) for f in (str, str.upper, lambda t: f"x\n  {t}  \ny", lambda t: t.replace("License", "LICENCE") + "!", lambda t: t[:-9])]
+    frame = spark.createDataFrame(docs, SCHEMA)
+    key = lambda found: sorted(map(str, found.collect()))
+    found = key(licenses.scan(frame, known))
+    assert found == key(licenses.scan(frame, known, most_pairs=0)) and len(found) > 60
+    assert known.where("size(words) < 2").count() == 0
+
+
 def test_whole_license_texts(spark):
     folder = licenses.Path(licenses.__file__).parent / "license_texts"
     texts = {p.stem: p.read_text() for p in sorted(folder.glob("*.txt"))}
