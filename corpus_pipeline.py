@@ -20,10 +20,7 @@ MIN_LANGUAGE_SCORE = 0.3
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language; the others' ``lang`` becomes the predicted one."""
-    model = language.fit(docs)
-    columns = docs.columns
-    found = language.predict(docs, model, keep=tuple(columns)).where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return found.withColumn("lang", F.col("lang_pred")).select(*columns)
+    return language.identified(docs, language.fit(docs), MIN_LANGUAGE_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
