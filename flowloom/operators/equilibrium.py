@@ -7,11 +7,12 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cost import LinkCost, marginal
-from ..scratch import cut
+from ..scratch import cut, drop
 from .loading import link_flow
 from .paths import MAX_BROADCAST_LINKS, Adjacency, adjacency, by_source, search_trips, shortest_paths
 
@@ -156,12 +157,12 @@ def _run(problem: Problem, settings: FrankWolfeSettings, flow: DataFrame | None,
     return run(problem, settings, links if held is None else held, flow is not None, keep_paths, done)
 
 
-def _load(found: DataFrame, n: int, places: dict[int, int]) -> tuple[np.ndarray, float, float]:
+def _load(found: DataFrame, n: int, network: Broadcast) -> tuple[np.ndarray, float, float]:
     """(flow by place, best travel time, volume) of trips' paths: partial sums on the executors, one row a task."""
-    spark = found.sparkSession
-    shared = spark.sparkContext.broadcast(places)
 
     def run(batches):
+        ids = network.value.link_id
+        order = np.argsort(ids, kind="stable")
         flow, best, volume = np.zeros(n), 0.0, 0.0
         for batch in batches:
             for v, cost, links in zip(batch["volume"], batch["cost"], batch["links"]):
@@ -169,7 +170,7 @@ def _load(found: DataFrame, n: int, places: dict[int, int]) -> tuple[np.ndarray,
                 if links is not None:
                     best += v * cost
                     if len(links):
-                        flow[[shared.value[x] for x in links]] += v
+                        flow[order[np.searchsorted(ids, links, sorter=order)]] += v
         used = np.flatnonzero(flow)
         yield pd.DataFrame({"place": [used], "flow": [flow[used]], "best": [best], "volume": [volume]})
 
@@ -185,17 +186,21 @@ def _in_arrays(problem: Problem, settings: FrankWolfeSettings, held: tuple[Adjac
     graph, rows = held
     columns = {c: rows[c].to_numpy(float) for c in problem.cost.columns()}
     ids = graph.link_id.tolist()
-    places = {x: i for i, x in enumerate(ids)}
+    context = problem.links.sparkSession.sparkContext
+    network = context.broadcast(graph)  # once; a step sends its costs alone
     demand = cut(by_source(problem.demand))
     kept: list[DataFrame] = []
     weights: list[float] = []
 
     def load(cost: np.ndarray) -> tuple[np.ndarray, float, float]:
-        found = search_trips(demand, graph, cost)
+        prices = context.broadcast(cost)
+        found = search_trips(demand, network, prices)
         if keep_paths:
             found = cut(found)
             kept.append(found.where("links is not null").select(F.lit(done + len(weights)).cast("long").alias("iteration"), "trip_id", "links", "volume"))
-        return _load(found, len(ids), places)
+        out = _load(found, len(ids), network)
+        prices.destroy()
+        return out
 
     if warm:
         flow = rows["flow"].to_numpy(float)
@@ -213,6 +218,8 @@ def _in_arrays(problem: Problem, settings: FrankWolfeSettings, held: tuple[Adjac
         cost = problem.cost.values(flow, columns)
         weights.append(step)
         k += 1
+    network.destroy()
+    drop(demand)
     spark = problem.links.sparkSession
     state = spark.createDataFrame(pd.DataFrame({"link_id": ids, "flow": flow, "cost": cost}), "link_id long, flow double, cost double")
     paths = None

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import GraphInfo
-from ..scratch import cut
+from ..scratch import cut, drop
 
 
 def dense_ids(df: DataFrame, id_col: str, *order: str) -> DataFrame:
@@ -123,24 +123,29 @@ def strong_components(links: DataFrame) -> DataFrame:
 
 def _spread(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The smallest label that reaches each node."""
-    labels, frontier = cut(labels), labels
+    labels = cut(labels)
+    frontier, held = labels, None
     while True:
         sent = frontier.join(links, F.col("node") == F.col("u")).groupBy(F.col("v").alias("node")).agg(F.min("colour").alias("_new"))
         new = cut(labels.join(sent, "node", "left").select("node", F.least("colour", F.coalesce("_new", "colour")).alias("colour"), (F.coalesce("_new", "colour") < F.col("colour")).alias("_moved")))
-        labels, frontier = new.select("node", "colour"), new.where("_moved").select("node", "colour")
+        drop(labels if held is None else held)
+        held, labels, frontier = new, new.select("node", "colour"), new.where("_moved").select("node", "colour")
         if frontier.isEmpty():
             return labels
 
 
 def _reach(roots: DataFrame, links: DataFrame) -> DataFrame:
     """The nodes that reach a root (node, colour) over the links, with its colour."""
-    found, frontier = cut(roots), roots
+    found = cut(roots)
+    frontier = roots
     while True:
         back = frontier.select(F.col("node").alias("v"), "colour").join(links, "v").select(F.col("u").alias("node"), "colour").distinct()
-        frontier = cut(back.join(found, ["node", "colour"], "left_anti"))
-        if frontier.isEmpty():
+        fresh = cut(back.join(found, ["node", "colour"], "left_anti"))
+        if fresh.isEmpty():
             return found
-        found = cut(found.unionByName(frontier))
+        grown = cut(found.unionByName(fresh))
+        drop(found, frontier)
+        found, frontier = grown, fresh
 
 
 def largest_component(links: DataFrame) -> DataFrame:
@@ -155,6 +160,11 @@ def within(links: DataFrame, index: DataFrame) -> DataFrame:
     return encode_links(links, index, "u", "v")
 
 
+def links_by_zone(zone_links: DataFrame) -> DataFrame:
+    """(zone, links): the distinct links (u, v) of each zone, in order."""
+    return zone_links.groupBy("zone").agg(F.sort_array(F.collect_set(F.struct("u", "v"))).alias("links"))
+
+
 def centroids(zone_links: DataFrame, degrees: DataFrame) -> DataFrame:
     """(zone, node_id): the node that all links of a zone share.
 
@@ -168,11 +178,13 @@ def centroids(zone_links: DataFrame, degrees: DataFrame) -> DataFrame:
     return total.select("zone").join(best, "zone", "left").select("zone", F.col("best.node_id").alias("node_id"))
 
 
-def nearest_nodes(points: DataFrame, nodes: DataFrame, cell: float = 0.01, max_rings: int = 1 << 20) -> DataFrame:
+def nearest_nodes(points: DataFrame, nodes: DataFrame, cell: float = 0.01, rings: int = 6, slabs: int = 64) -> DataFrame:
     """``points`` (point_id, x, y) with the id of the nearest node (node_id, x, y): the smallest id among equals.
 
     Equal coordinates are joined first.  The others look in the grid cells around them, in
-    rings that double until the best distance lies within the ring.  Raises without nodes.
+    ``rings`` rings that double until the best distance lies within the ring.  Points that
+    are still open look among boxes of about equally many nodes: ``slabs`` by x, as many by
+    y in each.  Only boxes that may hold the nearest node are searched.  Raises without nodes.
     """
     if nodes.isEmpty():
         raise LookupError("there is no node to be near to")
@@ -181,19 +193,49 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, cell: float = 0.01, max_r
     done = joined.where("node_id is not null").select("point_id", "node_id")
     open_ = joined.where("node_id is null").select("point_id", "x", "y")
     ring = 1
-    while not open_.isEmpty():
-        if ring > max_rings:
-            raise LookupError("no node lies within the largest ring")
+    for _ in range(rings):
+        if open_.isEmpty():
+            break
         # Cells as wide as the ring keep the look-ups at nine whatever the ring is.
         wide = cell * ring
         gx, gy = F.floor(F.col("x") / wide).cast("long"), F.floor(F.col("y") / wide).cast("long")
         around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
         asked = open_.select("point_id", "x", "y", gx.alias("gx"), gy.alias("gy"), around.alias("a")).select("point_id", "x", "y", (F.col("gx") + F.col("a.i")).alias("gx"), (F.col("gy") + F.col("a.j")).alias("gy"))
         filed = nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny"), F.floor(F.col("x") / wide).cast("long").alias("gx"), F.floor(F.col("y") / wide).cast("long").alias("gy"))
-        dist2 = F.pow(F.col("x") - F.col("nx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("ny"), F.lit(2.0))
-        best = asked.join(filed, ["gx", "gy"]).groupBy("point_id").agg(F.min(F.struct(dist2.alias("d2"), "node_id")).alias("best"))
+        best = asked.join(filed, ["gx", "gy"]).groupBy("point_id").agg(F.min(F.struct(_square(), "node_id")).alias("best"))
         sure = cut(best.where(F.col("best.d2") <= F.lit(wide * wide)).select("point_id", "best.node_id"))
         done = done.unionByName(sure)
         open_ = cut(open_.join(sure, "point_id", "left_anti"))
         ring *= 2
+    if not open_.isEmpty():
+        done = done.unionByName(_by_boxes(open_, nodes, slabs))
     return points.join(done, "point_id")
+
+
+def _square():
+    """The square of the distance of (x, y) and (nx, ny)."""
+    return (F.pow(F.col("x") - F.col("nx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("ny"), F.lit(2.0))).alias("d2")
+
+
+def _by_boxes(points: DataFrame, nodes: DataFrame, slabs: int) -> DataFrame:
+    """(point_id, node_id) by bounding boxes, at most slabs * slabs of them, which are broadcast."""
+    shares = [i / slabs for i in range(1, slabs)]
+    at_x = F.array(*map(F.lit, nodes.approxQuantile("x", shares, 0.5 / slabs)))
+    above = lambda edges, c: F.size(F.filter(edges, lambda e: e < F.col(c)))
+    placed = nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny"), above(at_x, "x").alias("i"))
+    at_y = placed.groupBy("i").agg(F.percentile_approx("ny", shares, 10 * slabs).alias("edges"))
+    boxed = cut(placed.join(F.broadcast(at_y), "i").select("node_id", "nx", "ny", (F.col("i") * slabs + above(F.col("edges"), "ny")).alias("box")))
+    boxes = boxed.groupBy("box").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("nx", "ny")))
+    boxes = boxes.agg(F.collect_list(F.struct("box", "min_nx", "max_nx", "min_ny", "max_ny")).alias("boxes"))
+    zero = F.lit(0.0)
+
+    def nearest(b):
+        return F.pow(F.greatest(b.min_nx - F.col("x"), F.col("x") - b.max_nx, zero), F.lit(2.0)) + F.pow(F.greatest(b.min_ny - F.col("y"), F.col("y") - b.max_ny, zero), F.lit(2.0))
+
+    def farthest(b):
+        return F.pow(F.greatest(F.abs(F.col("x") - b.min_nx), F.abs(F.col("x") - b.max_nx)), F.lit(2.0)) + F.pow(F.greatest(F.abs(F.col("y") - b.min_ny), F.abs(F.col("y") - b.max_ny)), F.lit(2.0))
+
+    able = points.join(F.broadcast(boxes)).withColumn("most", F.array_min(F.transform("boxes", farthest)))
+    asked = able.select("point_id", "x", "y", F.explode(F.transform(F.filter("boxes", lambda b: nearest(b) <= F.col("most") * (1 + 1e-9)), lambda b: b.box)).alias("box"))
+    best = asked.join(boxed, "box").groupBy("point_id").agg(F.min(F.struct(_square(), "node_id")).alias("best"))
+    return best.select("point_id", "best.node_id")

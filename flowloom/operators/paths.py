@@ -12,37 +12,56 @@ import heapq
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import cut
+from ..scratch import cut, drop
 
-#: Links up to which the adjacency is broadcast: 16 bytes a link and vector.
+#: Links up to which the adjacency is broadcast: arrays of 32 bytes a link, and 8 bytes for each vector of costs.
 MAX_BROADCAST_LINKS = 4_000_000
+#: Links of a path that :func:`backtrack` walks in one round, as a power of two.
+STRIDE_BITS = 4
 
 
 class Adjacency:
-    """Outgoing links by node, in arrays."""
+    """Outgoing links by node, in arrays; each process makes the lists that it searches once."""
 
     def __init__(self, link_id: np.ndarray, u: np.ndarray, v: np.ndarray):
         names, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
         tail, head = ends[: len(u)], ends[len(u) :]
         order = np.lexsort((link_id, tail))
-        self.nodes = {int(n): i for i, n in enumerate(names)}
-        self.link_id, self.head, self.tail = link_id[order], head[order].tolist(), tail[order]
-        self.first = np.searchsorted(self.tail, np.arange(len(names) + 1)).tolist()
+        self.names = names
+        self.link_id, self.heads, self.tail = link_id[order], head[order].astype(np.int32), tail[order].astype(np.int32)
+        self.firsts = np.searchsorted(self.tail, np.arange(len(names) + 1))
         self.order = order
+        self._lists = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_lists": None}
+
+    @property
+    def lists(self) -> tuple[dict[int, int], list[int], list[int]]:
+        """(place by node, head by link, first link by place)."""
+        if self._lists is None:
+            self._lists = {int(n): i for i, n in enumerate(self.names)}, self.heads.tolist(), self.firsts.tolist()
+        return self._lists
+
+    @property
+    def nodes(self) -> dict[int, int]:
+        return self.lists[0]
 
     def search(self, source: int, cost: list[float]) -> tuple[list[float], list[int]]:
         """(distance, position of the parent link or -1) by node; ``cost`` in the order of ``order``."""
-        n = len(self.nodes)
+        nodes, head, first = self.lists
+        n = len(nodes)
         dist, parent, done = [float("inf")] * n, [-1] * n, [False] * n
-        start = self.nodes.get(source)
+        start = nodes.get(source)
         if start is None:
             return dist, parent
         dist[start] = 0.0
         queue = [(0.0, start)]
-        head, first, ids = self.head, self.first, self.link_id
+        ids = self.link_id
         while queue:
             d, i = heapq.heappop(queue)
             if done[i]:
@@ -71,9 +90,10 @@ class Adjacency:
 
 def adjacency(links: DataFrame, max_links: int = MAX_BROADCAST_LINKS) -> tuple[Adjacency, pd.DataFrame] | None:
     """The adjacency and the links by position if there are at most ``max_links``, else None."""
-    rows = links.limit(max_links + 1).toPandas()
-    if len(rows) > max_links:
+    rows = links.limit(max_links + 1).toArrow()
+    if rows.num_rows > max_links:
         return None
+    rows = rows.to_pandas()
     a = Adjacency(rows["link_id"].to_numpy(), rows["u"].to_numpy(), rows["v"].to_numpy())
     return a, rows.iloc[a.order].reset_index(drop=True)
 
@@ -81,17 +101,18 @@ def adjacency(links: DataFrame, max_links: int = MAX_BROADCAST_LINKS) -> tuple[A
 TRIP_PATHS = "trip_id long, source long, target long, volume double, cost double, links array<long>"
 
 
-def search_trips(demand: DataFrame, held: Adjacency, cost: np.ndarray) -> DataFrame:
+def search_trips(demand: DataFrame, held: Adjacency | Broadcast, cost: np.ndarray | Broadcast) -> DataFrame:
     """The best path of each trip by broadcast adjacency: TRIP_PATHS, null cost and links if unreachable.
 
     A search serves all of a source's trips in a task; hot sources are spread by trip, at
-    the price of a search in each task that has one.
+    the price of a search in each task that has one.  What is broadcast already is used as
+    it is, so that a caller can send the network once and destroy the costs of a step.
     """
-    spark = demand.sparkSession
-    shared = spark.sparkContext.broadcast((held, cost.tolist()))
+    context = demand.sparkSession.sparkContext
+    network, prices = (x if isinstance(x, Broadcast) else context.broadcast(x) for x in (held, cost))
 
     def run(batches):
-        graph, costs = shared.value
+        graph, costs = network.value, prices.value.tolist()
         last = None
         for batch in batches:
             out = []
@@ -128,7 +149,7 @@ def relax(links: DataFrame, sources: DataFrame, max_rounds: int | None = None) -
     source).  At most ``max_rounds`` rounds run, by default until nothing changes.
     """
     best = cut(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("link_id")).distinct())
-    frontier = best
+    frontier = held = best
     edges = links.select("link_id", "u", "v", "cost")
     rounds = 0
     while not frontier.isEmpty() and (max_rounds is None or rounds < max_rounds):
@@ -144,20 +165,32 @@ def relax(links: DataFrame, sources: DataFrame, max_rounds: int | None = None) -
             (better & (F.col("dist").isNull() | (F.col("new.dist") < F.col("dist")))).alias("_moved"),
         )
         labelled = cut(best_new)
-        best, frontier = labelled.drop("_moved"), labelled.where("_moved").drop("_moved")
+        drop(held)
+        held, best, frontier = labelled, labelled.drop("_moved"), labelled.where("_moved").drop("_moved")
         rounds += 1
     return best
 
 
 def backtrack(labels: DataFrame, links: DataFrame, demand: DataFrame) -> DataFrame:
-    """The best path of each trip (TRIP_PATHS) from the labels of :func:`relax`, a link of all paths in each round."""
+    """The best path of each trip (TRIP_PATHS) from the labels of :func:`relax`.
+
+    Each label's way towards its source is doubled STRIDE_BITS times first, so that a round
+    takes 2 ** STRIDE_BITS links of all open paths, and paths of n links take n / 2 **
+    STRIDE_BITS rounds.
+    """
     labels = labels.where("link_id is not null").select("source", F.col("node").alias("at"), "link_id")
-    steps = labels.join(links.select("link_id", F.col("u").alias("before")), "link_id")
+    steps = cut(labels.join(links.select("link_id", F.col("u").alias("before")), "link_id").select("source", "at", "before", F.array("link_id").alias("way")))
+    for _ in range(STRIDE_BITS):
+        further = steps.select("source", F.col("at").alias("before"), F.col("before").alias("_before"), F.col("way").alias("_way"))
+        joined = steps.join(further, ["source", "before"], "left")
+        longer = cut(joined.select("source", "at", F.coalesce("_before", "before").alias("before"), F.concat(F.coalesce("_way", F.array().cast("array<long>")), "way").alias("way")))
+        drop(steps)
+        steps = longer
     ends = demand.select("trip_id", "source", "target", "volume")
     done = ends.where("source = target").select("trip_id", F.array().cast("array<long>").alias("links"))
     walk = cut(ends.where("source <> target").select("trip_id", "source", F.col("target").alias("at"), F.array().cast("array<long>").alias("links")))
     while not walk.isEmpty():
-        moved = cut(walk.join(steps, ["source", "at"]).select("trip_id", "source", F.col("before").alias("at"), F.concat(F.array("link_id"), "links").alias("links")))
+        moved = cut(walk.join(steps, ["source", "at"]).select("trip_id", "source", F.col("before").alias("at"), F.concat("way", "links").alias("links")))
         done = done.unionByName(moved.where("at = source").select("trip_id", "links"))
         walk = moved.where("at <> source")
     return ends.join(done, "trip_id", "left")

@@ -2,8 +2,9 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from flowloom.operators import demand, graph
+from flowloom.operators import demand, graph, paths
 
 
 def rows(frame, *columns):
@@ -108,3 +109,24 @@ def test_matrix_demand(spark):
     assert found == {(1, 2), (2, 2), (3, 1)}
     zones = spark.createDataFrame([(1, 7), (2, 8), (3, None)], "zone long, node_id long")
     assert rows(demand.travel_demand(cells, zones), "seq", "source", "target", "volume") == [(0, 7, 8, 5.0)]
+
+
+def test_far_points_and_clustered_nodes(spark):
+    """Points far outside, and nodes of which nearly all stand in one place: against every pair."""
+    rng = random.Random(3)
+    nodes = [(i, rng.gauss(0, 1e-3), rng.gauss(0, 1e-3)) for i in range(300)] + [(300 + i, rng.uniform(-50, 50), rng.uniform(-50, 50)) for i in range(40)]
+    points = [(i, rng.uniform(-80, 80), rng.uniform(-80, 80)) for i in range(120)] + [(900, 1e7, -1e7), (901, nodes[5][1], nodes[5][2])]
+    found = graph.nearest_nodes(spark.createDataFrame(points, "point_id long, x double, y double"), spark.createDataFrame(nodes, "node_id long, x double, y double"), rings=2, slabs=8)
+    expected = {p: min(((x - a) ** 2 + (y - b) ** 2, n) for n, a, b in nodes)[1] for p, x, y in points}
+    assert {r["point_id"]: r["node_id"] for r in found.collect()} == expected
+
+
+def test_long_paths_are_walked_back(spark):
+    n = 70
+    links = spark.createDataFrame([(i, i, i + 1, 1.0) for i in range(n)], "link_id long, u long, v long, cost double")
+    demand = spark.createDataFrame([(0, 0, n, 1.0), (1, 3, 20, 1.0), (2, 5, 5, 1.0), (3, 9, 2, 1.0), (4, 8, 9, 1.0)], "trip_id long, source long, target long, volume double")
+    sources = spark.createDataFrame([(0,), (3,), (9,), (8,)], "source long")
+    labels = sources.join(links.select(F.col("v").alias("node"), "link_id"))
+    labels = labels.where("node > source").withColumn("dist", (F.col("node") - F.col("source")).cast("double"))
+    found = {r["trip_id"]: r["links"] for r in paths.backtrack(labels, links, demand).collect()}
+    assert found == {0: list(range(n)), 1: list(range(3, 20)), 2: [], 3: None, 4: [8]}
