@@ -70,3 +70,8 @@ def error_metrics(found: DataFrame, expected: DataFrame, key: str = "link_id") -
         F.sqrt(F.sum(F.pow(off, F.lit(2.0)))).alias("relative_norm"),
         (F.try_divide(dot(F.col("flow"), F.col("cost")), dot(F.col("e_flow"), F.col("e_cost"))) - 1).alias("cost_ratio_excess"),
     )
+
+
+def debug(frame: DataFrame, column: str, id_col: str = "link_id", n: int = 20) -> str:
+    """The first ``n`` values of a vector as one line, in order of ids."""
+    return " ".join(f"{r[0]:g}" for r in frame.orderBy(id_col).select(column).limit(n).collect())

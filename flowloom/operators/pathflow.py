@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import cut
+from ..scratch import cut, drop
 from .equilibrium import Result
 from .graph import dense_ids
 
@@ -53,8 +53,8 @@ def shape(coordinates: DataFrame) -> DataFrame:
 class LinearProgram:
     """Equality rows (cid, sense, rhs) and coefficients (row, col, value); all variables are at least 0 and cost nothing.
 
-    Solving arbitrary programs is out of scope: what is asked of this one is a feasible
-    point, which :func:`path_flows` constructs.
+    As all variables cost nothing, any feasible point is an optimum: :meth:`optimize` finds
+    one, and :func:`path_flows` constructs one from the loadings of a result.
     """
 
     constraints: DataFrame
@@ -78,6 +78,34 @@ class LinearProgram:
         tail = spark.range(1).select(F.lit(2**62).cast("long").alias("cid"), F.lit("End").alias("line"))
         head.unionByName(self.rows()).unionByName(tail).orderBy("cid").select("line").write.text(path)
 
+    def optimize(self, tolerance: float = 1e-6, max_rounds: int = 200) -> DataFrame:
+        """Values (col, flow) of at least 0 that meet all rows up to ``tolerance``, by multiplicative corrections.
+
+        Every round scales each variable by the geometric mean of what its rows ask for over
+        what they get, as two joins.  A row that asks for 0 empties its variables; a program
+        that ``max_rounds`` rounds don't meet raises, be it infeasible or slow.
+        """
+        rows = self.coefficients.join(self.constraints.select(F.col("cid").alias("row"), "rhs"), "row")
+        rows = cut(rows.where("value <> 0").select("row", "col", "value", "rhs"))
+        values = cut(rows.groupBy("col").agg(F.min(F.col("rhs") / F.col("value")).alias("flow")))
+        for _ in range(max_rounds):
+            made = rows.join(values, "col").groupBy("row").agg(F.sum(F.col("value") * F.col("flow")).alias("made"), F.first("rhs").alias("rhs"))
+            made = cut(made)
+            worst = made.agg(F.max(F.abs(F.col("made") - F.col("rhs")))).first()[0]
+            if worst is None or worst <= tolerance:
+                drop(made, rows)
+                return values
+            share = F.when((F.col("rhs") > 0) & (F.col("made") > 0), F.log(F.col("rhs") / F.col("made"))).otherwise(F.lit(float("-inf")))
+            scale = rows.join(made.select("row", share.alias("share")), "row").groupBy("col").agg(F.avg("share").alias("share"))
+            new = cut(values.join(scale, "col").select("col", (F.col("flow") * F.exp("share")).alias("flow")))
+            drop(made, values)
+            values = new
+        raise ValueError(f"no point within {tolerance} of all rows after {max_rounds} rounds")
+
+    def get_values(self, values: DataFrame) -> list[float]:
+        """The values of all variables in order of columns, on the driver."""
+        return [r["flow"] for r in values.orderBy("col").select("flow").toLocalIterator()]
+
     def residual(self, values: DataFrame) -> DataFrame:
         """(residual): the largest absolute violation by values (col, flow)."""
         made = self.coefficients.join(values, "col").groupBy(F.col("row").alias("cid")).agg(F.sum(F.col("value") * F.col("flow")).alias("made"))

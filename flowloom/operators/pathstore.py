@@ -43,42 +43,52 @@ def links_of(key: Column) -> Column:
     return F.reverse(F.transform(at, lambda i: F.conv(swapped(i), 16, 10).cast("long")))
 
 
-SCHEMA = T.StructType([T.StructField("seq", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("value", T.BinaryType())])
+SCHEMA = T.StructType([T.StructField("seq", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("value", T.BinaryType()), T.StructField("batch", T.IntegerType())])
 
 
 class PathStore:
-    """Upserts are appended in batches; a read takes the last value of each key."""
+    """Upserts are appended in batches, a folder each; a read takes the last value of each key."""
 
     def __init__(self, spark: SparkSession, path: str):
         self._spark, self.path = spark, path
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         self._fs = self._hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _rows(self) -> DataFrame:
+    def _batches(self) -> list[int]:
         if not self._fs.exists(self._hadoop):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._hadoop)]
+        return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+    def _rows(self) -> DataFrame:
+        if not self._batches():
             return self._spark.createDataFrame([], SCHEMA)
         return self._spark.read.schema(SCHEMA).parquet(self.path)
 
     def frame(self) -> DataFrame:
         """(key, value): the last value of every key."""
-        return self._rows().groupBy("key").agg(F.max_by("value", "seq").alias("value"))
+        return self._rows().groupBy("key").agg(F.max_by("value", F.struct("batch", "seq")).alias("value"))
 
     def upsert(self, rows: DataFrame) -> None:
-        """Append (key, value) rows as one batch, which is later than all before."""
-        last = self._rows().agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
-        rows.select(F.lit(last + 1).cast("long").alias("seq"), "key", "value").write.mode("append").parquet(self.path)
+        """Append (key, value) rows as one batch, which is later than all before; of equal keys in it the last row counts.
+
+        Rows stand in the order of the column ``seq`` if there is one, else in that of the frame.
+        """
+        seq = F.col("seq").cast("long") if "seq" in rows.columns else F.monotonically_increasing_id()
+        batch = max(self._batches(), default=-1) + 1
+        rows.select(seq.alias("seq"), "key", "value").write.parquet(f"{self.path}/batch={batch}")
 
     def add_paths(self, paths: DataFrame) -> None:
         """Append paths (trip_id, links)."""
         value = F.unhex(F.concat(*(F.substring(F.lpad(F.hex("trip_id"), 16, "0"), 15 - 2 * k, 2) for k in range(8))))
-        self.upsert(paths.select(key_of(F.col("links")).alias("key"), value.alias("value")))
+        self.upsert(paths.select(key_of(F.col("links")).alias("key"), value.alias("value"), *(c for c in paths.columns if c == "seq")))
 
     def set(self, key: bytes, value: bytes) -> None:
         self.upsert(self._spark.createDataFrame([(bytearray(key), bytearray(value))], "key binary, value binary"))
 
     def get(self, key: bytes) -> bytes | None:
         """The value, or None where the key is absent."""
-        r = self._rows().where(F.col("key") == F.lit(bytearray(key))).agg(F.max_by("value", "seq")).first()
+        r = self._rows().where(F.col("key") == F.lit(bytearray(key))).agg(F.max_by("value", F.struct("batch", "seq"))).first()
         return None if r[0] is None else bytes(r[0])
 
     def scan(self) -> DataFrame:

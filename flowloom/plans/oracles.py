@@ -68,7 +68,71 @@ SELECT point_id, node_id FROM (
 """
 BPR_COST = "round(free_flow_time * (1 + {weight} * power(flow / capacity, 4)), 6) AS cost"
 
+
+
+def solver(steps: int, weight: float) -> str:
+    """WITH clauses that unroll the Frank-Wolfe method: ``state<k>`` (link_id, flow, cost) and ``load<k>`` (trip_id, path) of each step.
+
+    Every simple path of up to eight links is priced anew in each step; the slope of the
+    line search is a polynomial of the step whose coefficients are sums over the links.
+    """
+    price = f"free_flow_time * (1 + {weight} * power({{flow}} / capacity, 4))"
+    parts = [
+        f"""simple AS MATERIALIZED (SELECT row_number() OVER () AS p, source, node, path FROM walk WHERE source <> node AND len(path) > 0),
+used AS MATERIALIZED (SELECT p, unnest(path) AS link_id FROM simple),
+wanted AS MATERIALIZED (SELECT trip_id, source, target, volume FROM found WHERE path IS NOT NULL)"""
+    ]
+    costs = "SELECT link_id, free_flow_time AS cost FROM links"
+    for k in range(steps + 1):
+        parts.append(
+            f"""load{k} AS MATERIALIZED (
+  SELECT trip_id, volume, path, dist FROM wanted JOIN (
+    SELECT source AS start, node, min(dist) AS dist, arg_min(path, dist) AS path
+    FROM simple JOIN (SELECT p, sum(cost) AS dist FROM used JOIN ({costs}) USING (link_id) GROUP BY p) USING (p) GROUP BY ALL) ON node = target AND start = source),
+flow{k} AS MATERIALIZED (
+  SELECT links.*, coalesce(f.y, 0.0) AS y FROM links LEFT JOIN (SELECT link_id, sum(volume) AS y FROM (SELECT unnest(path) AS link_id, volume FROM load{k}) GROUP BY 1) f USING (link_id))"""
+        )
+        if k == 0:
+            parts.append(f"state0 AS MATERIALIZED (SELECT link_id, capacity, free_flow_time, y::DOUBLE AS flow, {price.format(flow='y')} AS cost FROM flow0)")
+            parts.append("step0 AS MATERIALIZED (SELECT 1.0::DOUBLE AS step, NULL::DOUBLE AS gap)")
+        else:
+            terms = ", ".join(
+                f"sum(free_flow_time * {weight} * {(1, 4, 6, 4, 1)[j]} * power(flow / capacity, {4 - j}) * power(d / capacity, {j}) * d{' + free_flow_time * d' if j == 0 else ''}) AS c{j}" for j in range(5)
+            )
+            slope = "c0 + a * (c1 + a * (c2 + a * (c3 + a * c4)))"
+            parts.append(
+                f"""moving{k} AS MATERIALIZED (SELECT s.*, y - flow AS d FROM state{k - 1} s JOIN flow{k} USING (link_id)),
+slope{k} AS MATERIALIZED (SELECT {terms} FROM moving{k}),
+halve{k}(low, high, value, a, n) AS (
+  SELECT 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0
+  UNION ALL
+  SELECT CASE WHEN v < 0 THEN a ELSE low END, CASE WHEN v < 0 THEN high ELSE a END, v, a, n + 1
+  FROM (SELECT low, high, n, a, {slope} AS v FROM (SELECT low, high, n, 0.5 * (low + high) AS a FROM halve{k} WHERE (high - low > 1e-6 OR value > 0) AND n < 200), slope{k})),
+step{k} AS MATERIALIZED (
+  SELECT arg_max(a, n) AS step, (SELECT (SELECT sum(flow * cost) FROM state{k - 1}) - sum(volume * dist) FROM load{k}) / (SELECT sum(volume) FROM wanted) AS gap FROM halve{k}),
+state{k} AS MATERIALIZED (SELECT link_id, capacity, free_flow_time, flow, {price.format(flow='flow')} AS cost FROM (SELECT link_id, capacity, free_flow_time, flow + step * d AS flow FROM moving{k}, step{k}))"""
+            )
+        costs = f"SELECT link_id, cost FROM state{k}"
+    return walks(", " + ",\n".join(parts))
+
+
+def shares(steps: int) -> str:
+    """The share of each loading in the flow after the last step."""
+    left = [f"(SELECT step FROM step{k})" + "".join(f" * (1 - (SELECT step FROM step{j}))" for j in range(k + 1, steps + 1)) for k in range(steps + 1)]
+    return " UNION ALL ".join(f"SELECT trip_id, path, volume * {x} AS flow FROM load{k}" for k, x in enumerate(left))
+
+
+SOLVED = "SELECT link_id, round(flow, 4) AS flow, round(cost, 4) AS cost FROM state10"
 ORACLES = {
+    "frank_wolfe_ue": solver(10, 0.15) + f" {SOLVED}",
+    "frank_wolfe_so": solver(10, 0.75) + f" {SOLVED}",
+    "frank_wolfe_improve": solver(10, 0.15) + f" {SOLVED}",
+    "frank_wolfe_gaps": solver(4, 0.15) + " " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS iteration, round(gap, 4) AS gap FROM step{k}" for k in range(1, 5)),
+    "path_flows": solver(3, 0.15)
+    + f""", paths AS (SELECT trip_id, path, sum(flow) AS flow FROM ({shares(3)}) GROUP BY ALL)
+        SELECT (row_number() OVER (ORDER BY trip_id, '[' || array_to_string(path, ',') || ']') - 1)::BIGINT AS col, trip_id, array_to_string(path, '-') AS links, round(flow, 4) AS flow FROM paths""",
+    "path_flow_residual": "SELECT 0.0::DOUBLE AS residual",
+    "braess": "SELECT * FROM (VALUES (0::BIGINT, 4.0::DOUBLE, 40.0::DOUBLE, 3.0::DOUBLE), (1, 2.0, 52.0, 3.0), (2, 2.0, 12.0, 0.0), (3, 2.0, 52.0, 3.0), (4, 4.0, 40.0, 3.0)) AS t(link_id, flow, cost, optimum)",
     "network_links": net("SELECT * FROM links"),
     "node_index": net("SELECT node, (row_number() OVER (ORDER BY node) - 1)::BIGINT AS node_id FROM (SELECT u AS node FROM links UNION SELECT v FROM links)"),
     "link_degree": net("SELECT u AS node_id, count(*) AS degree FROM links WHERE u <> v GROUP BY 1"),
@@ -97,8 +161,9 @@ ORACLES = {
         CASE WHEN n <= 0 THEN 0.0 ELSE round(n / capacity, 6) END::DOUBLE AS length_by_speed FROM (SELECT *, free_flow_time * (link_id % 4) AS n FROM links)"""
     ),
     "bidirectional_expand": net(
-        """SELECT link_id * 2 AS seq, u, v, u || '-' || v || '-' || link_id AS geometry FROM links
-        UNION ALL SELECT link_id * 2 + 1, v, u, link_id || '-' || v || '-' || u FROM links"""
+        """SELECT link_id * 2 AS seq, link_id AS id, u, v, 30.0::DOUBLE AS speed, greatest(100.0, least(9999.0, capacity))::DOUBLE AS capacity, u AS zone, 1::BIGINT AS lanes,
+          u || '-' || link_id || '-' || v AS geometry FROM links
+        UNION ALL SELECT link_id * 2 + 1, link_id, v, u, 20.0, 100.0, v, link_id % 2, v || '-' || link_id || '-' || u FROM links"""
     ),
     "parallel_links": net(
         """, folded AS (SELECT (row_number() OVER (ORDER BY u, v) - 1)::BIGINT AS seq, u % 8 AS u, v % 8 AS v, orders FROM flows)

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import roads, vectors
-from ..functions.cost import Bpr, Linear, MarginalBpr, MarginalLinear
+from ..functions.cost import Bpr, Linear, MarginalBpr, MarginalLinear, check_capacity
 from ..operators import demand as trips
 from ..operators import graph, pathflow, pathstore
 from ..operators.equilibrium import FrankWolfeSettings, Problem, average_excess_cost, slope_grid, solve, sptt, system_optimum, tstt
 from ..operators.loading import link_flow
 from ..operators.paths import backtrack, relax, shortest_paths
 from ..scratch import cut
+from ..sources.shapefile import directed_links
 from . import testnet
 
 BPR = Bpr(0.15, 4.0)
@@ -25,6 +26,18 @@ def query(f):
     return f
 
 
+def link_features(links: DataFrame) -> DataFrame:
+    """Links as features of a shapefile: (record, properties, geometry), at points (u, 0), (v, 1) and a bend between."""
+    text = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    values = {
+        "ID_1": "link_id", "LENGTH": "free_flow_time", "AB_SPEED": F.lit(30), "BA_SPEED": F.lit(20), "AB_CAPACIT": "capacity", "BA_CAPACIT": F.lit(50),
+        "AB_ZONE": "u", "BA_ZONE": "v", "AB_LANES": F.lit(1), "BA_LANES": F.col("link_id") % 2, "LAT1": "u", "LON1": F.lit(0), "LAT2": "v", "LON2": F.lit(1),
+    }
+    properties = F.create_map(*(x for k, v in values.items() for x in (F.lit(k), text(v))))
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), F.lit(float(y)).alias("y"))
+    return links.select(F.col("link_id").alias("record"), properties.alias("properties"), F.array(point(F.col("u"), 0), point(F.col("link_id"), 2), point(F.col("v"), 1)).alias("geometry"))
+
+
 def r6(c, name: str):
     return F.round(c, 6).alias(name)
 
@@ -144,7 +157,8 @@ QUERIES["cost_marginal_linear"] = _cost_query(MarginalLinear())
 
 @query
 def minimum_capacity(spark, sf):
-    return testnet.links(spark, sf).agg(F.min("capacity").alias("minimum_capacity"), (F.min("capacity") <= 0).alias("bad"))
+    least = check_capacity(testnet.links(spark, sf))
+    return spark.range(1).select(F.lit(least).alias("minimum_capacity"), F.lit(least <= 0).alias("bad"))
 
 
 @query
@@ -166,12 +180,10 @@ def free_flow_time(spark, sf):
 
 @query
 def bidirectional_expand(spark, sf):
-    """Each link in both directions, geometry reversed."""
-    way = lambda u, v, g: F.struct(u.alias("u"), v.alias("v"), g.alias("geometry"))
-    line = F.array("u", "v", "link_id")
-    both = F.array(way(F.col("u"), F.col("v"), line), way(F.col("v"), F.col("u"), F.reverse(line)))
-    out = testnet.links(spark, sf).select("link_id", F.posexplode(both).alias("way", "l"))
-    return out.select((F.col("link_id") * 2 + F.col("way")).alias("seq"), "l.u", "l.v", F.array_join(F.transform("l.geometry", lambda x: x.cast("string")), "-").alias("geometry"))
+    """Each link as a feature in both directions, geometry reversed."""
+    out = directed_links(link_features(testnet.links(spark, sf)))
+    geometry = F.array_join(F.transform("geometry", lambda p: p.x.cast("long").cast("string")), "-")
+    return out.select("seq", "id", F.col("from_point.x").cast("long").alias("u"), F.col("to_point.x").cast("long").alias("v"), "speed", F.col("capacity").cast("double").alias("capacity"), "zone", "lanes", geometry.alias("geometry"))
 
 
 @query
@@ -185,8 +197,8 @@ def parallel_links(spark, sf):
 def zone_grouping(spark, sf):
     """Large links by zone of their start."""
     virtual = testnet.links(spark, sf).where(roads.is_virtual(roads.capacity(F.col("capacity"))) | (F.col("link_id") % 2 == 0))
-    pairs = F.sort_array(F.collect_list(F.format_string("%02d-%02d", "u", "v")))
-    return virtual.groupBy((F.col("u") % 6).alias("zone")).agg(F.array_join(pairs, ",").alias("links"))
+    by_zone = graph.links_by_zone(virtual.select((F.col("u") % 6).alias("zone"), "u", "v"))
+    return by_zone.select("zone", F.array_join(F.transform("links", lambda x: F.format_string("%02d-%02d", x.u, x.v)), ",").alias("links"))
 
 
 @query
@@ -382,27 +394,64 @@ def nearest_node(spark, sf):
 SETTINGS = FrankWolfeSettings(10, 1e-4, 1e-6)
 
 
+def _solved(result) -> DataFrame:
+    return result.flow.select("link_id", F.round("flow", 4).alias("flow"), F.round("cost", 4).alias("cost"))
+
+
 @query
 def frank_wolfe_ue(spark, sf):
-    return solve(problem(spark, sf), SETTINGS).flow
+    return _solved(solve(problem(spark, sf), SETTINGS))
 
 
 @query
 def frank_wolfe_so(spark, sf):
-    return system_optimum(problem(spark, sf), SETTINGS).flow
+    return _solved(system_optimum(problem(spark, sf), SETTINGS))
 
 
 @query
 def frank_wolfe_improve(spark, sf):
     """Five steps and five more from there."""
     half = FrankWolfeSettings(5, SETTINGS.gap_tolerance, SETTINGS.line_search_tolerance)
-    return solve(problem(spark, sf), half).improve().flow
+    return _solved(solve(problem(spark, sf), half).improve())
 
 
 @query
-def path_flows(spark, sf):
+def frank_wolfe_gaps(spark, sf):
+    """The gap that each of four steps starts from."""
+    p, gaps = problem(spark, sf), []
+    found = solve(p, FrankWolfeSettings(1, 1e-4, 1e-6))
+    for k in range(1, 5):
+        gaps.append((k, round(found.gap, 4)))
+        found = found.improve() if k < 4 else found
+    return spark.createDataFrame(gaps, "iteration long, gap double")
+
+
+def _path_flows(spark, sf):
     found = solve(problem(spark, sf), FrankWolfeSettings(3, 1e-4, 1e-6), keep_paths=True)
-    _, values = pathflow.estimate(found)
-    return values
+    return pathflow.estimate(found)
 
 
+@query
+def path_flows(spark, sf):
+    _, values = _path_flows(spark, sf)
+    links = F.array_join(F.transform("links", lambda x: x.cast("string")), "-")
+    return values.select("col", "trip_id", links.alias("links"), F.round("flow", 4).alias("flow"))
+
+
+@query
+def path_flow_residual(spark, sf):
+    """By how much path flows miss the volumes and link flows."""
+    program, values = _path_flows(spark, sf)
+    return program.residual(values).select(F.round("residual", 6).alias("residual"))
+
+
+@query
+def braess(spark, sf):
+    """A published network of five links: the equilibrium's flows and costs, and the system optimum's flows."""
+    # Fixed values: (u, v, coefficient, constant) of its links.
+    rows = [(0, 1, 10.0, 0.0), (0, 2, 1.0, 50.0), (1, 2, 1.0, 10.0), (1, 3, 1.0, 50.0), (2, 3, 10.0, 0.0)]
+    links = cut(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "link_id long, u long, v long, coefficient double, constant double"))
+    demand = cut(spark.createDataFrame([(0, 0, 3, 6.0)], "trip_id long, source long, target long, volume double"))
+    p, settings = Problem(links, demand, Linear(), "braess", 4), FrankWolfeSettings(60, 1e-2, 1e-6)
+    best = system_optimum(p, settings).flow.select("link_id", F.round("flow", 0).alias("optimum"))
+    return solve(p, settings).flow.select("link_id", F.round("flow", 1).alias("flow"), F.round("cost", 1).alias("cost")).join(best, "link_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import json
 
 import numpy as np
 import pandas as pd
@@ -61,9 +62,38 @@ def encode(paths: DataFrame) -> DataFrame:
     return paths.select("trip_id", "links").mapInPandas(run, "content binary")
 
 
+def parse_sequences(text: str) -> list:
+    """Nested sequences of whole numbers in YAML, in flow style (``[0, [1]]``) or block style (``- 0``)."""
+    if text.lstrip().startswith("["):
+        return json.loads(text)
+    top: list = []
+    open_: list[tuple[int, list]] = [(-1, top)]  # (column of its dashes, sequence)
+    for line in text.splitlines():
+        at = len(line) - len(line.lstrip(" "))
+        rest = line[at:].rstrip()
+        if not rest or rest.startswith(("#", "---")):
+            continue
+        while rest.startswith("-"):
+            while open_[-1][0] > at:
+                open_.pop()
+            if open_[-1][0] < at:
+                inner: list = []
+                open_[-1][1].append(inner)
+                open_.append((at, inner))
+            body = rest[1:].lstrip(" ")
+            at, rest = at + len(rest) - len(body), body
+        if rest:
+            open_[-1][1].append(json.loads(rest))
+    return top[0] if top else []
+
+
 def read_tries(spark: SparkSession, contents: str) -> DataFrame:
-    """(trip source, target, links) of the legacy listing ``[source, [[target, [links]], ...]]`` in flow style."""
-    import json
+    """(source, target, links) of the legacy listing ``[source, [[target, [links]], ...]]`` for each source."""
+    rows = [(s, t, links) for s, targets in parse_sequences(contents) for t, links in targets]
+    return spark.createDataFrame(rows, "source long, target long, links array<long>")
+
 
-    rows = [(s, t, links) for s, targets in json.loads(contents) for t, links in targets]
-    return spark.createDataFrame(rows, "source long, target long, links array<long>").select("source", "target", F.col("links"))
+def display(paths: DataFrame, n: int = 20) -> list[str]:
+    """The first ``n`` paths (source, target, links) as lines, in order."""
+    rows = paths.orderBy("source", "target", "links").limit(n).collect()
+    return [f"{r['source']} -> {r['target']}: {' '.join(map(str, r['links']))}" for r in rows]

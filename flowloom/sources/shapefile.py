@@ -18,8 +18,8 @@ FEATURES = "record long, properties map<string,string>, geometry array<struct<x:
 DEFAULT_NODES, DEFAULT_LINKS = "node.shp", "link.shp"
 
 
-def parse_dbf(data: bytes) -> list[dict[str, str | None]]:
-    """The records that aren't deleted, as trimmed text (empty is None)."""
+def parse_dbf(data: bytes) -> list[dict[str, str | None] | None]:
+    """The records as trimmed text (empty is None); None for a deleted one."""
     count, head, size = struct.unpack_from("<IHH", data, 4)
     fields, at = [], 32
     while data[at] != 0x0D:
@@ -29,6 +29,7 @@ def parse_dbf(data: bytes) -> list[dict[str, str | None]]:
     for i in range(count):
         row = data[head + i * size : head + (i + 1) * size]
         if row[:1] == b"*":
+            out.append(None)
             continue
         values, k = {}, 1
         for name, width in fields:
@@ -58,7 +59,10 @@ def parse_shp(data: bytes) -> list[list[tuple[float, float]]]:
 
 
 def features(spark: SparkSession, path: str) -> DataFrame:
-    """(record, properties, geometry) of a shapefile; ``record`` is its place in the file."""
+    """(record, properties, geometry) of a shapefile; ``record`` is its place among those that aren't deleted.
+
+    A file is read by one task, as its records have no place that is known beforehand.
+    """
     stem = path[:-4] if path.lower().endswith(".shp") else path
 
     def run(batches):
@@ -66,7 +70,8 @@ def features(spark: SparkSession, path: str) -> DataFrame:
             for shp, dbf in zip(batch["shp"], batch["dbf"]):
                 rows = parse_dbf(bytes(dbf))
                 shapes = parse_shp(bytes(shp)) if shp is not None else [[] for _ in rows]
-                yield pd.DataFrame({"record": range(len(rows)), "properties": rows, "geometry": [[{"x": x, "y": y} for x, y in s] for s in shapes]})
+                kept = [(r, [{"x": x, "y": y} for x, y in s]) for r, s in zip(rows, shapes, strict=True) if r is not None]
+                yield pd.DataFrame({"record": range(len(kept)), "properties": [r for r, _ in kept], "geometry": [s for _, s in kept]})
 
     dbf = spark.read.format("binaryFile").load(f"{stem}.dbf").select(F.col("content").alias("dbf"))
     shp = spark.read.format("binaryFile").load(f"{stem}.shp").select(F.col("content").alias("shp"))

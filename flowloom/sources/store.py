@@ -6,6 +6,7 @@ Small descriptions are JSON in the published layouts; vectors and paths are Parq
 from __future__ import annotations
 
 import datetime
+import io
 import json
 from dataclasses import asdict
 
@@ -24,34 +25,58 @@ def _fs(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """One file by the file system of its path; an existing one raises."""
     target, fs = _fs(spark, path)
     out = fs.create(target, False)
-    out.write(bytearray(text, "utf-8"))
+    out.write(bytearray(data))
     out.close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
 def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
-def save_graph(graph: DiGraph, directory: str) -> None:
-    """``network.json``: name, number_of_nodes and the edges in order of ids."""
+#: Links or trips up to which they stand in the JSON file itself; more are written as Parquet beside it.
+MAX_JSON_ROWS = 1_000_000
+
+
+def save_graph(graph: DiGraph, directory: str, max_rows: int = MAX_JSON_ROWS) -> None:
+    """``network.json``: name, number_of_nodes and the edges in order of ids, or beyond ``max_rows`` null edges and ``network_edges``."""
+    spark, links = graph.links_frame.sparkSession, graph.links_frame.select("link_id", "u", "v")
+    if links.count() > max_rows:
+        links.write.parquet(f"{directory}/network_edges")
+        write_text(spark, f"{directory}/network.json", json.dumps({"name": graph.name, "number_of_nodes": graph.number_of_nodes, "edges": None}))
+        return
     edges = F.transform(F.sort_array(F.collect_list(F.struct("link_id", "u", "v"))), lambda x: F.array(x.u, x.v))
-    r = graph.links_frame.agg(F.to_json(F.struct(F.lit(graph.name).alias("name"), F.lit(graph.number_of_nodes).alias("number_of_nodes"), edges.alias("edges")))).first()
-    write_text(graph.links_frame.sparkSession, f"{directory}/network.json", r[0])
+    r = links.agg(F.to_json(F.struct(F.lit(graph.name).alias("name"), F.lit(graph.number_of_nodes).alias("number_of_nodes"), edges.alias("edges")))).first()
+    write_text(spark, f"{directory}/network.json", r[0])
 
 
 def load_graph(spark: SparkSession, directory: str) -> DiGraph:
     found = spark.read.schema("name string, number_of_nodes long, edges array<array<long>>").json(f"{directory}/network.json", multiLine=True)
-    head = found.select("name", "number_of_nodes").first()
+    head = found.select("name", "number_of_nodes", F.col("edges").isNull().alias("beside")).first()
+    if head["beside"]:
+        return DiGraph(spark.read.parquet(f"{directory}/network_edges"), head["number_of_nodes"], head["name"])
     links = found.select(F.posexplode("edges").alias("link_id", "e")).select(F.col("link_id").cast("long").alias("link_id"), F.col("e")[0].alias("u"), F.col("e")[1].alias("v"))
     return DiGraph(links, head["number_of_nodes"], head["name"])
 
 
-def save_demand(demand: DataFrame, directory: str) -> None:
-    """``demand.json``: sources, volumes by trip, and targets and trips by source, in order of trips."""
+def save_demand(demand: DataFrame, directory: str, max_rows: int = MAX_JSON_ROWS) -> None:
+    """``demand.json``: sources, volumes by trip, and targets and trips by source, in order of trips; beyond ``max_rows`` ``demand_trips``."""
+    spark = demand.sparkSession
+    if demand.count() > max_rows:
+        demand.select("trip_id", "source", "target", "volume").write.parquet(f"{directory}/demand_trips")
+        write_text(spark, f"{directory}/demand.json", json.dumps({"sources": None, "volumes": None, "targets": None, "trip_index": None}))
+        return
     own = F.sort_array(F.collect_list(F.struct("trip_id", "target")))
     by = demand.groupBy("source").agg(F.min("trip_id").alias("first"), own.alias("own"))
     rows = F.sort_array(F.collect_list(F.struct("first", "source", "own")))
@@ -62,11 +87,13 @@ def save_demand(demand: DataFrame, directory: str) -> None:
     )
     volumes = demand.agg(F.transform(F.sort_array(F.collect_list(F.struct("trip_id", "volume"))), lambda x: x.volume).alias("volumes"))
     text = r.join(volumes).select(F.to_json(F.struct("sources", "volumes", "targets", "trip_index"))).first()[0]
-    write_text(demand.sparkSession, f"{directory}/demand.json", text)
+    write_text(spark, f"{directory}/demand.json", text)
 
 
 def load_demand(spark: SparkSession, directory: str) -> DataFrame:
     found = spark.read.schema("sources array<double>, volumes array<double>, targets array<array<double>>, trip_index array<array<double>>").json(f"{directory}/demand.json", multiLine=True)
+    if found.select(F.col("sources").isNull()).first()[0]:
+        return spark.read.parquet(f"{directory}/demand_trips")
     by = found.select("volumes", F.explode(F.arrays_zip("sources", "targets", "trip_index")).alias("s"))
     rows = by.select("volumes", F.col("s.sources").cast("long").alias("source"), F.explode(F.arrays_zip("s.targets", "s.trip_index")).alias("t"))
     trip = F.col("t.trip_index").cast("int")
@@ -160,3 +187,23 @@ def from_compressed(spark: SparkSession, data: np.ndarray, indices: np.ndarray,
     owner = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
     row, col = (indices, owner) if by == "col" else (owner, indices)
     return spark.createDataFrame(pd.DataFrame({"row": row, "col": col, "value": data}), "row long, col long, value double")
+
+
+def save_npz(coordinates: DataFrame, path: str, by: str = "col", max_entries: int = 50_000_000) -> None:
+    """A matrix compressed by columns (csc) or rows (csr) as one ``.npz`` file, of ``max_entries`` entries at most."""
+    if coordinates.limit(max_entries + 1).count() > max_entries:
+        raise ValueError(f"over {max_entries} entries; save_sparse has no bound")
+    data, indices, indptr, shape = compressed(coordinates, by)
+    out = io.BytesIO()
+    np.savez_compressed(out, data=data, indices=indices, indptr=indptr, shape=np.array(shape), format=np.bytes_("csc" if by == "col" else "csr"))
+    write_bytes(coordinates.sparkSession, path, out.getvalue())
+
+
+def load_npz(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """(coordinates, format) of a compressed matrix; its format says whether rows or columns are compressed."""
+    with np.load(io.BytesIO(read_bytes(spark, path)), allow_pickle=False) as held:
+        kind = held["format"].item()
+        kind = kind.decode() if isinstance(kind, bytes) else kind
+        if kind not in ("csc", "csr"):
+            raise ValueError(f"format {kind!r} isn't a compressed one")
+        return from_compressed(spark, held["data"].astype(float), held["indices"].astype(np.int64), held["indptr"].astype(np.int64), "col" if kind == "csc" else "row"), kind

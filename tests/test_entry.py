@@ -3,6 +3,8 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from flowloom.plans import files
+from flowloom.plans import oracles as engine
 
 DATA = "/root/testdata/sf0.001"
 
@@ -31,16 +33,23 @@ def test_flagship(spark):
     assert df.count() > 0
 
 
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
-@pytest.mark.parametrize("name", ["network_links", "cost_bpr", "shortest_paths_edges", "lp_constraints"])
-def test_query_meets_its_sql(spark, name):
+@pytest.fixture(scope="module")
+def tables():
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     for table in ("lineitem", "orders", "customer", "supplier"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    return con
+
+
+def rounded(rows):
+    return sorted((tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in rows), key=str)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+@pytest.mark.parametrize("name", sorted(engine.ORACLES | files.ORACLES))
+def test_query_meets_its_sql(spark, tables, name):
     got = entry.queries()[name](spark, DATA)
     columns = sorted(got.columns)
-    ours = sorted(tuple(round(x, 5) if isinstance(x, float) else x for x in (r[c] for c in columns)) for r in got.collect())
-    sql = con.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
-    theirs = sorted(tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in sql)
-    assert ours == theirs
+    sql = tables.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({entry.oracle_sql()[name]})")
+    assert rounded([r[c] for c in columns] for r in got.collect()) == rounded(sql.fetchall())

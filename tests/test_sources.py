@@ -3,10 +3,12 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from flowloom.functions import vectors
 from flowloom.functions.cost import Bpr, Linear
 from flowloom.operators import pathflow, pathstore
 from flowloom.operators.equilibrium import FrankWolfeSettings, solve
 from flowloom.operators.graph import DiGraph
+from flowloom.plans import files
 from flowloom.sources import odmatrix, pathdump, shapefile, store, tntp
 
 from .networks import braess, by_link
@@ -211,3 +213,55 @@ def test_sparse(spark, tmp_path):
 
 def test_graph_record(spark):
     assert DiGraph.from_links(spark, [(0, 1)], 2).info().number_of_links == 1
+
+
+def test_deleted_records_go_with_their_shapes(spark, tmp_path):
+    rows = [(1, 10.0, 20.0), (2, 11.0, 21.0), (3, 12.0, 22.0)]
+    (tmp_path / "n.dbf").write_bytes(files.dbf([("ID", 6), ("LAT", 12), ("LON", 12)], rows, frozenset([1])))
+    (tmp_path / "n.shp").write_bytes(files.shp([[(y, x)] for _, x, y in rows]))
+    found = shapefile.features(spark, str(tmp_path / "n.shp")).orderBy("record").collect()
+    assert [(r["record"], r["properties"]["ID"], r["geometry"][0]["y"]) for r in found] == [(0, "1", 10.0), (1, "3", 12.0)]
+
+
+def test_last_of_equal_keys_in_a_batch_counts(spark, tmp_path):
+    kv = pathstore.PathStore(spark, str(tmp_path / "kv"))
+    kv.add_paths(spark.createDataFrame([(1, [7]), (2, [8]), (3, [7])], "trip_id long, links array<long>").coalesce(1))
+    assert sorted((r["trip_id"], r["links"]) for r in kv.paths().collect()) == [(2, [8]), (3, [7])]
+    kv.upsert(kv.frame().withColumn("seq", F.lit(0)))
+    kv.add_paths(spark.createDataFrame([(5, [7], 9), (6, [7], 4)], "trip_id long, links array<long>, seq long"))
+    assert pathstore.decode_value(kv.get(pathstore.encode_key([7]))) == 5
+
+
+def test_path_sets_in_both_styles(spark):
+    plain = [[0, [[3, [0, 2, 4]], [3, [1, 4]]]], [2, [[3, []]]]]
+    block = "---\n# paths\n- - 0\n  - - - 3\n      - - 0\n        - 2\n        - 4\n    - - 3\n      - [1, 4]\n- - 2\n  - - - 3\n      - []\n"
+    assert pathdump.parse_sequences(block) == plain == pathdump.parse_sequences(str(plain))
+    tries = pathdump.read_tries(spark, block)
+    assert pathdump.display(tries) == ["0 -> 3: 0 2 4", "0 -> 3: 1 4", "2 -> 3: "]
+
+
+def test_compressed_files(spark, tmp_path):
+    entries = spark.createDataFrame([(0, 1, 2.0), (2, 0, 3.0), (2, 1, 4.0)], "row long, col long, value double")
+    for by, kind in (("col", "csc"), ("row", "csr")):
+        store.save_npz(entries, str(tmp_path / f"{by}.npz"), by)
+        back, tag = store.load_npz(spark, str(tmp_path / f"{by}.npz"))
+        assert tag == kind and sorted(map(tuple, back.collect())) == [(0, 1, 2.0), (2, 0, 3.0), (2, 1, 4.0)]
+    with pytest.raises(ValueError):
+        store.save_npz(entries, str(tmp_path / "x.npz"), max_entries=2)
+
+
+def test_demand_beside_its_description(spark, tmp_path):
+    demand = spark.createDataFrame([(0, 0, 3, 6.0), (1, 0, 2, 1.5)], "trip_id long, source long, target long, volume double")
+    store.save_demand(demand, str(tmp_path), max_rows=1)
+    assert sorted(map(tuple, store.load_demand(spark, str(tmp_path)).collect())) == [(0, 0, 3, 6.0), (1, 0, 2, 1.5)]
+
+
+def test_programs_are_solved(spark):
+    constraints = spark.createDataFrame([(0, "=", 6.0), (1, "=", 4.0), (2, "=", 2.0), (3, "=", 0.0)], "cid long, sense string, rhs double")
+    coefficients = spark.createDataFrame([(0, 0, 1.0), (0, 1, 1.0), (0, 2, 1.0), (1, 0, 1.0), (2, 1, 1.0), (3, 2, 1.0)], "row long, col long, value double")
+    program = pathflow.LinearProgram(constraints, coefficients)
+    values = program.optimize()
+    assert program.get_values(values) == pytest.approx([4.0, 2.0, 0.0], abs=1e-5) and program.residual(values).first()[0] < 1e-5
+    with pytest.raises(ValueError):
+        pathflow.LinearProgram(constraints.replace(4.0, 9.0, ["rhs"]), coefficients).optimize(max_rounds=5)
+    assert vectors.debug(values, "flow", "col") == "4 2 0"
