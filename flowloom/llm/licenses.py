@@ -135,7 +135,8 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     def able(body: Column) -> Column:
-        return may_hold(F.lower(body), [r["words"] for r in pairs]) if narrow else F.lit(True)
+        # The text is lower-cased once, as the element that the words are looked for in.
+        return F.exists(F.array(F.lower(body)), lambda low: may_hold(low, [r["words"] for r in pairs])) if narrow else F.lit(True)
 
     rows = rows.where(able(F.col("_text")))
     whole = rows.select("_id", F.lit("text").alias("unit"), F.lit(0).cast("long").alias("line_no"), F.col("_text").alias("body"))
