@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import map_columns, materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
+#: Languages up to which their numbers of rows are broadcast.
+MANY = 10_000
 
 
 def words_of(text: str) -> list[str]:
@@ -74,7 +76,9 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_
     """
     rows = docs.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), F.xxhash64(id_col, text_col).alias("_hash")).where("_lang is not null and _text is not null")
     bound = docs_per_language + 6 * math.sqrt(docs_per_language)
-    counts = rows.groupBy("_lang").agg(F.count("*").alias("_n"))
+    counts = materialize(rows.groupBy("_lang").agg(F.count("*").alias("_n")), "languages")
+    # Broadcast where there are few languages, so that no text is shuffled but those under the bound.
+    counts = F.broadcast(counts) if counts.limit(MANY + 1).count() <= MANY else counts
     few = rows.join(counts, "_lang").where(F.col("_hash") / 2.0**64 + 0.5 < bound / F.col("_n")).dropDuplicates(["_lang", "_hash"])
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash"))
     return few.withColumn("_rank", rank).where(F.col("_rank") <= docs_per_language).select("_lang", "_text")
