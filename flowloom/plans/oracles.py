@@ -122,7 +122,7 @@ def shares(steps: int) -> str:
     return " UNION ALL ".join(f"SELECT trip_id, path, volume * {x} AS flow FROM load{k}" for k, x in enumerate(left))
 
 
-SOLVED = "SELECT link_id, round(flow, 4) AS flow, round(cost, 4) AS cost FROM state10"
+SOLVED = "SELECT link_id, round(flow, 6) AS flow, round(cost, 6) AS cost FROM state10"
 ORACLES = {
     "frank_wolfe_ue": solver(10, 0.15) + f" {SOLVED}",
     "frank_wolfe_so": solver(10, 0.75) + f" {SOLVED}",
@@ -130,7 +130,7 @@ ORACLES = {
     "frank_wolfe_gaps": solver(4, 0.15) + " " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS iteration, round(gap, 4) AS gap FROM step{k}" for k in range(1, 5)),
     "path_flows": solver(3, 0.15)
     + f""", paths AS (SELECT trip_id, path, sum(flow) AS flow FROM ({shares(3)}) GROUP BY ALL)
-        SELECT (row_number() OVER (ORDER BY trip_id, '[' || array_to_string(path, ',') || ']') - 1)::BIGINT AS col, trip_id, array_to_string(path, '-') AS links, round(flow, 4) AS flow FROM paths""",
+        SELECT (row_number() OVER (ORDER BY trip_id, '[' || array_to_string(path, ',') || ']') - 1)::BIGINT AS col, trip_id, array_to_string(path, '-') AS links, round(flow, 6) AS flow FROM paths""",
     "path_flow_residual": "SELECT 0.0::DOUBLE AS residual",
     "braess": "SELECT * FROM (VALUES (0::BIGINT, 4.0::DOUBLE, 40.0::DOUBLE, 3.0::DOUBLE), (1, 2.0, 52.0, 3.0), (2, 2.0, 12.0, 0.0), (3, 2.0, 52.0, 3.0), (4, 4.0, 40.0, 3.0)) AS t(link_id, flow, cost, optimum)",
     "network_links": net("SELECT * FROM links"),

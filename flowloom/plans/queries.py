@@ -395,7 +395,7 @@ SETTINGS = FrankWolfeSettings(10, 1e-4, 1e-6)
 
 
 def _solved(result) -> DataFrame:
-    return result.flow.select("link_id", F.round("flow", 4).alias("flow"), F.round("cost", 4).alias("cost"))
+    return result.flow.select("link_id", F.round("flow", 6).alias("flow"), F.round("cost", 6).alias("cost"))
 
 
 @query
@@ -435,7 +435,7 @@ def _path_flows(spark, sf):
 def path_flows(spark, sf):
     _, values = _path_flows(spark, sf)
     links = F.array_join(F.transform("links", lambda x: x.cast("string")), "-")
-    return values.select("col", "trip_id", links.alias("links"), F.round("flow", 4).alias("flow"))
+    return values.select("col", "trip_id", links.alias("links"), F.round("flow", 6).alias("flow"))
 
 
 @query
