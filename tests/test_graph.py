@@ -130,3 +130,35 @@ def test_long_paths_are_walked_back(spark):
     labels = labels.where("node > source").withColumn("dist", (F.col("node") - F.col("source")).cast("double"))
     found = {r["trip_id"]: r["links"] for r in paths.backtrack(labels, links, demand).collect()}
     assert found == {0: list(range(n)), 1: list(range(3, 20)), 2: [], 3: None, 4: [8]}
+
+
+def plain_components(links):
+    """By who reaches whom."""
+    out = {}
+    for u, v in links:
+        out.setdefault(u, set()).add(v)
+        out.setdefault(v, set())
+
+    def reached(x):
+        seen, todo = {x}, [x]
+        while todo:
+            for y in out[todo.pop()] - seen:
+                seen.add(y)
+                todo.append(y)
+        return seen
+
+    reach = {x: reached(x) for x in out}
+    return {x: min(y for y in reach[x] if x in reach[y]) for x in out}
+
+
+@pytest.mark.parametrize("max_local", [0, 10**6])
+def test_components_of_chains_circles_and_random_networks(spark, max_local):
+    rng = random.Random(31)
+    chain = [(i, i + 1) for i in range(60)]
+    circle = [(100 + i, 100 + (i + 7) % 40) for i in range(40)]
+    mixed = [(200 + rng.randrange(40), 200 + rng.randrange(40)) for _ in range(55)] + [(20, 100), (130, 300), (300, 301), (301, 130), (400, 400)]
+    links = chain + circle + mixed
+    frame = spark.createDataFrame(links, "u long, v long")
+    found = {r["node"]: r["component"] for r in graph.strong_components(frame, max_local=max_local).collect()}
+    assert found == plain_components(links)
+    assert graph.strong_components(frame.limit(0), max_local=max_local).count() == 0
