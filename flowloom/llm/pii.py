@@ -37,9 +37,12 @@ LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-RUN = re.compile(r"(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/.-]{8,}(?:={1,2}(?![A-Za-z0-9=]))?")
-PERSON = re.compile(r"(?<!\w)[A-Z][a-z]{1,20}(?: [A-Z]\.)?(?: [A-Z][a-z]{1,20}){1,2}(?!\w)")
+#: What may stand before is looked at after a match: patterns that begin with their first letters are found faster.
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+DIGIT = re.compile(r"[0-9]")
+RUN_CHARS = LOCAL_CHARS - frozenset("%") | frozenset("/")
+RUN = re.compile(r"[A-Za-z0-9_+/.-]+(?:={1,2}(?![A-Za-z0-9=]))?")
+PERSON = re.compile(r"[A-Z][a-z]{1,20}(?: [A-Z]\.)?(?: [A-Z][a-z]{1,20}){1,2}(?!\w)")
 
 
 def luhn(digits: str) -> bool:
@@ -83,6 +86,8 @@ def iban_spans(text: str, taken: list[Span]) -> list[Span]:
     """Account numbers of 15 to 34 characters with right check digits, outside the base spans."""
     out = []
     for m in IBAN.finditer(text):
+        if m.start() and text[m.start() - 1].isalnum():
+            continue
         plain = m[0].replace(" ", "")
         if len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
             out.append(("iban", *m.span()))
@@ -130,13 +135,17 @@ def _before(text: str, start: int) -> tuple[str, str, str]:
 
 def secret_candidates(text: str, taken: list[Span]) -> list[Span]:
     """Runs with a letter and a digit outside ``taken``; runs under SHORT characters only after the name of a credential."""
-    out = []
-    for m in RUN.finditer(text):
-        run = m[0]
-        start = m.start() + len(run) - len(run.lstrip("+/.-"))
-        end = m.end() - (len(run) - len(run.rstrip("+/.-")))
+    out, free = [], 0
+    while digit := DIGIT.search(text, free):
+        start = digit.start()
+        while start > free and text[start - 1] in RUN_CHARS:
+            start -= 1
+        free = RUN.match(text, start).end()
+        run = text[start:free]
+        start += len(run) - len(run.lstrip("+/.-"))
+        end = free - (len(run) - len(run.rstrip("+/.-")))
         run = text[start:end]
-        if len(run) < 8 or not (any(map(str.isdigit, run)) and any(map(str.isalpha, run))):
+        if len(run) < 8 or not any(map(str.isalpha, run)):
             continue
         if len(run) >= SHORT or _before(text, start)[0] in CREDENTIALS:
             out.append(("secret", start, end))
@@ -166,7 +175,8 @@ def secret_features(text: str, start: int, end: int) -> list[float]:
 
 def name_candidates(text: str, taken: list[Span]) -> list[Span]:
     """Two or three neighbouring capitalised words, with an initial perhaps, outside ``taken``."""
-    return apart([("name", *m.span()) for m in PERSON.finditer(text)], taken)
+    found = (m.span() for m in PERSON.finditer(text))
+    return apart([("name", a, b) for a, b in found if not a or not (text[a - 1].isalnum() or text[a - 1] == "_")], taken)
 
 
 def name_votes(text: str, start: int, end: int) -> list[int]:
