@@ -178,10 +178,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
 
         halves = materialize(classes.select("rep", "halves").join(able.select("rep").distinct(), "rep", "left_semi"), "halves")
         able = materialize(_mixed(_relabel(able, found)).join(halves, "rep"), "apart")
-        left = able.select("key", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "own", "component", "halves")))
-        right = able.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "own", "component", "halves")))
+        # Sets that are linked have sizes of the same or of neighbouring classes, which parts large tables.
+        sized = able.withColumn("size", _size_class("n", percent))
+        near = F.explode(F.array(*(F.col("size") + i for i in (-1, 0, 1))))
+        left = sized.select("key", "size", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "own", "component", "halves")))
+        right = sized.select("key", near.alias("size"), *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "own", "component", "halves")))
         apart = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & _may_link("n_a", "own_a", "n_b", "own_b", percent)
-        pairs = left.join(right, (left["key"] == right["key"]) & apart & (left["key"] == _first_key("halves_a", "halves_b", m)))
+        pairs = left.join(right, (left["key"] == right["key"]) & (left["size"] == right["size"]) & apart & (left["key"] == _first_key("halves_a", "halves_b", m)))
         pairs = pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).join(tested, ["a", "b"], "left_anti")
         links = links.unionByName(alike(pairs, "links"))
         found = components(links)
@@ -270,6 +273,13 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(mixed.select("key"), "key", "left_semi")
 
 
+def _size_class(n: str, percent: int) -> Column:
+    """Classes so wide that sets whose sizes allow a link are at most one apart."""
+    if percent >= 100:
+        return F.col(n)
+    return F.floor(F.log(F.col(n)) / (math.log(100 / percent) * (1 + 1e-9)))
+
+
 def _may_link(n: str, own: str, other_n: str, other_own: str, percent: int) -> Column:
     """Whether the most that two sets can share suffices, and so does the least that they hold together."""
     shared = F.least(F.col(n) - F.col(own), F.col(other_n) - F.col(other_own))
