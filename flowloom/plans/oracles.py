@@ -127,7 +127,7 @@ ORACLES = {
     "frank_wolfe_ue": solver(10, 0.15) + f" {SOLVED}",
     "frank_wolfe_so": solver(10, 0.75) + f" {SOLVED}",
     "frank_wolfe_improve": solver(10, 0.15) + f" {SOLVED}",
-    "frank_wolfe_gaps": solver(4, 0.15) + " " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS iteration, round(gap, 4) AS gap FROM step{k}" for k in range(1, 5)),
+    "frank_wolfe_gaps": solver(4, 0.15) + " " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS iteration, round(gap, 4) + 0.0 AS gap FROM step{k}" for k in range(1, 5)),
     "path_flows": solver(3, 0.15)
     + f""", paths AS (SELECT trip_id, path, sum(flow) AS flow FROM ({shares(3)}) GROUP BY ALL)
         SELECT (row_number() OVER (ORDER BY trip_id, '[' || array_to_string(path, ',') || ']') - 1)::BIGINT AS col, trip_id, array_to_string(path, '-') AS links, round(flow, 6) AS flow FROM paths""",

@@ -421,7 +421,7 @@ def frank_wolfe_gaps(spark, sf):
     p, gaps = problem(spark, sf), []
     found = solve(p, FrankWolfeSettings(1, 1e-4, 1e-6))
     for k in range(1, 5):
-        gaps.append((k, round(found.gap, 4)))
+        gaps.append((k, round(found.gap, 4) + 0.0))
         found = found.improve() if k < 4 else found
     return spark.createDataFrame(gaps, "iteration long, gap double")
 
