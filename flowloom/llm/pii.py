@@ -260,7 +260,9 @@ def train(rows: np.ndarray, votes_: np.ndarray, steps: int = 400, rate: float =
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 5_000) -> Model:
     """Train on at most ``sample`` candidates of each kind: those of the smallest hash of text and place.
 
-    Null ids teach like others; an empty table gives classifiers that follow most labelers.
+    Those of equal texts count once.  Only candidates under a hash bound that follows from
+    their number meet: about ``sample`` and six standard deviations more.  Null ids teach like
+    others; an empty table gives classifiers that follow most labelers.
     """
 
     def gather(batches):
@@ -274,9 +276,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     rows = docs.select(F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text")).where("_text is not null")
     found = rows.mapInPandas(gather, "kind string, key long, at long, votes array<int>, features array<double>")
     found = materialize(found, "candidates")
-    out = {}
+    out, bound = {}, sample + 6 * math.sqrt(sample)
+    counts = {r["kind"]: r["n"] for r in found.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    place = F.xxhash64("key", "at")
     for kind in LEARNT:
-        held = found.where(F.col("kind") == kind).orderBy(F.xxhash64("key", "at"), "features").limit(sample).collect()
+        few = found.where((F.col("kind") == kind) & (place / 2.0**64 + 0.5 < bound / max(1, counts.get(kind, 0)))).dropDuplicates(["key", "at"])
+        held = few.orderBy(place, "key", "at").limit(sample).collect()
         out[kind] = train(np.array([r["features"] for r in held], float), np.array([r["votes"] for r in held], int).reshape(len(held), len(LABELERS)))
     discard(found)
     return out
