@@ -3,6 +3,7 @@
 Every benchmark item is filed under windows of a size class that follows its own length
 (at every offset), documents are cut into windows of the same classes at a stride of half
 a window: an item that stands in a document covers one of those windows at some offset.
+Windows of which less than half of the word pairs stand in any item are left out first.
 Fingerprints of 64 bits are compared through four blocks of 16 bits: two that differ in
 at most three bits agree on a whole block, so looking each block up finds all of them.
 Each hit places the whole item in the document, and the weighted similarity of the word
@@ -27,6 +28,8 @@ SHINGLE = 5
 BLOCKS, BLOCK_BITS, RADIUS = 4, 16, 3
 SMALLEST, LARGEST = 6, 12288
 CHUNK = 16_384
+#: Word pairs of items are marked in a table of that many bits of index (4 MB).
+PAIR_BITS = 22
 
 
 def clean_run(n: int, similarity: float) -> int:
@@ -59,20 +62,16 @@ def features(words: np.ndarray) -> np.ndarray:
     return mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
 
 
-def window_prints(feature: np.ndarray, starts: np.ndarray, size: int, sums: np.ndarray | None = None) -> np.ndarray:
+def window_prints(feature: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """SimHash of the windows of ``size`` words at ``starts``: each bit is the majority of its pairs' bits."""
-    sums = bit_sums(feature) if sums is None else sums
     width = size - 1
-    ones = sums.take(starts + width, axis=0)
-    ones -= sums.take(starts, axis=0)  # may wrap around, but a window's count doesn't
-    return np.packbits(ones > width // 2, axis=1, bitorder="little").view("<u8")[:, 0]
-
-
-def bit_sums(feature: np.ndarray) -> np.ndarray:
-    """Running sums of the features' bits modulo 2^16, from a first row of zeros."""
-    bits = np.unpackbits(feature.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    out = np.zeros((len(feature) + 1, 64), np.int16)
-    np.cumsum(bits, axis=0, dtype=np.int16, out=out[1:])
+    out = np.zeros(len(starts), np.uint64)
+    step = max(1, (1 << 17) // width)
+    for at in range(0, len(starts), step):
+        own = feature[starts[at : at + step, None] + np.arange(width)]
+        bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(len(own), width, 8), axis=2, bitorder="little")
+        ones = bits.sum(axis=1, dtype=np.int32) > width // 2
+        out[at : at + step] = np.packbits(ones, axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
@@ -115,6 +114,7 @@ class Items:
         self.ids, self.words, self.counts = [], [], []
         self.short: dict[int, dict[int, list[int]]] = {}  # by number of words: the ids by hash
         prints: dict[int, list[tuple[np.ndarray, int]]] = {}
+        pairs: list[np.ndarray] = []
         for key, text in items:
             words = hasher.hashes(WORD.findall((text or "").lower()))
             if len(words) < max(min_words, SMALLEST):
@@ -122,8 +122,9 @@ class Items:
                     self.short.setdefault(len(words), {}).setdefault(int(sequences(words, len(words))[0]), []).append(key)
                 continue
             size = size_class(len(words), similarity)
-            starts = np.arange(len(words) - size + 1)
-            prints.setdefault(size, []).append((window_prints(features(words), starts, size), len(self.ids)))
+            starts, own = np.arange(len(words) - size + 1), features(words)
+            pairs.append(own)
+            prints.setdefault(size, []).append((window_prints(own, starts, size), len(self.ids)))
             self.ids.append(key)
             self.words.append(len(words))
             self.counts.append(counted(shingles(words)))
@@ -132,6 +133,9 @@ class Items:
             for s in c:
                 seen[s] = seen.get(s, 0) + 1
         self._seen, self._n = seen, len(self.ids)
+        self._pairs = np.zeros(1 << PAIR_BITS, bool)
+        for own in pairs:
+            self._pairs[own >> np.uint64(64 - PAIR_BITS)] = True
         self.classes = {}
         for size, parts in sorted(prints.items()):
             values = np.concatenate([p for p, _ in parts])
@@ -155,6 +159,12 @@ class Items:
             out += [(key, int(at[i]), n, 1.0) for h, i in zip(found.tolist(), first.tolist()) for key in self.short[n][h]]
         return out
 
+    def may_match(self, feature: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        """The windows half of whose pairs of words may stand in some item, as those of a copy do."""
+        known = np.zeros(len(feature) + 1, np.int64)
+        np.cumsum(self._pairs[feature >> np.uint64(64 - PAIR_BITS)], out=known[1:])
+        return np.flatnonzero(2 * (known[starts + size - 1] - known[starts]) >= size - 1)
+
     def weight(self, shingle: int) -> float:
         """Shingles that fewer items have weigh more; those of no item weigh as those of one."""
         return 1 + float(np.log(self._n / max(1, self._seen.get(shingle, 1))))
@@ -228,13 +238,14 @@ def _search(parts: list[tuple[int, int, np.ndarray]], items: Items, best: list[_
     sizes = np.array([len(p[2]) for p in parts])
     begin = np.cumsum(sizes) - sizes
     feature = features(np.concatenate([p[2] for p in parts]))
-    sums = bit_sums(feature)
     for size, (_, item, offset, _) in items.classes.items():
         stride = max(1, size // 2)
         counts = np.maximum((sizes - size) // stride + 1, 0) * (sizes >= size)
         owner = np.repeat(np.arange(len(parts)), counts)
         place = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)) * stride
-        where, filed = items.within_radius(size, window_prints(feature, begin[owner] + place, size, sums))
+        some = items.may_match(feature, begin[owner] + place, size)
+        owner, place = owner[some], place[some]
+        where, filed = items.within_radius(size, window_prints(feature, begin[owner] + place, size))
         own = owner[where]
         hits = zip(text[own].tolist(), item[filed].tolist(), (at[own] + place[where] - offset[filed]).tolist())
         for k, i, start in sorted(set(hits)):
