@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language, licenses, near_duplicates, packing, passages, pii, repeats, urls
+from . import decontamination, exact, fingerprints, language, licenses, near_duplicates, packing, passages, pii, repeats, spelling, urls, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.catalogue(spark))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_shared_passages": op1_shared_passages,
     "op2_language_id": op2_language_id,
@@ -72,4 +84,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_license_scan": op10_license_scan,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_exact_duplicates": op13_exact_duplicates,
 }

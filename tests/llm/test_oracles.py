@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 def test_query_meets_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     got = queries.QUERIES[name](spark, DATA)
     columns = sorted(got.columns)
