@@ -7,14 +7,13 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cost import LinkCost, marginal
 from ..scratch import cut, drop
-from .loading import link_flow
-from .paths import MAX_BROADCAST_LINKS, Adjacency, adjacency, by_source, search_trips, shortest_paths
+from .loading import link_flow, tree_flow
+from .paths import MAX_BROADCAST_LINKS, Adjacency, adjacency, by_source, load_trips, search_trips, shortest_paths
 
 #: Halvings after which a line search stops though it still stands above the optimum.
 MAX_HALVINGS = 200
@@ -157,28 +156,12 @@ def _run(problem: Problem, settings: FrankWolfeSettings, flow: DataFrame | None,
     return run(problem, settings, links if held is None else held, flow is not None, keep_paths, done)
 
 
-def _load(found: DataFrame, n: int, network: Broadcast) -> tuple[np.ndarray, float, float]:
-    """(flow by place, best travel time, volume) of trips' paths: partial sums on the executors, one row a task."""
-
-    def run(batches):
-        ids = network.value.link_id
-        order = np.argsort(ids, kind="stable")
-        flow, best, volume = np.zeros(n), 0.0, 0.0
-        for batch in batches:
-            for v, cost, links in zip(batch["volume"], batch["cost"], batch["links"]):
-                volume += v
-                if links is not None:
-                    best += v * cost
-                    if len(links):
-                        flow[order[np.searchsorted(ids, links, sorter=order)]] += v
-        used = np.flatnonzero(flow)
-        yield pd.DataFrame({"place": [used], "flow": [flow[used]], "best": [best], "volume": [volume]})
-
-    out, best, volume = np.zeros(n), 0.0, 0.0
-    for r in found.mapInPandas(run, "place array<long>, flow array<double>, best double, volume double").toLocalIterator():
-        out[r["place"]] += np.array(r["flow"])
-        best, volume = best + r["best"], volume + r["volume"]
-    return out, best, volume
+def _path_sums(found: DataFrame) -> DataFrame:
+    """The sums of :func:`.paths.load_trips` of trips whose paths are kept."""
+    used = found.select(F.explode("links").alias("link_id"), F.col("volume").alias("flow")).groupBy("link_id").agg(F.sum("flow").alias("flow"))
+    totals = found.agg(F.coalesce(F.sum(F.col("volume") * F.col("cost")), F.lit(0.0)).alias("best"), F.coalesce(F.sum("volume"), F.lit(0.0)).alias("volume"))
+    zero = F.lit(0.0)
+    return used.select("link_id", "flow", zero.alias("best"), zero.alias("volume")).unionByName(totals.select(F.lit(None).cast("long").alias("link_id"), zero.alias("flow"), "best", "volume"))
 
 
 def _in_arrays(problem: Problem, settings: FrankWolfeSettings, held: tuple[Adjacency, pd.DataFrame], warm: bool, keep_paths: bool, done: int) -> Result:
@@ -192,15 +175,22 @@ def _in_arrays(problem: Problem, settings: FrankWolfeSettings, held: tuple[Adjac
     kept: list[DataFrame] = []
     weights: list[float] = []
 
+    places = np.argsort(graph.link_id, kind="stable")
+
     def load(cost: np.ndarray) -> tuple[np.ndarray, float, float]:
         prices = context.broadcast(cost)
-        found = search_trips(demand, network, prices)
         if keep_paths:
-            found = cut(found)
+            found = cut(search_trips(demand, network, prices))
             kept.append(found.where("links is not null").select(F.lit(done + len(weights)).cast("long").alias("iteration"), "trip_id", "links", "volume"))
-        out = _load(found, len(ids), network)
+            sums = _path_sums(found)
+        else:
+            sums = load_trips(demand, network, prices)
+        rows = sums.toArrow()  # a row for each link, whose number is checked
         prices.destroy()
-        return out
+        used = rows["link_id"].is_valid().to_numpy()
+        out = np.zeros(len(ids))
+        out[places[np.searchsorted(graph.link_id, rows["link_id"].drop_null().to_numpy(), sorter=places)]] = rows["flow"].to_numpy()[used]
+        return out, float(rows["best"].to_numpy().sum()), float(rows["volume"].to_numpy().sum())
 
     if warm:
         flow = rows["flow"].to_numpy(float)
@@ -236,9 +226,11 @@ def _in_frames(problem: Problem, settings: FrankWolfeSettings, links: DataFrame,
     weights: list[float] = []
 
     def load(costed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        if not keep_paths:
+            flow, sums = tree_flow(costed, demand, max_links=0)
+            return flow, sums.first()
         found = cut(shortest_paths(costed, demand, max_links=0))
-        if keep_paths:
-            kept.append(found.where("links is not null").select(F.lit(done + len(weights)).cast("long").alias("iteration"), "trip_id", "links", "volume"))
+        kept.append(found.where("links is not null").select(F.lit(done + len(weights)).cast("long").alias("iteration"), "trip_id", "links", "volume"))
         return link_flow(found, links), found.agg(F.sum(F.col("volume") * F.col("cost")).alias("best"), F.sum("volume").alias("volume")).first()
 
     if not warm:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cost import LinkCost
-from .paths import shortest_paths
+from ..scratch import cut
+from .paths import MAX_BROADCAST_LINKS, by_source, held_network, load_trips, push_volumes, shortest_paths, tree_labels, with_costs
 
 
 def link_flow(trip_paths: DataFrame, links: DataFrame) -> DataFrame:
@@ -15,6 +16,28 @@ def link_flow(trip_paths: DataFrame, links: DataFrame) -> DataFrame:
     return links.select("link_id").join(used, "link_id", "left").select("link_id", F.coalesce("flow", F.lit(0.0)).alias("flow"))
 
 
+def tree_flow(links: DataFrame, demand: DataFrame, max_links: int = MAX_BROADCAST_LINKS, strategy: str = "auto") -> tuple[DataFrame, DataFrame]:
+    """(flow, sums): every trip's volume on its best path at the links' ``cost``, without making a path.
+
+    ``flow`` is (link_id, flow) of all links, ``sums`` one row of the trips' best travel time
+    and volume.  Each source's volumes run down its tree of shortest paths, in a task where
+    the network is broadcast, else in joins.  Of equally short paths the same ones count as
+    in :func:`.paths.shortest_paths`; unreachable trips load nothing.
+    """
+    held = held_network(links, max_links, strategy)
+    if held is not None:
+        graph, rows = held
+        found = cut(load_trips(by_source(demand), graph, rows["cost"].to_numpy(float)))
+        used = found.where("link_id is not null").select("link_id", "flow")
+        sums = found.agg(F.sum("best").alias("best"), F.sum("volume").alias("volume"))
+    else:
+        labels = cut(tree_labels(links, demand.select("source").distinct()))
+        used = push_volumes(labels, links, demand)
+        sums = with_costs(demand.select("source", "target", "volume"), labels).agg(F.sum(F.col("volume") * F.col("cost")).alias("best"), F.sum("volume").alias("volume"))
+    flow = links.select("link_id").join(used, "link_id", "left").select("link_id", F.coalesce("flow", F.lit(0.0)).alias("flow"))
+    return flow, sums
+
+
 def load_network(links: DataFrame, cost: LinkCost, demand: DataFrame, flow: str | None = None, strategy: str = "auto", strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(flow, paths, best path cost) at the costs of ``flow`` (a column of links; without one, of no flow).
 

@@ -51,14 +51,17 @@ class Adjacency:
     def nodes(self) -> dict[int, int]:
         return self.lists[0]
 
-    def search(self, source: int, cost: list[float]) -> tuple[list[float], list[int]]:
-        """(distance, position of the parent link or -1) by node; ``cost`` in the order of ``order``."""
+    def search(self, source: int, cost: list[float]) -> tuple[list[float], list[int], list[int]]:
+        """(distance, position of the parent link or -1) by node, and the nodes from near to far.
+
+        ``cost`` is in the order of ``order``.
+        """
         nodes, head, first = self.lists
         n = len(nodes)
-        dist, parent, done = [float("inf")] * n, [-1] * n, [False] * n
+        dist, parent, done, reached = [float("inf")] * n, [-1] * n, [False] * n, []
         start = nodes.get(source)
         if start is None:
-            return dist, parent
+            return dist, parent, reached
         dist[start] = 0.0
         queue = [(0.0, start)]
         ids = self.link_id
@@ -67,6 +70,7 @@ class Adjacency:
             if done[i]:
                 continue
             done[i] = True
+            reached.append(i)
             for k in range(first[i], first[i + 1]):
                 j = head[k]
                 if done[j]:
@@ -77,7 +81,21 @@ class Adjacency:
                     heapq.heappush(queue, (new, j))
                 elif new == dist[j] and ids[k] < ids[parent[j]]:
                     parent[j] = k
-        return dist, parent
+        return dist, parent, reached
+
+    def push(self, parent: list[int], reached: list[int], volume: dict[int, float], flow: np.ndarray) -> None:
+        """Add to ``flow`` by link what the volumes at nodes make of the tree of ``parent``.
+
+        Nodes are taken from far to near, each sending all that has come to it over its
+        parent link, so a tree takes a step for each node however many paths it holds.
+        """
+        for i in reversed(reached):
+            here = volume.pop(i, 0.0)
+            k = parent[i]
+            if here and k >= 0:
+                flow[k] += here
+                up = int(self.tail[k])
+                volume[up] = volume.get(up, 0.0) + here
 
     def path(self, source: int, target: int, parent: list[int]) -> list[int]:
         """The positions of the links from source to target."""
@@ -119,7 +137,7 @@ def search_trips(demand: DataFrame, held: Adjacency | Broadcast, cost: np.ndarra
             for trip, source, target, volume in zip(batch["trip_id"], batch["source"], batch["target"], batch["volume"]):
                 if last is None or last[0] != source:
                     last = (source, *graph.search(source, costs))
-                _, dist, parent = last
+                _, dist, parent, _ = last
                 at = graph.nodes.get(target)
                 if source == target:
                     out.append((trip, source, target, volume, 0.0, []))
@@ -133,6 +151,68 @@ def search_trips(demand: DataFrame, held: Adjacency | Broadcast, cost: np.ndarra
     return rows.mapInPandas(run, TRIP_PATHS)
 
 
+LINK_SUMS = "link_id long, flow double, best double, volume double"
+
+
+def load_trips(demand: DataFrame, held: Adjacency | Broadcast, cost: np.ndarray | Broadcast) -> DataFrame:
+    """(link_id, flow, best, volume) of loading every trip on its best path, without making a path.
+
+    A row for each used link, and one without a link for the trips' best travel time and
+    volume.  Each task pushes the volumes of a source down its tree and sends sums by link,
+    which are added up by link.
+    """
+    context = demand.sparkSession.sparkContext
+    network, prices = (x if isinstance(x, Broadcast) else context.broadcast(x) for x in (held, cost))
+
+    def run(batches):
+        graph, costs = network.value, prices.value.tolist()
+        flow = np.zeros(len(graph.link_id))
+        best = total = 0.0
+        tree, at = None, {}  # of the source at hand: its search and volumes by node
+        for batch in batches:
+            for source, target, volume in zip(batch["source"], batch["target"], batch["volume"]):
+                if tree is None or tree[0] != source:
+                    if tree is not None:
+                        graph.push(*tree[2:], at, flow)
+                    tree, at = (source, *graph.search(source, costs)), {}
+                total += volume
+                place = graph.nodes.get(target)
+                if source == target or place is None or tree[1][place] == float("inf"):
+                    continue
+                best += volume * tree[1][place]
+                at[place] = at.get(place, 0.0) + volume
+        if tree is not None:
+            graph.push(*tree[2:], at, flow)
+        used = np.flatnonzero(flow)
+        yield pd.DataFrame({"link_id": graph.link_id[used], "flow": flow[used], "best": 0.0, "volume": 0.0})
+        yield pd.DataFrame({"link_id": pd.array([None], "Int64"), "flow": [0.0], "best": [best], "volume": [total]})
+
+    rows = demand.select("source", "target", "volume").sortWithinPartitions("source")
+    return rows.mapInPandas(run, LINK_SUMS).groupBy("link_id").agg(*(F.sum(c).alias(c) for c in ("flow", "best", "volume")))
+
+
+def search_costs(demand: DataFrame, held: Adjacency | Broadcast, cost: np.ndarray | Broadcast) -> DataFrame:
+    """The cost of each trip's best path (trip_id, source, target, volume, cost), null if unreachable."""
+    context = demand.sparkSession.sparkContext
+    network, prices = (x if isinstance(x, Broadcast) else context.broadcast(x) for x in (held, cost))
+
+    def run(batches):
+        graph, costs = network.value, prices.value.tolist()
+        last = None
+        for batch in batches:
+            out = []
+            for source, target in zip(batch["source"], batch["target"]):
+                if last is None or last[0] != source:
+                    last = (source, graph.search(source, costs)[0])
+                at = graph.nodes.get(target)
+                d = 0.0 if source == target else float("inf") if at is None else last[1][at]
+                out.append(None if d == float("inf") else d)
+            yield batch.assign(cost=pd.array(out, "Float64"))
+
+    rows = demand.select("trip_id", "source", "target", "volume").sortWithinPartitions("source", "trip_id")
+    return rows.mapInPandas(run, "trip_id long, source long, target long, volume double, cost double")
+
+
 def by_source(demand: DataFrame, tasks: int | None = None) -> DataFrame:
     """Demand dealt out so that the trips of a source share a task, at most 65536 of them in one."""
     spark = demand.sparkSession
@@ -196,18 +276,68 @@ def backtrack(labels: DataFrame, links: DataFrame, demand: DataFrame) -> DataFra
     return ends.join(done, "trip_id", "left")
 
 
+def push_volumes(labels: DataFrame, links: DataFrame, demand: DataFrame) -> DataFrame:
+    """(link_id, flow) of loading every trip on the trees of ``labels``, without making a path.
+
+    What flows over a node's parent link is the volume of all nodes below it.  In round k
+    each node sends the sum of those at most 2 ** k - 1 links below to the node 2 ** k links above
+    and then looks twice as far, so paths of n links take log2(n) rounds.
+    """
+    ends = demand.where("source <> target").groupBy("source", F.col("target").alias("node")).agg(F.sum("volume").alias("flow"))
+    tree = labels.where("link_id is not null").select("source", "node", "link_id").join(links.select("link_id", F.col("u").alias("up")), "link_id")
+    tree = tree.withColumn("up", F.when(F.col("up") != F.col("source"), F.col("up")))
+    state = cut(tree.join(ends, ["source", "node"], "left").select("source", "node", "link_id", "up", F.coalesce("flow", F.lit(0.0)).alias("flow")))
+    while not state.where("up is not null").isEmpty():
+        sent = state.where("up is not null and flow > 0").groupBy("source", F.col("up").alias("node")).agg(F.sum("flow").alias("_more"))
+        above = state.select("source", F.col("node").alias("up"), F.col("up").alias("_next"))
+        moved = state.join(sent, ["source", "node"], "left").join(above, ["source", "up"], "left")
+        moved = cut(moved.select("source", "node", "link_id", F.col("_next").alias("up"), (F.col("flow") + F.coalesce("_more", F.lit(0.0))).alias("flow")))
+        drop(state)
+        state = moved
+    return state.where("flow > 0").groupBy("link_id").agg(F.sum("flow").alias("flow"))
+
+
+def tree_labels(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """The labels of :func:`relax`, over the overlay of the network's parts (:mod:`.overlay`)."""
+    from .overlay import overlay_labels
+
+    return overlay_labels(links, sources)
+
+
+def trip_costs(links: DataFrame, demand: DataFrame, max_links: int = MAX_BROADCAST_LINKS, strategy: str = "auto") -> DataFrame:
+    """(trip_id, source, target, volume, cost) of each trip's best path, which isn't made; null if unreachable."""
+    held = held_network(links, max_links, strategy)
+    if held is not None:
+        graph, rows = held
+        return search_costs(by_source(demand), graph, rows["cost"].to_numpy(float))
+    labels = tree_labels(links, demand.select("source").distinct())
+    return with_costs(demand.select("trip_id", "source", "target", "volume"), labels)
+
+
+def with_costs(trips: DataFrame, labels: DataFrame) -> DataFrame:
+    costs = labels.select("source", F.col("node").alias("target"), F.col("dist").alias("cost"))
+    found = trips.join(costs, ["source", "target"], "left")
+    return found.select(*trips.columns, F.when(F.col("source") == F.col("target"), F.lit(0.0)).otherwise(F.col("cost")).alias("cost"))
+
+
+def held_network(links: DataFrame, max_links: int, strategy: str):
+    if strategy not in ("auto", "search", "relax"):
+        raise ValueError(f"strategy must be auto, search or relax, not {strategy}")
+    held = adjacency(links.select("link_id", "u", "v", "cost"), max_links) if strategy != "relax" else None
+    if held is None and strategy == "search":
+        raise ValueError(f"the network has over {max_links} links")
+    return held
+
+
 def shortest_paths(links: DataFrame, demand: DataFrame, max_links: int = MAX_BROADCAST_LINKS, strategy: str = "auto") -> DataFrame:
     """The best path of each trip (TRIP_PATHS); ``strategy``: auto, search or relax."""
-    held = adjacency(links.select("link_id", "u", "v", "cost"), max_links) if strategy != "relax" else None
+    held = held_network(links, max_links, strategy)
     if held is not None:
         graph, rows = held
         return search_trips(by_source(demand), graph, rows["cost"].to_numpy(float))
-    if strategy == "search":
-        raise ValueError(f"the network has over {max_links} links")
-    labels = relax(links, demand.select("source").distinct())
+    labels = tree_labels(links, demand.select("source").distinct())
     found = backtrack(labels, links, demand)
-    costs = labels.select("source", F.col("node").alias("target"), F.col("dist").alias("cost"))
-    return found.join(costs, ["source", "target"], "left").select("trip_id", "source", "target", "volume", F.when(F.col("source") == F.col("target"), F.lit(0.0)).otherwise(F.col("cost")).alias("cost"), "links")
+    return with_costs(found, labels).select("trip_id", "source", "target", "volume", "cost", "links")
 
 
 def best_costs(trip_paths: DataFrame, strict: bool = False) -> DataFrame:

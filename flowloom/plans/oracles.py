@@ -179,6 +179,7 @@ ORACLES = {
     "shortest_paths_edges": walks(f"SELECT trip_id, {TEXT} AS links FROM found WHERE path IS NOT NULL"),
     "shortest_paths_relaxed": walks(f"SELECT trip_id, {TEXT} AS links FROM found WHERE path IS NOT NULL"),
     "aon_flow": walks("SELECT link_id, flow::DOUBLE AS flow FROM loaded"),
+    "aon_flow_relaxed": walks("SELECT link_id, flow::DOUBLE AS flow FROM loaded"),
     "path_dedupe": walks(f"SELECT CASE WHEN target % 2 = 1 THEN trip_id + 1000 ELSE trip_id END AS trip_id, {TEXT} AS links FROM found WHERE path IS NOT NULL"),
     "path_counts": walks("SELECT source, count(*) AS number_of_paths, sum(len(path))::BIGINT AS number_of_links FROM found WHERE path IS NOT NULL GROUP BY 1"),
     "path_keys": walks(

@@ -10,8 +10,8 @@ from ..functions.cost import Bpr, Linear, MarginalBpr, MarginalLinear, check_cap
 from ..operators import demand as trips
 from ..operators import graph, pathflow, pathstore
 from ..operators.equilibrium import FrankWolfeSettings, Problem, average_excess_cost, slope_grid, solve, sptt, system_optimum, tstt
-from ..operators.loading import link_flow
-from ..operators.paths import backtrack, relax, shortest_paths
+from ..operators.loading import link_flow, tree_flow
+from ..operators.paths import backtrack, relax, shortest_paths, trip_costs
 from ..scratch import cut
 from ..sources.shapefile import directed_links
 from . import testnet
@@ -57,21 +57,21 @@ def _trip_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _loaded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Links with the flow of the free-flow loading and its costs, and all trips' best paths at free flow."""
-    links = _free(spark, sf)
-    found = cut(shortest_paths(links, cut(testnet.demand(spark, sf))))
-    flow = link_flow(found, links)
+    """Links with the flow of the free-flow loading and its costs, and the cost of each trip's best path at free flow."""
+    links, demand = _free(spark, sf), cut(testnet.demand(spark, sf))
+    flow, _ = tree_flow(links, demand)
+    found = cut(trip_costs(links, demand))
     return cut(links.drop("cost").join(flow, "link_id").withColumn("cost", BPR.cost(F.col("flow")))), found
 
 
 def _reachable(found: DataFrame) -> DataFrame:
-    return found.where("links is not null").select("trip_id", "source", "target", "volume")
+    return found.where("cost is not null").select("trip_id", "source", "target", "volume")
 
 
 def problem(spark: SparkSession, sf: str) -> Problem:
     """The derived network with the trips that have a path."""
     links = _free(spark, sf)
-    found = cut(shortest_paths(links, cut(testnet.demand(spark, sf))))
+    found = trip_costs(links, cut(testnet.demand(spark, sf)))
     return Problem(links.drop("cost"), cut(_reachable(found)), BPR, "nations", 25)
 
 
@@ -210,7 +210,7 @@ def shortest_distances(spark, sf):
 
 @query
 def best_path_cost(spark, sf):
-    return _trip_paths(spark, sf).select("trip_id", r6(F.col("cost"), "cost"), r6(F.coalesce("cost", F.lit(-1.0)), "strict_cost"))
+    return trip_costs(_free(spark, sf), cut(testnet.demand(spark, sf))).select("trip_id", r6(F.col("cost"), "cost"), r6(F.coalesce("cost", F.lit(-1.0)), "strict_cost"))
 
 
 @query
@@ -234,8 +234,13 @@ def shortest_paths_relaxed(spark, sf):
 
 @query
 def aon_flow(spark, sf):
-    links = _free(spark, sf)
-    return link_flow(shortest_paths(links, cut(testnet.demand(spark, sf))), links)
+    return tree_flow(_free(spark, sf), cut(testnet.demand(spark, sf)))[0]
+
+
+@query
+def aon_flow_relaxed(spark, sf):
+    """The same with labels and volumes in joins alone."""
+    return tree_flow(_free(spark, sf), cut(testnet.demand(spark, sf)), strategy="relax")[0]
 
 
 @query
@@ -278,7 +283,7 @@ def excess_cost(spark, sf):
     """The average excess cost of the free-flow loading."""
     links, found = _loaded(spark, sf)
     reached = _reachable(found)
-    best = shortest_paths(links, reached).select("trip_id", "cost")
+    best = trip_costs(links, reached).select("trip_id", "cost")
     return average_excess_cost(links, reached, best).select(F.round("gap", 4).alias("gap"))
 
 
@@ -341,20 +346,24 @@ def incidence_shape(spark, sf):
     return pathflow.shape(pathflow.link_path(_numbered(spark, sf)))
 
 
+def _program(spark, sf):
+    """The path-flow program of the free-flow loading."""
+    links = _free(spark, sf)
+    found = cut(shortest_paths(links, cut(testnet.demand(spark, sf))))
+    reached = found.where("links is not null")
+    return pathflow.path_program(pathflow.number_paths(reached.select("trip_id", "links")), _reachable(found), link_flow(found, links))
+
+
 @query
 def lp_constraints(spark, sf):
-    links, found = _loaded(spark, sf)
-    reached = found.where("links is not null")
-    program = pathflow.path_program(pathflow.number_paths(reached.select("trip_id", "links")), _reachable(found), links.select("link_id", "flow"))
+    program = _program(spark, sf)
     return program.constraints
 
 
 @query
 def lp_coefficients(spark, sf):
     """The number and sum of coefficients of each row."""
-    links, found = _loaded(spark, sf)
-    reached = found.where("links is not null")
-    program = pathflow.path_program(pathflow.number_paths(reached.select("trip_id", "links")), _reachable(found), links.select("link_id", "flow"))
+    program = _program(spark, sf)
     return program.coefficients.groupBy("row").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 

@@ -14,3 +14,8 @@ def braess(spark) -> Problem:
 
 def by_link(frame, column):
     return [r[column] for r in frame.orderBy("link_id").collect()]
+
+
+def frame_of(spark, rows):
+    """Links of (u, v, cost), numbered in their order."""
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "link_id long, u long, v long, cost double")
