@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..scratch import cut, drop
 from .equilibrium import Result
 from .graph import dense_ids
+from .lp import Solution, minimize
 
 
 def distinct_paths(paths: DataFrame) -> DataFrame:
@@ -51,32 +52,56 @@ def shape(coordinates: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class LinearProgram:
-    """Equality rows (cid, sense, rhs) and coefficients (row, col, value); all variables are at least 0 and cost nothing.
+    """Rows (cid, sense, rhs), coefficients (row, col, value) and variables (col, cost, lower, upper).
 
-    As all variables cost nothing, any feasible point is an optimum: :meth:`optimize` finds
-    one, and :func:`path_flows` constructs one from the loadings of a result.
+    Without ``variables`` all are at least 0 and cost nothing, so that any feasible point is
+    an optimum: where all rows are equalities :meth:`optimize` finds one, and
+    :func:`path_flows` constructs one from the loadings of a result.  :meth:`minimize`
+    solves any program.
     """
 
     constraints: DataFrame
     coefficients: DataFrame
+    variables: DataFrame | None = None
+
+    def add_constraints(self, constraints: DataFrame) -> LinearProgram:
+        """The program with further rows (cid, sense, rhs), which may have no coefficient yet."""
+        return replace(self, constraints=self.constraints.unionByName(constraints))
+
+    def add_variables(self, variables: DataFrame, coefficients: DataFrame) -> LinearProgram:
+        """The program with further variables (col, cost, lower, upper) and their coefficients (row, col, value)."""
+        held = variables if self.variables is None else self.variables.unionByName(variables)
+        return replace(self, variables=held, coefficients=self.coefficients.unionByName(coefficients))
+
+    def minimize(self, tolerance: float = 1e-8, **options) -> Solution:
+        """The values of least cost (:func:`.lp.minimize`)."""
+        return minimize(self.constraints, self.coefficients, self.variables, tolerance, **options)
 
     def n_constraints(self) -> int:
         return self.constraints.count()
 
     def n_variables(self) -> int:
-        return self.coefficients.select("col").distinct().count()
+        cols = self.coefficients.select("col")
+        return (cols if self.variables is None else cols.unionByName(self.variables.select("col"))).distinct().count()
 
     def rows(self) -> DataFrame:
         """(cid, line) of every constraint in the LP text format."""
-        terms = self.coefficients.groupBy(F.col("row").alias("cid")).agg(F.array_join(F.sort_array(F.collect_list(F.format_string("x%d", "col"))), " + ").alias("terms"))
-        return self.constraints.join(terms, "cid", "left").select("cid", F.concat(F.format_string(" c%d: ", "cid"), F.coalesce("terms", F.lit("0 x0")), F.lit(" = "), F.col("rhs").cast("string")).alias("line"))
+        terms = self.coefficients.groupBy(F.col("row").alias("cid")).agg(F.array_join(F.sort_array(F.collect_list(F.when(F.col("value") == 1, F.format_string("x%d", "col")).otherwise(F.format_string("%s x%d", F.col("value").cast("string"), "col")))), " + ").alias("terms"))
+        return self.constraints.join(terms, "cid", "left").select("cid", F.concat(F.format_string(" c%d: ", "cid"), F.coalesce("terms", F.lit("0 x0")), F.lit(" "), F.expr("CASE sense WHEN '<' THEN '<=' WHEN '>' THEN '>=' ELSE '=' END"), F.lit(" "), F.col("rhs").cast("string")).alias("line"))
 
     def write(self, path: str) -> None:
-        """The program as text parts in ``path``."""
+        """The program as text parts in ``path``; each variable's cost and bounds have lines of their own."""
         spark = self.constraints.sparkSession
-        head = spark.range(1).select(F.lit(-1).cast("long").alias("cid"), F.lit("Minimize\n obj: 0 x0\nSubject To").alias("line"))
-        tail = spark.range(1).select(F.lit(2**62).cast("long").alias("cid"), F.lit("End").alias("line"))
-        head.unionByName(self.rows()).unionByName(tail).orderBy("cid").select("line").write.text(path)
+        line = lambda place, text: spark.range(1).select(F.lit(place).alias("place"), F.lit(0).cast("long").alias("cid"), F.lit(text).alias("line"))
+        out = line(0, "Minimize\n obj: 0 x0").unionByName(line(2, "Subject To")).unionByName(line(6, "End"))
+        out = out.unionByName(self.rows().select(F.lit(3).alias("place"), "cid", "line"))
+        if self.variables is not None:
+            number = lambda c: F.when(F.col(c) == float("inf"), F.lit("inf")).when(F.col(c) == float("-inf"), F.lit("-inf")).otherwise(F.col(c).cast("string"))
+            costs = self.variables.where("cost <> 0").select(F.lit(1).alias("place"), F.col("col").alias("cid"), F.format_string(" + %s x%d", F.col("cost").cast("string"), "col").alias("line"))
+            own = self.variables.where("lower <> 0 or upper < double('infinity')")
+            bounds = own.select(F.lit(5).alias("place"), F.col("col").alias("cid"), F.format_string(" %s <= x%d <= %s", F.coalesce(number("lower"), F.lit("0")), "col", F.coalesce(number("upper"), F.lit("inf"))).alias("line"))
+            out = out.unionByName(costs).unionByName(line(4, "Bounds")).unionByName(bounds)
+        out.orderBy("place", "cid").select("line").write.text(path)
 
     def optimize(self, tolerance: float = 1e-6, max_rounds: int = 200) -> DataFrame:
         """Values (col, flow) of at least 0 that meet all rows up to ``tolerance``, by multiplicative corrections.
@@ -120,6 +145,29 @@ def path_program(numbered: DataFrame, demand: DataFrame, flow: DataFrame) -> Lin
     return LinearProgram(trips.unionByName(links), trip_path(numbered).unionByName(link_path(numbered, n)))
 
 
+def fleet_program(numbered: DataFrame, demand: DataFrame, costs: DataFrame) -> LinearProgram:
+    """The least vehicle time that serves all trips on their paths.
+
+    A path's variable costs the sum of ``costs`` (link_id, cost) over its links; by Little's law the
+    objective is the number of vehicles under way.  ``demand`` are the trips that have a path.
+    """
+    rows = demand.select(F.col("trip_id").alias("cid"), F.lit("=").alias("sense"), F.col("volume").alias("rhs"))
+    time = numbered.select(F.col("path_id").alias("col"), F.explode("links").alias("link_id")).join(costs.select("link_id", "cost"), "link_id").groupBy("col").agg(F.sum("cost").alias("cost"))
+    free = F.lit(None).cast("double")
+    return LinearProgram(rows, trip_path(numbered), time.select("col", "cost", free.alias("lower"), free.alias("upper")))
+
+
+def relocation_program(surplus: DataFrame, roads: DataFrame) -> LinearProgram:
+    """The cheapest moves of empty vehicles that even out ``surplus`` (node, surplus) over ``roads`` (link_id, u, v, cost).
+
+    Every node sends what it has too much and gets what it lacks; moves may pass through nodes.
+    """
+    rows = surplus.select(F.col("node").alias("cid"), F.lit("=").alias("sense"), F.col("surplus").alias("rhs"))
+    ends = roads.select(F.col("link_id").alias("col"), F.explode(F.array(F.struct(F.col("u").alias("row"), F.lit(1.0).alias("value")), F.struct(F.col("v").alias("row"), F.lit(-1.0).alias("value")))).alias("e"))
+    free = F.lit(None).cast("double")
+    return LinearProgram(rows, ends.select("e.row", "col", "e.value"), roads.select(F.col("link_id").alias("col"), F.col("cost").cast("double").alias("cost"), free.alias("lower"), free.alias("upper")))
+
+
 def loading_weights(steps: list[float]) -> list[float]:
     """The share of each loading in the final flow: its step times what later steps leave of it."""
     out, left = [], 1.0

@@ -131,6 +131,15 @@ ORACLES = {
     "path_flows": solver(3, 0.15)
     + f""", paths AS (SELECT trip_id, path, sum(flow) AS flow FROM ({shares(3)}) GROUP BY ALL)
         SELECT (row_number() OVER (ORDER BY trip_id, '[' || array_to_string(path, ',') || ']') - 1)::BIGINT AS col, trip_id, array_to_string(path, '-') AS links, round(flow, 6) AS flow FROM paths""",
+    "fleet_size": solver(3, 0.15)
+    + """, kept AS (SELECT trip_id, volume, path FROM load0 UNION SELECT trip_id, volume, path FROM load1 UNION SELECT trip_id, volume, path FROM load2 UNION SELECT trip_id, volume, path FROM load3),
+        timed AS (SELECT trip_id, volume, path, sum(cost) AS t FROM (SELECT *, unnest(path) AS link_id FROM kept) JOIN state3 USING (link_id) GROUP BY ALL)
+        SELECT 'optimal' AS status, round(sum(volume * t) / sum(volume), 4) AS time_a_trip FROM (SELECT trip_id, volume, min(t) AS t FROM timed GROUP BY ALL)""",
+    "fleet_relocation": net(
+        """, ends AS (SELECT source AS node, -volume AS x FROM demand UNION ALL SELECT target, volume FROM demand),
+        surplus AS (SELECT n_nationkey AS node, coalesce(sum(x), 0) AS s FROM nation LEFT JOIN ends ON node = n_nationkey GROUP BY 1)
+        SELECT 'optimal' AS status, sum(abs(c))::BIGINT AS moves FROM (SELECT sum(s) OVER (ORDER BY node) AS c FROM surplus)"""
+    ),
     "path_flow_residual": "SELECT 0.0::DOUBLE AS residual",
     "braess": "SELECT * FROM (VALUES (0::BIGINT, 4.0::DOUBLE, 40.0::DOUBLE, 3.0::DOUBLE), (1, 2.0, 52.0, 3.0), (2, 2.0, 12.0, 0.0), (3, 2.0, 52.0, 3.0), (4, 4.0, 40.0, 3.0)) AS t(link_id, flow, cost, optimum)",
     "network_links": net("SELECT * FROM links"),

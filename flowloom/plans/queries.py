@@ -454,6 +454,29 @@ def path_flow_residual(spark, sf):
     return program.residual(values).select(F.round("residual", 6).alias("residual"))
 
 
+@query
+def fleet_size(spark, sf):
+    """The least vehicle time a trip on the paths of three steps, at the costs after them."""
+    found = solve(problem(spark, sf), FrankWolfeSettings(3, 1e-4, 1e-6), keep_paths=True)
+    numbered = cut(pathflow.number_paths(found.paths.select("trip_id", "links").distinct()))
+    demand = found.problem.demand
+    best = pathflow.fleet_program(numbered, demand, found.flow).minimize(1e-9)
+    return demand.agg(F.sum("volume").alias("volume")).select(F.lit(best.status).alias("status"), F.round(F.lit(best.objective) / F.col("volume"), 4).alias("time_a_trip"))
+
+
+@query
+def fleet_relocation(spark, sf):
+    """The least moves between nations next to each other after every order has taken a vehicle along."""
+    orders = testnet.demand(spark, sf)
+    ends = orders.select(F.explode(F.array(F.struct(F.col("source").alias("node"), (-F.col("volume")).alias("x")), F.struct(F.col("target").alias("node"), F.col("volume").alias("x")))).alias("e"))
+    nations = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("node"))
+    surplus = cut(nations.join(ends.groupBy("e.node").agg(F.sum("e.x").alias("surplus")), "node", "left").select("node", F.coalesce("surplus", F.lit(0.0)).alias("surplus")))
+    there = nations.where(F.col("node") > 0).select((2 * F.col("node")).alias("link_id"), (F.col("node") - 1).alias("u"), F.col("node").alias("v"))
+    roads = there.unionByName(there.select((F.col("link_id") + 1).alias("link_id"), F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("cost", F.lit(1.0))
+    best = pathflow.relocation_program(surplus, cut(roads)).minimize(1e-9)
+    return spark.range(1).select(F.lit(best.status).alias("status"), F.lit(round(best.objective)).cast("long").alias("moves"))
+
+
 @query
 def braess(spark, sf):
     """A published network of five links: the equilibrium's flows and costs, and the system optimum's flows."""

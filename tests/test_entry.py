@@ -38,7 +38,7 @@ def test_flagship(spark):
 def tables():
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for table in ("lineitem", "orders", "customer", "supplier"):
+    for table in ("lineitem", "orders", "customer", "supplier", "nation"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     return con
 
