@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import GraphInfo
-from ..scratch import cut, drop
+from ..scratch import cut
+from .components import strong_components
 
 
 def dense_ids(df: DataFrame, id_col: str, *order: str) -> DataFrame:
@@ -91,160 +90,6 @@ def last_parallel(links: DataFrame, order: str = "seq") -> DataFrame:
     return out.select("u", "v", order, *(F.col(f"_last.{c}") for c in rest))
 
 
-#: Links up to which components are found on the driver, in arrays of 16 bytes a link.
-MAX_LOCAL_LINKS = 1_000_000
-
-
-def strong_components(links: DataFrame, max_local: int = MAX_LOCAL_LINKS) -> DataFrame:
-    """(node, component): strongly connected components, each named by its smallest node.
-
-    Up to ``max_local`` links (checked by reading one more) one depth-first search finds them.
-    Larger networks shrink first: nodes without links in one of the directions are components
-    of their own, and nodes between just two links are passed over, both in every round, so
-    that chains and trees go in a number of rounds that grows with the logarithm of their
-    length.  What is left is coloured (:func:`_coloured`), in rounds that grow with its depth.
-    """
-    pairs = links.select("u", "v")
-    rows = pairs.limit(max_local + 1).toArrow()
-    if rows.num_rows <= max_local:
-        found = _searched(rows["u"].to_numpy(), rows["v"].to_numpy())
-        return links.sparkSession.createDataFrame(found, "node long, component long")
-    nodes = cut(endpoints(pairs))
-    rest = cut(pairs.where("u <> v").distinct())
-    passed: list[DataFrame] = []
-    while True:
-        into = rest.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n_in"), F.min("u").alias("before"))
-        out = rest.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n_out"), F.min("v").alias("after"))
-        degree = cut(into.join(out, "node", "full"))
-        ends = degree.where("n_in is null or n_out is null").select("node")
-        between = degree.where("n_in = 1 and n_out = 1").select("node", "before", "after")
-        # Of neighbours that could both be passed over, that of the smaller hash is.
-        able = between.select(F.col("node").alias("other"), F.xxhash64("node").alias("h"))
-        named = lambda c: able.withColumnsRenamed({"other": c, "h": f"_{c}"})
-        chosen = between.join(named("before"), "before", "left").join(named("after"), "after", "left")
-        less = lambda c: F.col(f"_{c}").isNull() | (F.xxhash64("node") < F.col(f"_{c}")) | (F.col(c) == F.col("node"))
-        over = cut(chosen.where(less("before") & less("after")).select("node", "before", "after"))
-        n_ends, n_over = ends.count(), over.count()
-        if not n_ends + n_over:
-            break
-        passed.append(over)
-        gone = ends.unionByName(over.select("node"))
-        kept = rest.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v")
-        alive = over.join(ends.withColumnRenamed("node", "before"), "before", "left_anti").join(ends.withColumnRenamed("node", "after"), "after", "left_anti")
-        shorter = cut(kept.unionByName(alive.where("before <> after").select(F.col("before").alias("u"), F.col("after").alias("v"))).distinct())
-        drop(rest)
-        rest = shorter
-    found = _coloured(rest)
-    found = cut(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
-    for over in reversed(passed):
-        before = found.select(F.col("node").alias("before"), F.col("component").alias("_b"))
-        after = found.select(F.col("node").alias("after"), F.col("component").alias("_a"))
-        own = over.join(before, "before").join(after, "after").where("_b = _a").select("node", F.col("_b").alias("_own"))
-        new = cut(found.join(own, "node", "left").select("node", F.coalesce("_own", "component").alias("component")))
-        drop(found, over)
-        found = new
-    least = found.groupBy("component").agg(F.min("node").alias("_least"))
-    return found.join(least, "component").select("node", F.col("_least").alias("component"))
-
-
-def _searched(u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
-    """The components of a network in arrays, by a depth-first search with a stack of its own."""
-    names, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
-    n = len(names)
-    tail, head = ends[: len(u)], ends[len(u) :]
-    order = np.argsort(tail, kind="stable")
-    first = np.searchsorted(tail[order], np.arange(n + 1)).tolist()
-    to = head[order].tolist()
-    found, low, label, at = [-1] * n, [0] * n, [-1] * n, first[:]
-    seen, waiting = 0, []
-    for root in range(n):
-        if found[root] >= 0:
-            continue
-        walk = [root]
-        while walk:
-            x = walk[-1]
-            if found[x] < 0:
-                found[x] = low[x] = seen
-                seen += 1
-                waiting.append(x)
-            while at[x] < first[x + 1]:
-                y = to[at[x]]
-                if found[y] < 0:
-                    walk.append(y)
-                    break
-                if label[y] < 0:
-                    low[x] = min(low[x], low[y])
-                at[x] += 1
-            else:
-                walk.pop()
-                if low[x] == found[x]:
-                    part = []
-                    while not part or part[-1] != x:
-                        part.append(waiting.pop())
-                    least = min(part)  # names ascend, so the smallest place is the smallest name
-                    for y in part:
-                        label[y] = least
-    return pd.DataFrame({"node": names, "component": names[label] if n else names})
-
-
-def _coloured(open_links: DataFrame) -> DataFrame:
-    """(node, component) of the ends of distinct links.
-
-    In each round every open node takes the smallest node that reaches it over open links
-    as its colour; the nodes of a colour that reach the colour's own node over links
-    within the colour form its component and close.  Nodes without open links in one of
-    the directions are components of their own and close first.
-    """
-    nodes = cut(endpoints(open_links))
-    closed: DataFrame | None = None
-    while not nodes.isEmpty():
-        starts, ends = open_links.select(F.col("u").alias("node")).distinct(), open_links.select(F.col("v").alias("node")).distinct()
-        core = nodes.join(starts, "node", "left_semi").join(ends, "node", "left_semi")
-        alone = nodes.join(core, "node", "left_anti").select("node", F.col("node").alias("component"))
-        if alone.isEmpty():
-            colours = _spread(core.select("node", F.col("node").alias("colour")), open_links)
-            x = colours.select(F.col("node").alias("u"), F.col("colour").alias("_x"))
-            y = colours.select(F.col("node").alias("v"), F.col("colour").alias("_y"))
-            inside = cut(open_links.join(x, "u").join(y, "v").where("_x = _y").select("u", "v"))
-            back = _reach(colours.where("node = colour").select("node", "colour"), inside)
-            found = back.select("node", F.col("colour").alias("component"))
-        else:
-            found = alone
-        found = cut(found)
-        closed = found if closed is None else closed.unionByName(found)
-        nodes = cut(nodes.join(found, "node", "left_anti"))
-        gone = found.select("node")
-        open_links = cut(open_links.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v"))
-    return closed if closed is not None else nodes.select("node", F.col("node").alias("component"))
-
-
-def _spread(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """The smallest label that reaches each node."""
-    labels = cut(labels)
-    frontier, held = labels, None
-    while True:
-        sent = frontier.join(links, F.col("node") == F.col("u")).groupBy(F.col("v").alias("node")).agg(F.min("colour").alias("_new"))
-        new = cut(labels.join(sent, "node", "left").select("node", F.least("colour", F.coalesce("_new", "colour")).alias("colour"), (F.coalesce("_new", "colour") < F.col("colour")).alias("_moved")))
-        drop(labels if held is None else held)
-        held, labels, frontier = new, new.select("node", "colour"), new.where("_moved").select("node", "colour")
-        if frontier.isEmpty():
-            return labels
-
-
-def _reach(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """The nodes that reach a root (node, colour) over the links, with its colour."""
-    found = cut(roots)
-    frontier = roots
-    while True:
-        back = frontier.select(F.col("node").alias("v"), "colour").join(links, "v").select(F.col("u").alias("node"), "colour").distinct()
-        fresh = cut(back.join(found, ["node", "colour"], "left_anti"))
-        if fresh.isEmpty():
-            return found
-        grown = cut(found.unionByName(fresh))
-        drop(found, frontier)
-        found, frontier = grown, fresh
-
-
 def largest_component(links: DataFrame) -> DataFrame:
     """(node, node_id): the nodes of the largest strong component (the smallest name among equals), renumbered in order."""
     parts = cut(strong_components(links))

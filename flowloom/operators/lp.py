@@ -175,8 +175,16 @@ def _errors(v: _Vectors, x, y, ax, aty) -> tuple[float, float, float]:
     return value, max(primal, dual, abs(value - bound) / (1 + abs(value) + abs(bound))), bound
 
 
-def _infeasible(v: _Vectors, y, aty, tolerance: float) -> bool:
-    """Whether prices prove that no values meet the rows: at no cost their bound is above 0."""
+#: How much larger than the values seen so far those may be that a certificate must rule out.
+BEYOND = 100.0
+
+
+def _infeasible(v: _Vectors, x, y, aty) -> bool:
+    """Whether prices prove that no values meet the rows: at no cost their bound is above 0.
+
+    What a price vector that is off by ``wrong`` in some column proves holds for values whose sum
+    times ``wrong`` is less than the bound: those up to BEYOND times the present ones.
+    """
     size = float(np.abs(y).max(initial=0))
     if size == 0:
         return False
@@ -184,11 +192,12 @@ def _infeasible(v: _Vectors, y, aty, tolerance: float) -> bool:
     up, down = np.maximum(pull, 0), np.minimum(pull, 0)
     wrong = float((np.where(np.isfinite(v.lower), 0, up) - np.where(np.isfinite(v.upper), 0, down)).max(initial=0))
     bound = float(v.rhs @ y) + _times(v.lower, np.where(np.isfinite(v.lower), up, 0)) + _times(v.upper, np.where(np.isfinite(v.upper), down, 0))
-    return bound > 0 and wrong <= tolerance * bound and bound > 1e-3 * tolerance * (1 + float(np.abs(v.rhs).max(initial=0)))
+    # Rounding of the bound itself must not pass for a proof either.
+    return bound > 1e-9 * (1 + float(np.abs(v.rhs * y).sum())) and wrong * BEYOND * (1 + float(np.abs(x).sum())) <= bound
 
 
-def _unbounded(v: _Vectors, x, ax, tolerance: float) -> bool:
-    """Whether ``x`` is a direction that stays within rows and bounds and lowers the objective."""
+def _unbounded(v: _Vectors, x, ax, y) -> bool:
+    """Whether ``x`` is a direction that stays within rows and bounds and lowers the objective, at prices up to BEYOND times ``y``."""
     size = float(np.abs(x).max(initial=0))
     if size == 0:
         return False
@@ -196,7 +205,8 @@ def _unbounded(v: _Vectors, x, ax, tolerance: float) -> bool:
     fall = -float(v.cost @ x)
     off = np.where(np.isneginf(v.least) & np.isposinf(v.most), np.abs(ax), np.where(v.least == 0, np.maximum(-ax, 0), np.maximum(ax, 0)))
     out = np.maximum(np.where(np.isfinite(v.lower), -x, 0), np.where(np.isfinite(v.upper), x, 0))
-    return fall > 0 and max(float(off.max(initial=0)), float(out.max(initial=0))) <= tolerance * fall
+    wrong = max(float(off.max(initial=0)), float(out.max(initial=0)))
+    return fall > 1e-9 * (1 + float(np.abs(v.cost * x).sum())) and wrong * BEYOND * (1 + float(np.abs(y).sum())) <= fall
 
 
 def minimize(constraints: DataFrame, coefficients: DataFrame, variables: DataFrame | None = None, tolerance: float = 1e-8, max_steps: int = 200_000, block: int = BLOCK) -> Solution:
@@ -272,9 +282,9 @@ def _iterate(matrix: _Matrix, v: _Vectors, tolerance: float, max_steps: int):
             return "optimal", p, d, error, steps
         # What the vectors do from look to look converges to a certificate where there is no optimum.
         ax, da_ = matrix.products(x - x0, y - y0)
-        if _infeasible(v, y - y0, da_, tolerance ** 0.5):
+        if _infeasible(v, p, y - y0, da_):
             return "infeasible", p, y - y0, error, steps
-        if _unbounded(v, x - x0, ax, tolerance ** 0.5):
+        if _unbounded(v, x - x0, ax, d):
             return "unbounded", x - x0, d, error, steps
         if steps >= max_steps:
             return "rounds", p, d, error, steps

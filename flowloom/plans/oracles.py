@@ -70,6 +70,22 @@ BPR_COST = "round(free_flow_time * (1 + {weight} * power(flow / capacity, 4)), 6
 
 
 
+#: The coefficients of the slope along ``d`` as a polynomial of the step.
+BPR_SLOPE = ", ".join(
+    f"sum(free_flow_time * {{weight}} * {(1, 4, 6, 4, 1)[j]} * power(flow / capacity, {4 - j}) * power(d / capacity, {j}) * d{' + free_flow_time * d' if j == 0 else ''}) AS c{j}" for j in range(5)
+)
+
+
+def halving(k: int) -> str:
+    """The WITH clause ``halve<k>`` of the line search on ``slope<k>``."""
+    slope = "c0 + a * (c1 + a * (c2 + a * (c3 + a * c4)))"
+    return f"""halve{k}(low, high, value, a, n) AS (
+  SELECT 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0
+  UNION ALL
+  SELECT CASE WHEN v < 0 THEN a ELSE low END, CASE WHEN v < 0 THEN high ELSE a END, v, a, n + 1
+  FROM (SELECT low, high, n, a, {slope} AS v FROM (SELECT low, high, n, 0.5 * (low + high) AS a FROM halve{k} WHERE (high - low > 1e-6 OR value > 0) AND n < 200), slope{k}))"""
+
+
 def solver(steps: int, weight: float) -> str:
     """WITH clauses that unroll the Frank-Wolfe method: ``state<k>`` (link_id, flow, cost) and ``load<k>`` (trip_id, path) of each step.
 
@@ -96,18 +112,10 @@ flow{k} AS MATERIALIZED (
             parts.append(f"state0 AS MATERIALIZED (SELECT link_id, capacity, free_flow_time, y::DOUBLE AS flow, {price.format(flow='y')} AS cost FROM flow0)")
             parts.append("step0 AS MATERIALIZED (SELECT 1.0::DOUBLE AS step, NULL::DOUBLE AS gap)")
         else:
-            terms = ", ".join(
-                f"sum(free_flow_time * {weight} * {(1, 4, 6, 4, 1)[j]} * power(flow / capacity, {4 - j}) * power(d / capacity, {j}) * d{' + free_flow_time * d' if j == 0 else ''}) AS c{j}" for j in range(5)
-            )
-            slope = "c0 + a * (c1 + a * (c2 + a * (c3 + a * c4)))"
             parts.append(
                 f"""moving{k} AS MATERIALIZED (SELECT s.*, y - flow AS d FROM state{k - 1} s JOIN flow{k} USING (link_id)),
-slope{k} AS MATERIALIZED (SELECT {terms} FROM moving{k}),
-halve{k}(low, high, value, a, n) AS (
-  SELECT 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0
-  UNION ALL
-  SELECT CASE WHEN v < 0 THEN a ELSE low END, CASE WHEN v < 0 THEN high ELSE a END, v, a, n + 1
-  FROM (SELECT low, high, n, a, {slope} AS v FROM (SELECT low, high, n, 0.5 * (low + high) AS a FROM halve{k} WHERE (high - low > 1e-6 OR value > 0) AND n < 200), slope{k})),
+slope{k} AS MATERIALIZED (SELECT {BPR_SLOPE.format(weight=weight)} FROM moving{k}),
+{halving(k)},
 step{k} AS MATERIALIZED (
   SELECT arg_max(a, n) AS step, (SELECT (SELECT sum(flow * cost) FROM state{k - 1}) - sum(volume * dist) FROM load{k}) / (SELECT sum(volume) FROM wanted) AS gap FROM halve{k}),
 state{k} AS MATERIALIZED (SELECT link_id, capacity, free_flow_time, flow, {price.format(flow='flow')} AS cost FROM (SELECT link_id, capacity, free_flow_time, flow + step * d AS flow FROM moving{k}, step{k}))"""

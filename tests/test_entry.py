@@ -4,7 +4,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from flowloom.plans import files
+from flowloom.plans import files, towns
 from flowloom.plans import oracles as engine
 
 DATA = "/root/testdata/sf0.001"
@@ -50,7 +50,7 @@ def in_order(rows):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
-@pytest.mark.parametrize("name", sorted(engine.ORACLES | files.ORACLES))
+@pytest.mark.parametrize("name", sorted(engine.ORACLES | files.ORACLES | towns.ORACLES))
 def test_query_meets_its_sql(spark, tables, name):
     got = entry.queries()[name](spark, DATA)
     columns = sorted(got.columns)

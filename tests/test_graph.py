@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from flowloom.operators import demand, graph, paths
+from flowloom.operators import components, demand, graph, paths
 
 
 def rows(frame, *columns):
@@ -151,14 +151,48 @@ def plain_components(links):
     return {x: min(y for y in reach[x] if x in reach[y]) for x in out}
 
 
-@pytest.mark.parametrize("max_local", [0, 10**6])
-def test_components_of_chains_circles_and_random_networks(spark, max_local):
+@pytest.mark.parametrize("part_links", [60, 10**6])
+def test_components_of_chains_circles_and_random_networks(spark, part_links):
     rng = random.Random(31)
     chain = [(i, i + 1) for i in range(60)]
     circle = [(100 + i, 100 + (i + 7) % 40) for i in range(40)]
     mixed = [(200 + rng.randrange(40), 200 + rng.randrange(40)) for _ in range(55)] + [(20, 100), (130, 300), (300, 301), (301, 130), (400, 400)]
     links = chain + circle + mixed
     frame = spark.createDataFrame(links, "u long, v long")
-    found = {r["node"]: r["component"] for r in graph.strong_components(frame, max_local=max_local).collect()}
+    found = {r["node"]: r["component"] for r in graph.strong_components(frame, part_links=part_links).collect()}
     assert found == plain_components(links)
-    assert graph.strong_components(frame.limit(0), max_local=max_local).count() == 0
+    assert graph.strong_components(frame.limit(0), part_links=part_links).count() == 0
+
+
+def grouped(found):
+    return {r["node"]: r["component"] for r in found.collect()}
+
+
+def test_a_long_circle_takes_few_levels(spark):
+    """No part of a circle has a circle in it; only the ways through the parts make one."""
+    levels = []
+    ring = spark.createDataFrame([(i, (i + 1) % 600) for i in range(600)], "u long, v long")
+    assert set(grouped(components.strong_components(ring, 200, levels)).values()) == {0}
+    assert len(levels) <= 4 and min(levels) > 0
+
+
+def test_a_deep_grid_without_circles_in_its_parts(spark):
+    """Links go right and down alone and around the edges: one component, in rounds of parts, then of pivots."""
+    n, levels = 8, []
+    links = [(i * n + j, x) for i in range(n) for j in range(n) for x in ((i + 1) % n * n + j, i * n + (j + 1) % n)]
+    found = grouped(components.strong_components(spark.createDataFrame(links, "u long, v long"), 60, levels))
+    assert set(found.values()) == {0} and len(found) == n * n
+    assert len(levels) <= 2 * n + 6
+
+
+def test_components_that_pass_parts_one_way(spark):
+    """Many small parts, some of whose nodes are only entered or only left."""
+    rng = random.Random(77)
+    links = [(rng.randrange(30), rng.randrange(30)) for _ in range(45)]
+    assert grouped(components.strong_components(spark.createDataFrame(links, "u long, v long"), 24)) == plain_components(links)
+
+
+def test_pivots_alone(spark):
+    rng = random.Random(78)
+    links = sorted({(u, v) for u, v in ((rng.randrange(25), rng.randrange(25)) for _ in range(45)) if u != v})
+    assert grouped(components.by_pivots(spark.createDataFrame(links, "u long, v long"))) == plain_components(links)
