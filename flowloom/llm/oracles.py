@@ -43,7 +43,7 @@ def _canonical(expr: str) -> str:
 OP10 = f"""
 WITH known AS (
   SELECT sha256({_canonical("t")}) AS digest, min(license) AS license
-  FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licenses.KNOWN)}) AS k(license, t) GROUP BY 1),
+  FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licenses.KNOWN + licenses.whole_texts())}) AS k(license, t) GROUP BY 1),
 split AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 units AS (
   SELECT doc_id, 'text' AS unit, 0::BIGINT AS line_no, text AS body FROM split WHERE text IS NOT NULL

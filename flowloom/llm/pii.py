@@ -16,6 +16,7 @@ import hashlib
 import math
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,6 @@ BASE = KINDS[:4]
 LEARNT = KINDS[5:]
 Span = tuple[str, int, int]
 
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: A match can only start where a run of digits does: it takes whole runs, and fails for all of a run alike.
@@ -188,10 +188,16 @@ def name_votes(text: str, start: int, end: int) -> list[int]:
         1 if any(len(w) == 2 and w[1] == "." for w in words) else -1,
         1 if words[0].lower() in GIVEN else 0,
         1 if titled else 0 if OPENING.search(text, max(0, start - 5), start) else -1,
-        0 if any(f" {w.lower()} " in text for w in words) else -1,
+        0 if any(w.lower() in between_spaces(text) for w in words) else -1,
     ]
 
 
+@lru_cache(maxsize=1)
+def between_spaces(text: str) -> frozenset[str]:
+    """What stands between two spaces of a text, found once for all of its candidates."""
+    return frozenset(text.split(" ")[1:-1])
+
+
 def name_features(text: str, start: int, end: int) -> list[float]:
     """The candidate's words, its length and the longest word."""
     words = text[start:end].split()
