@@ -197,7 +197,8 @@ LINK_FIELDS = ["ID_1", "LENGTH", "AB_SPEED", "BA_SPEED", "AB_CAPACIT", "BA_CAPAC
 def _shapes(spark: SparkSession, sf: str) -> str:
     """A folder of shapefiles: nations at (id, id % 5), the links as roads, a deleted record in each file."""
     path = folder(spark, "files") + "/nations"
-    nodes = [(i + 100, float(i), float(i % 5)) for i in range(25)]
+    nations = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey").orderBy("n_nationkey").collect()
+    nodes = [(i + 100, float(i), float(i % 5)) for (i,) in nations]
     nodes.insert(3, (999, 50.0, 50.0))
     store.write_bytes(spark, f"{path}/node.dbf", dbf([("ID", 8), ("LAT", 16), ("LON", 16)], nodes, frozenset([3])))
     store.write_bytes(spark, f"{path}/node.shp", shp([[(y, x)] for _, x, y in nodes]))
@@ -222,7 +223,9 @@ def _matrix(spark: SparkSession, sf: str, least: int) -> str:
     return "\n".join(",".join(row) for row in cells) + "\n"
 
 
-@query("SELECT range AS node_id, range + 100 AS name, range::DOUBLE AS x, (range % 5)::DOUBLE AS y FROM range(25)")
+@query(
+    "SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS node_id, n_nationkey::BIGINT + 100 AS name, n_nationkey::DOUBLE AS x, (n_nationkey % 5)::DOUBLE AS y FROM nation"
+)
 def shape_nodes(spark, sf):
     return shapefile.nodes_of(shapefile.features(spark, f"{_shapes(spark, sf)}/node.shp"))
 
@@ -418,10 +421,12 @@ def saved_cost(spark, sf):
     return columns.join(links.select("link_id", "flow"), "link_id").select("link_id", r6(cost.cost(F.col("flow")), "cost"))
 
 
-@query("SELECT 7::BIGINT AS max_iterations, 0.001::DOUBLE AS gap_tolerance, 0.00001::DOUBLE AS line_search_tolerance")
+@query("SELECT count(*) AS max_iterations, count(*)::DOUBLE / 1024 AS gap_tolerance, count(*)::DOUBLE / 1048576 AS line_search_tolerance FROM supplier")
 def saved_settings(spark, sf):
+    """As many steps as there are suppliers."""
     path = folder(spark, "files") + "/settings"
-    store.save_settings(spark, FrankWolfeSettings(7, 1e-3, 1e-5), path)
+    n = spark.read.parquet(f"{sf}/supplier.parquet").count()
+    store.save_settings(spark, FrankWolfeSettings(n, n / 1024, n / 1048576), path)
     return spark.createDataFrame([asdict(store.load_settings(spark, path))], "max_iterations long, gap_tolerance double, line_search_tolerance double")
 
 

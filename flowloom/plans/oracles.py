@@ -86,19 +86,26 @@ def halving(k: int) -> str:
   FROM (SELECT low, high, n, a, {slope} AS v FROM (SELECT low, high, n, 0.5 * (low + high) AS a FROM halve{k} WHERE (high - low > 1e-6 OR value > 0) AND n < 200), slope{k}))"""
 
 
-def solver(steps: int, weight: float) -> str:
+#: The same for costs of free_flow_time / 1000 a unit of flow on top of capacity / 1000.
+LINEAR_SLOPE = "sum((free_flow_time / 1000 * flow + capacity / 1000) * d) AS c0, sum(free_flow_time / 1000 * d * d) AS c1, 0.0::DOUBLE AS c2, 0.0::DOUBLE AS c3, 0.0::DOUBLE AS c4"
+
+
+def solver(steps: int, weight: float | None) -> str:
     """WITH clauses that unroll the Frank-Wolfe method: ``state<k>`` (link_id, flow, cost) and ``load<k>`` (trip_id, path) of each step.
 
+    BPR costs of that weight, or the linear ones of LINEAR_SLOPE without one.
+
     Every simple path of up to eight links is priced anew in each step; the slope of the
     line search is a polynomial of the step whose coefficients are sums over the links.
     """
-    price = f"free_flow_time * (1 + {weight} * power({{flow}} / capacity, 4))"
+    price = "free_flow_time / 1000 * {flow} + capacity / 1000" if weight is None else f"free_flow_time * (1 + {weight} * power({{flow}} / capacity, 4))"
+    terms = LINEAR_SLOPE if weight is None else BPR_SLOPE.format(weight=weight)
     parts = [
         f"""simple AS MATERIALIZED (SELECT row_number() OVER () AS p, source, node, path FROM walk WHERE source <> node AND len(path) > 0),
 used AS MATERIALIZED (SELECT p, unnest(path) AS link_id FROM simple),
 wanted AS MATERIALIZED (SELECT trip_id, source, target, volume FROM found WHERE path IS NOT NULL)"""
     ]
-    costs = "SELECT link_id, free_flow_time AS cost FROM links"
+    costs = f"SELECT link_id, {price.format(flow='0.0::DOUBLE')} AS cost FROM links"
     for k in range(steps + 1):
         parts.append(
             f"""load{k} AS MATERIALIZED (
@@ -114,7 +121,7 @@ flow{k} AS MATERIALIZED (
         else:
             parts.append(
                 f"""moving{k} AS MATERIALIZED (SELECT s.*, y - flow AS d FROM state{k - 1} s JOIN flow{k} USING (link_id)),
-slope{k} AS MATERIALIZED (SELECT {BPR_SLOPE.format(weight=weight)} FROM moving{k}),
+slope{k} AS MATERIALIZED (SELECT {terms} FROM moving{k}),
 {halving(k)},
 step{k} AS MATERIALIZED (
   SELECT arg_max(a, n) AS step, (SELECT (SELECT sum(flow * cost) FROM state{k - 1}) - sum(volume * dist) FROM load{k}) / (SELECT sum(volume) FROM wanted) AS gap FROM halve{k}),
@@ -149,7 +156,7 @@ ORACLES = {
         SELECT 'optimal' AS status, sum(abs(c))::BIGINT AS moves FROM (SELECT sum(s) OVER (ORDER BY node) AS c FROM surplus)"""
     ),
     "path_flow_residual": "SELECT 0.0::DOUBLE AS residual",
-    "braess": "SELECT * FROM (VALUES (0::BIGINT, 4.0::DOUBLE, 40.0::DOUBLE, 3.0::DOUBLE), (1, 2.0, 52.0, 3.0), (2, 2.0, 12.0, 0.0), (3, 2.0, 52.0, 3.0), (4, 4.0, 40.0, 3.0)) AS t(link_id, flow, cost, optimum)",
+    "linear_equilibrium": solver(10, None) + f" {SOLVED}",
     "network_links": net("SELECT * FROM links"),
     "node_index": net("SELECT node, (row_number() OVER (ORDER BY node) - 1)::BIGINT AS node_id FROM (SELECT u AS node FROM links UNION SELECT v FROM links)"),
     "link_degree": net("SELECT u AS node_id, count(*) AS degree FROM links WHERE u <> v GROUP BY 1"),

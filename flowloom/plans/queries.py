@@ -478,12 +478,8 @@ def fleet_relocation(spark, sf):
 
 
 @query
-def braess(spark, sf):
-    """A published network of five links: the equilibrium's flows and costs, and the system optimum's flows."""
-    # Fixed values: (u, v, coefficient, constant) of its links.
-    rows = [(0, 1, 10.0, 0.0), (0, 2, 1.0, 50.0), (1, 2, 1.0, 10.0), (1, 3, 1.0, 50.0), (2, 3, 10.0, 0.0)]
-    links = cut(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "link_id long, u long, v long, coefficient double, constant double"))
-    demand = cut(spark.createDataFrame([(0, 0, 3, 6.0)], "trip_id long, source long, target long, volume double"))
-    p, settings = Problem(links, demand, Linear(), "braess", 4), FrankWolfeSettings(60, 1e-2, 1e-6)
-    best = system_optimum(p, settings).flow.select("link_id", F.round("flow", 0).alias("optimum"))
-    return solve(p, settings).flow.select("link_id", F.round("flow", 1).alias("flow"), F.round("cost", 1).alias("cost")).join(best, "link_id")
+def linear_equilibrium(spark, sf):
+    """Ten steps at costs that grow linearly with the flow."""
+    p = problem(spark, sf)
+    links = p.links.withColumns({"coefficient": F.col("free_flow_time") / 1000, "constant": F.col("capacity") / 1000})
+    return _solved(solve(Problem(cut(links), p.demand, Linear(), "nations", 25), SETTINGS))
