@@ -9,13 +9,13 @@ from ..functions.cost import Bpr, check_capacity
 from ..operators.demand import compile_demand, travel_demand
 from ..operators.equilibrium import Problem
 from . import shapefile
-from .tntp import lines
+from .tntp import lines, numbered
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(file, i, j, value) of all cells of the files of a path; what isn't a number is NaN."""
-    rows = lines(spark, path).where(F.length(F.trim("line")) > 0)
-    cells = rows.select("file", F.col("pos").alias("i"), F.posexplode(F.split("line", ",", -1)).alias("j", "text"))
+    rows = numbered(lines(spark, path)).where(F.length(F.trim("line")) > 0)
+    cells = rows.select("file", F.col("row").alias("i"), F.posexplode(F.split("line", ",", -1)).alias("j", "text"))
     return cells.select("file", "i", F.col("j").cast("long").alias("j"), F.coalesce(F.trim("text").try_cast("double"), F.lit(float("nan"))).alias("value"))
 
 

@@ -1,7 +1,10 @@
 """TNTP text files: networks, trips and solutions.
 
-Files are read as lines with their place; every file is one unit, so the lines of a file
-are ordered within it and many files can be read at once.
+Files are read in splits, many tasks to a large file.  A line's place is its split's byte offset
+and its number within the task that reads it, which orders the lines of a file without
+bringing them together.  What a line needs of earlier ones (where the header ends, the origin
+of a trip, how many lines came before) is found for each split and carried over by the splits'
+one row each.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cost import Bpr, LinkCost
 from ..operators.graph import dense_ids
+from ..scratch import cut
 from ..schema import TNTP_LINK, TNTP_SOLUTION
 
 END = "<END OF METADATA>"
@@ -24,21 +28,54 @@ ENTRY = re.compile(r"<(.*)>\s+(.*)")
 ZONES, NODES, LINKS, FIRST_THRU, TOTAL_FLOW = "NUMBER OF ZONES", "NUMBER OF NODES", "NUMBER OF LINKS", "FIRST THRU NODE", "TOTAL OD FLOW"
 
 
+#: Up to so many files or splits their rows are broadcast (some 20 MB); beyond, lines are joined with them by shuffling.
+MAX_BESIDE = 100_000
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, line) of the files of a path."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return _numbered(whole)
+    """(file, pos, line) of the files of a path, ``pos`` a struct (block, number) that orders the lines of a file.
+
+    Lines end with ``\\n``, ``\\r\\n`` or ``\\r``; an empty file has none.  Numbers are consecutive
+    within a block, but don't begin at zero.
+    """
+    pos = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("number"))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), pos.alias("pos"), F.col("value").alias("line"))
 
 
 def lines_of(spark: SparkSession, contents: str) -> DataFrame:
     """The same of a text."""
-    return _numbered(spark.createDataFrame([("", contents)], "file string, value string"))
+    whole = spark.createDataFrame([("", contents)], "file string, value string")
+    body = F.regexp_replace(F.regexp_replace("value", r"\r\n?", "\n"), r"\n$", "")
+    pos = F.struct(F.lit(0).cast("long").alias("block"), F.col("at").cast("long").alias("number"))
+    return whole.select("file", F.posexplode(F.split(body, "\n", -1)).alias("at", "line")).select("file", pos.alias("pos"), "line")
+
 
+def _beside(rows: DataFrame, few: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with the columns of a table that has one row for each file or split."""
+    few = cut(few)
+    return rows.join(F.broadcast(few) if few.count() <= MAX_BESIDE else few, list(keys), "left")
 
-def _numbered(whole: DataFrame) -> DataFrame:
-    body = F.regexp_replace("value", r"\r\n?", "\n")
-    body = F.regexp_replace(body, r"\n$", "")
-    return whole.select("file", F.posexplode(F.split(body, "\n", -1)).alias("pos", "line")).select("file", F.col("pos").cast("long").alias("pos"), "line")
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` of :func:`lines` with ``row``, their number in their file from 0 on."""
+    blocks = rows.groupBy("file", F.col("pos.block").alias("_block")).agg(F.min("pos.number").alias("_least"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    first = blocks.select("file", "_block", (F.coalesce(before, F.lit(0)) - F.col("_least")).alias("_shift"))
+    found = _beside(rows.withColumn("_block", F.col("pos.block")), first, "file", "_block")
+    return found.withColumn("row", F.col("pos.number") + F.col("_shift")).drop("_block", "_shift")
+
+
+def filled(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """``rows`` with the last ``value`` that isn't null up to each line of its file.
+
+    Within a split it is a window; between splits the last value of each is carried on.
+    """
+    rows = rows.withColumn(name, value).withColumn("_block", F.col("pos.block"))
+    last = rows.groupBy("file", "_block").agg(F.max_by(name, F.when(F.col(name).isNotNull(), F.col("pos"))).alias("_last"))
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("file", "_block", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    within = F.last(name, ignorenulls=True).over(Window.partitionBy("file", "_block").orderBy("pos.number"))
+    return _beside(rows.withColumn(name, within), carried, "file", "_block").withColumn(name, F.coalesce(name, "_carried")).drop("_block", "_carried")
 
 
 def is_metadata(line: Column) -> Column:
@@ -70,9 +107,8 @@ def metadata(rows: DataFrame) -> DataFrame:
 
     Lines without white space after the key are skipped; of a repeated key the last counts.
     """
-    per_file = Window.partitionBy("file")
-    stop = F.min(F.when(~is_metadata(F.col("line")) | is_end_of_metadata(F.col("line")), F.col("pos"))).over(per_file)
-    head = rows.withColumn("_stop", stop).where(F.col("_stop").isNull() | (F.col("pos") < F.col("_stop")))
+    stop = F.min(F.when(~is_metadata(F.col("line")) | is_end_of_metadata(F.col("line")), F.col("pos"))).alias("_stop")
+    head = _beside(rows, rows.groupBy("file").agg(stop), "file").where(F.col("_stop").isNull() | (F.col("pos") < F.col("_stop")))
     pattern = r"^<(.*)>\s+(.*)"
     parsed = head.where(F.col("line").rlike(pattern)).select("file", "pos", F.regexp_extract("line", pattern, 1).alias("key"), F.regexp_extract("line", pattern, 2).alias("value"))
     return parsed.groupBy("file", "key").agg(F.max_by("value", "pos").alias("value"))
@@ -111,8 +147,8 @@ def trips_metadata(rows: DataFrame) -> DataFrame:
 
 def body(rows: DataFrame) -> DataFrame:
     """The lines from the first that isn't header on, without empty ones."""
-    first = F.min(F.when(~is_header(F.col("line")), F.col("pos"))).over(Window.partitionBy("file"))
-    return rows.withColumn("_first", first).where((F.col("pos") >= F.col("_first")) & ~is_empty(F.col("line"))).drop("_first")
+    first = rows.where(~is_header(F.col("line"))).groupBy("file").agg(F.min("pos").alias("_first"))
+    return _beside(rows, first, "file").where((F.col("pos") >= F.col("_first")) & ~is_empty(F.col("line"))).drop("_first")
 
 
 def parse_links(rows: DataFrame) -> DataFrame:
@@ -137,9 +173,8 @@ def first_link_bpr(links: DataFrame) -> LinkCost:
 def read_trips(rows: DataFrame) -> DataFrame:
     """(seq, origin, destination, volume) of ``Origin N`` blocks, sorted; volumes of zero go, trips within a zone stay."""
     own = F.when(F.col("line").rlike(r"^\s*Origin\s"), F.regexp_extract("line", r"Origin\s+(\d+)", 1).cast("int"))
-    origin = F.last(own, ignorenulls=True).over(Window.partitionBy("file").orderBy("pos"))
-    filled = body(rows).withColumn("origin", origin).where(~F.col("line").rlike(r"^\s*Origin\s") & F.col("origin").isNotNull())
-    items = filled.select("file", "origin", F.explode(F.split("line", ";")).alias("item")).where(F.trim("item") != "")
+    known = filled(body(rows), own, "origin").where(~F.col("line").rlike(r"^\s*Origin\s") & F.col("origin").isNotNull())
+    items = known.select("file", "origin", F.explode(F.split("line", ";")).alias("item")).where(F.trim("item") != "")
     parts = F.split("item", ":")
     trips = items.select("file", "origin", F.trim(parts[0]).cast("int").alias("destination"), F.trim(parts[1]).cast("double").alias("volume")).where("volume > 0")
     return dense_ids(trips, "seq", "file", "origin", "destination", "volume").drop("file")

@@ -65,6 +65,49 @@ def test_network_file(spark, tmp_path):
         directory.path_of("map")
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Files are read in splits of 48 bytes."""
+    sizes = {"spark.sql.files.maxPartitionBytes": "48", "spark.sql.files.openCostInBytes": "0"}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    yield
+    for k in sizes:
+        spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_files_of_many_splits(spark, tmp_path, small_splits, end):
+    """Origins whose blocks, headers and matrices run over many splits, in two files at once."""
+    trips = {k: [(o, d, float(o * d + k)) for o in (7, 3, 5) for d in range(1, 41)] for k in (0, 1)}
+    folder = tmp_path / "split"
+    (folder / "csv").mkdir(parents=True)
+    for k, rows in trips.items():
+        out = [f"<NUMBER OF ZONES> {40 + k}", *(f"<KEY {i}> {i}" for i in range(9)), "<END OF METADATA>", ""]
+        for o in (7, 3, 5):
+            out += [f"Origin {o}", *(f" {d} : {v};" for a, d, v in rows if a == o)]
+        (folder / f"t{k}_trips.tntp").write_bytes((end.join(out) + end).encode())
+        (folder / "csv" / f"{k}.csv").write_bytes((end.join(f"{i},{i + k}" if i % 5 else "" for i in range(60)) + end).encode())
+    rows = tntp.lines(spark, str(folder / "*.tntp"))
+    assert rows.rdd.getNumPartitions() > 8 and rows.select("pos.block").distinct().count() > 8
+    assert sorted((r["n_zones"], r["total_flow"]) for r in tntp.trips_metadata(rows).collect()) == [(40, None), (41, None)]
+    assert tntp.metadata(rows).count() == 20
+    found = tntp.read_trips(rows).orderBy("seq").collect()
+    expected = [t for k in (0, 1) for t in sorted(x for x in trips[k] if x[2] > 0)]
+    assert [(r["origin"], r["destination"], r["volume"]) for r in found] == expected
+    cells = odmatrix.read_directory(spark, str(folder / "csv"))
+    assert {(r["file"][-5:], r["i"], r["j"], r["value"]) for r in cells.collect()} == {(f"{k}.csv", i, j, float(i + k * j)) for k in (0, 1) for i in range(60) if i % 5 for j in (0, 1)}
+
+
+def test_lines_are_read_without_bringing_a_file_together(spark, tmp_path):
+    (tmp_path / "a.tntp").write_text(TRIPS)
+    rows = tntp.lines(spark, str(tmp_path / "a.tntp"))
+    plan = tntp.body(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    (tmp_path / "b.tntp").write_text("")
+    assert tntp.lines(spark, str(tmp_path / "b.tntp")).count() == 0
+
+
 def test_bad_values_raise(spark):
     with pytest.raises(Exception):
         tntp.read_network(tntp.lines_of(spark, NET.replace("5.5", "five"))).collect()
