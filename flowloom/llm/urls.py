@@ -162,7 +162,10 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, id_col: str = "page_id",
         fits = fetched.join(F.broadcast(table), "token").where(F.expr("_key rlike pattern")).drop("_key", "token", "pattern")
         found = fits if found is None else found.unionByName(fits)
     best = _best(found) if found is not None else rows.limit(0).select("_url", F.lit(None).cast(ANSWER).alias("own"), F.lit(None).cast(ANSWER).alias("other"))
-    return rows.join(best, "_url", "left").select(
+    # Null URLs fit no rule and stay out of the join, where they would be one key.
+    answered = rows.where(url.isNotNull()).join(best, "_url", "left")
+    unknown = rows.where(url.isNull()).select("_url", "_id", F.lit(None).cast(ANSWER).alias("own"), F.lit(None).cast(ANSWER).alias("other"))
+    return answered.unionByName(unknown).select(
         F.col("_id").alias(id_col),
         host_of(url).alias("host"),
         path_of(url).alias("path"),

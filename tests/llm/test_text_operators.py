@@ -318,6 +318,15 @@ def test_urls(spark):
     assert {r["verdict"] for r in urls.judge(frame, []).collect()} == {"allow"}
 
 
+def test_null_urls_in_bulk(spark):
+    """Half of the URLs are null, a third are one URL; null ones stay out of the join and keep their rows."""
+    frame = spark.range(6000).selectExpr("id AS page_id", "CASE WHEN id % 2 = 0 THEN NULL WHEN id % 3 = 0 THEN concat('http://a.net/', id) ELSE 'http://b.example.net/en/x' END AS url")
+    found = urls.judge(frame)
+    counts = {(r["host"], r["rule"], r["verdict"]): r["count"] for r in found.groupBy("host", "rule", "verdict").count().collect()}
+    assert counts == {("", None, "allow"): 3000, ("a.net", "net/", "block"): 1000, ("b.example.net", "example.net/en/", "allow"): 2000}
+    assert found.select("page_id").distinct().count() == 6000
+
+
 def test_rule_lists(spark, tmp_path):
     """Every rule on every URL by Python's regular expressions, over a few thousand rules in blocks."""
     lines = ["! a comment", "[a heading]", "", "||Ads.Example.com^", "@@||ads.example.com/help^", "|shop.example.net/cart|", "*/track/*/pixel", "/\\d{6}$/", "banner^", "||hub.example.org/a*z"]
