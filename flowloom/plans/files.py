@@ -191,6 +191,21 @@ def shp(shapes: list[list[tuple[float, float]]]) -> bytes:
     return struct.pack(">7i2i8d", 9994, 0, 0, 0, 0, 0, 50 + len(out) // 2, 1000, kind, *[0.0] * 8) + out
 
 
+def shx(data: bytes) -> bytes:
+    """The index of the shapes in ``data``, the bytes of a .shp file."""
+    out, at = b"", 100
+    while at < len(data):
+        (words,) = struct.unpack_from(">i", data, at + 4)
+        out += struct.pack(">2i", at // 2, words)
+        at += 8 + 2 * words
+    return data[:24] + struct.pack(">i", 50 + len(out) // 2) + data[28:100] + out
+
+
+def _shapefile(spark: SparkSession, stem: str, table: bytes, shapes: bytes) -> None:
+    for extension, data in ((".dbf", table), (".shp", shapes), (".shx", shx(shapes))):
+        store.write_bytes(spark, stem + extension, data)
+
+
 LINK_FIELDS = ["ID_1", "LENGTH", "AB_SPEED", "BA_SPEED", "AB_CAPACIT", "BA_CAPACIT", "AB_ZONE", "BA_ZONE", "AB_LANES", "BA_LANES", "LAT1", "LON1", "LAT2", "LON2"]
 
 
@@ -200,16 +215,14 @@ def _shapes(spark: SparkSession, sf: str) -> str:
     nations = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey").orderBy("n_nationkey").collect()
     nodes = [(i + 100, float(i), float(i % 5)) for (i,) in nations]
     nodes.insert(3, (999, 50.0, 50.0))
-    store.write_bytes(spark, f"{path}/node.dbf", dbf([("ID", 8), ("LAT", 16), ("LON", 16)], nodes, frozenset([3])))
-    store.write_bytes(spark, f"{path}/node.shp", shp([[(y, x)] for _, x, y in nodes]))
+    _shapefile(spark, f"{path}/node", dbf([("ID", 8), ("LAT", 16), ("LON", 16)], nodes, frozenset([3])), shp([[(y, x)] for _, x, y in nodes]))
     rows = []
     for r in testnet.links(spark, sf).orderBy("link_id").collect():
         u, v, k = r["u"], r["v"], r["link_id"]
         capacity = 99999 if v == (u + 1) % 25 else 500
         rows.append((k, r["free_flow_time"], 30, 20, capacity, 500, u, 0, 1, 0, float(u), float(u % 5), float(v), float(v % 5)))
     rows.insert(1, (rows[0][0] + 5000, *rows[0][1:]))
-    store.write_bytes(spark, f"{path}/link.dbf", dbf([(f, 20) for f in LINK_FIELDS], rows, frozenset([1])))
-    store.write_bytes(spark, f"{path}/link.shp", shp([[(r[11], r[10]), (float(r[0] % 5000), 0.5), (r[13], r[12])] for r in rows]))
+    _shapefile(spark, f"{path}/link", dbf([(f, 20) for f in LINK_FIELDS], rows, frozenset([1])), shp([[(r[11], r[10]), (float(r[0] % 5000), 0.5), (r[13], r[12])] for r in rows]))
     for name, least in (("a", 0), ("b", 1)):
         store.write_text(spark, f"{path}/ODmatrix/{name}.csv", _matrix(spark, sf, least))
     return path
@@ -232,7 +245,7 @@ def shape_nodes(spark, sf):
 
 @query(net("SELECT link_id AS record, link_id AS id, 3 AS points, 14 AS properties, v % 5 + 0.0::DOUBLE AS last_x FROM links"))
 def shape_features(spark, sf):
-    found = shapefile.features(spark, f"{_shapes(spark, sf)}/link.shp")
+    found = shapefile.features(spark, f"{_shapes(spark, sf)}/link.shp", per_part=16)
     return found.select("record", shapefile.prop("ID_1", "long").alias("id"), F.size("geometry").alias("points"), F.size("properties").alias("properties"), F.element_at("geometry", 3).x.alias("last_x"))
 
 
@@ -309,12 +322,11 @@ PATHS = "SELECT trip_id, array_to_string(path, '-') AS links FROM found WHERE pa
 
 
 def _dumps(spark, sf) -> list[str]:
-    """The paths in two dumps, by the last bit of their trips."""
-    path, out = folder(spark, "files"), []
+    """The paths in two folders of dumps, by the last bit of their trips."""
+    path, found = folder(spark, "files"), _paths(spark, sf)
+    out = [f"{path}/paths{k}" for k in (0, 1)]
     for k in (0, 1):
-        rows = _paths(spark, sf).where(F.col("trip_id") % 2 == k).coalesce(1)
-        out.append(f"{path}/paths{k}.bin.gz")
-        store.write_bytes(spark, out[-1], bytes(pathdump.encode(rows).first()["content"]))
+        pathdump.write_paths(found.where(F.col("trip_id") % 2 == k), out[k])
     return out
 
 
@@ -379,13 +391,11 @@ def store_look_up(spark, sf):
 
 @query(walks("SELECT source, target, array_to_string(path, '-') AS links FROM found WHERE path IS NOT NULL"))
 def legacy_path_set(spark, sf):
-    """Paths by source and target in a nested listing of block style."""
+    """Paths by source and target in nested listings of block style."""
+    path = folder(spark, "files") + "/listing"
     ends = testnet.demand(spark, sf).select("trip_id", "source", "target")
-    by: dict[int, list] = {}
-    for r in _paths(spark, sf).join(ends, "trip_id").collect():
-        by.setdefault(r["source"], []).append((r["target"], r["links"]))
-    text = "".join(f"- - {s}\n" + "".join(("  - " if i == 0 else "    ") + f"- - {t}\n      - {list(links)}\n" for i, (t, links) in enumerate(own)) for s, own in sorted(by.items()))
-    return pathdump.read_tries(spark, text).select("source", "target", _text())
+    pathdump.listing_lines(_paths(spark, sf).join(ends, "trip_id")).write.text(path)
+    return pathdump.read_listing(spark, path).select("source", "target", _text())
 
 
 @query(net("SELECT link_id, u, v, 25::BIGINT AS number_of_nodes, 'nations' AS name FROM links"))

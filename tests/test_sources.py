@@ -1,4 +1,7 @@
+import gzip
+import io
 import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,15 +195,19 @@ def test_matrix_cells(spark, town):
 
 def test_dumps_and_store(spark, tmp_path):
     paths = [(0, [1, 2]), (1, []), (70000, [65537])]
-    assert pathdump.parse(pathdump.dump(paths)) == paths
-    with pytest.raises(ValueError):
-        pathdump.parse(__import__("gzip").compress(b"\1\0\0\0"))
-    (tmp_path / "paths.bin.gz").write_bytes(pathdump.dump(paths))
-    found = pathdump.read_paths(spark, str(tmp_path / "paths.bin.gz"))
+    frame = spark.createDataFrame(paths, "trip_id long, links array<long>")
+    pathdump.write_paths(frame.repartition(2), str(tmp_path / "paths"))
+    found = pathdump.read_paths(spark, str(tmp_path / "paths"))
     assert sorted((r["trip_id"], r["links"]) for r in found.collect()) == paths
-    with pytest.raises(Exception):
-        pathdump.read_paths(spark, str(tmp_path / "paths.bin.gz"), number_of_links=5).collect()
-    assert pathdump.parse(bytes(pathdump.encode(found.coalesce(1)).first()["content"])) == paths
+    pathdump.write_paths(frame.where("trip_id = 1"), str(tmp_path / "paths"))
+    assert found.count() == 3 and pathdump.read_paths(spark, str(tmp_path / "paths")).count() == 4
+    pathdump.write_paths(frame.coalesce(1), str(tmp_path / "paths"), "overwrite")
+    found = pathdump.read_paths(spark, str(tmp_path / "paths"))
+    assert sorted((r["trip_id"], r["links"]) for r in found.collect()) == paths
+    assert [f.name.split("-")[0] for f in (tmp_path / "paths").iterdir() if not f.name.startswith(".")] == ["part"]
+    for bad in ({"number_of_links": 5}, {"number_of_trips": 1000}):
+        with pytest.raises(Exception, match="out of range"):
+            pathdump.read_paths(spark, str(tmp_path / "paths"), **bad).collect()
 
     kv = pathstore.PathStore(spark, str(tmp_path / "kv"))
     assert kv.get(b"x") is None and not kv.cursor().is_valid()
@@ -308,3 +315,101 @@ def test_programs_are_solved(spark):
     with pytest.raises(ValueError):
         pathflow.LinearProgram(constraints.replace(4.0, 9.0, ["rhs"]), coefficients).optimize(max_rounds=5)
     assert vectors.debug(values, "flow", "col") == "4 2 0"
+
+
+def lined(k):
+    return [(float(k), 0.5)] * (2 + k % 3)
+
+
+def make_shapefile(stem, count, deleted=frozenset(), index=True):
+    stem.with_suffix(".dbf").write_bytes(files.dbf([("ID", 6), ("NAME", 8)], [(k, None if k % 7 == 0 else f"r{k}") for k in range(count)], deleted))
+    shapes = files.shp([lined(k) for k in range(count)])
+    stem.with_suffix(".shp").write_bytes(shapes)
+    if index:
+        stem.with_suffix(".shx").write_bytes(files.shx(shapes))
+
+
+@pytest.mark.parametrize("index", [True, False])
+def test_shapefiles_in_ranges_of_records(spark, tmp_path, index):
+    gone = frozenset(range(0, 3000, 11)) | frozenset(range(800))
+    make_shapefile(tmp_path / "r", 3000, gone, index)
+    found = shapefile.features(spark, str(tmp_path / "r.shp"), per_part=700)
+    rows = found.orderBy("record").collect()
+    left = [k for k in range(3000) if k not in gone]
+    assert [r["record"] for r in rows] == list(range(len(left)))
+    assert [r["properties"] for r in rows] == [{"ID": str(k), "NAME": None if k % 7 == 0 else f"r{k}"} for k in left]
+    assert [[tuple(p) for p in r["geometry"]] for r in rows] == [lined(k) for k in left]
+    whole = shapefile.records(spark, str(tmp_path / "r"), per_part=700)
+    assert whole.rdd.getNumPartitions() == (5 if index else 1)
+
+
+def test_shapefiles_read_what_is_asked(spark, tmp_path):
+    make_shapefile(tmp_path / "r", 10)
+    (tmp_path / "r.shp").unlink()
+    assert shapefile.records(spark, str(tmp_path / "r"), "deleted boolean").count() == 10
+    rows = shapefile.records(spark, str(tmp_path / "r"), "part int, live long, properties map<string,string>", 4, ["ID"]).collect()
+    assert sorted((r["part"], r["live"], r["properties"]["ID"]) for r in rows) == [(k // 4, k % 4, str(k)) for k in range(10)]
+    assert all(set(r["properties"]) == {"ID"} for r in rows)
+    with pytest.raises(Exception):
+        shapefile.features(spark, str(tmp_path / "r")).collect()
+
+
+def test_empty_shapefiles(spark, tmp_path):
+    make_shapefile(tmp_path / "r", 0)
+    assert shapefile.features(spark, str(tmp_path / "r.shp")).collect() == []
+    make_shapefile(tmp_path / "s", 2)
+    (tmp_path / "s.shx").write_bytes((tmp_path / "s.shx").read_bytes() + b"\0" * 8)
+    with pytest.raises(Exception, match="2 records and 3 shapes"):
+        shapefile.features(spark, str(tmp_path / "s.shp")).collect()
+
+
+def packed(*records):
+    return gzip.compress(b"".join(struct.pack(f"<{len(r)}I", *r) for r in records))
+
+
+def numbers(data, chunk):
+    return [v for a in pathdump.whole_records(pathdump.inflate(io.BytesIO(data), chunk)) for v in a.tolist()]
+
+
+def test_dumps_are_inflated_in_pieces():
+    end = pathdump.END
+    records = [(k, *range(k % 5), end) for k in range(50)]
+    flat = [v for r in records for v in r]
+    data = packed(*records[:20]) + packed() + packed(*records[20:])  # members follow each other
+    for chunk in (1, 2, 3, 4, 5, 7, 64, 1 << 20):
+        assert numbers(data, chunk) == flat
+    long = packed((1, *[9] * 300_000, end), (2, end))
+    most = max(map(len, pathdump.inflate(io.BytesIO(long), 4096)))
+    assert most <= 4096 and len(numbers(long, 4096)) == 300_004
+    assert numbers(packed(), 8) == numbers(b"", 8) == []
+
+
+@pytest.mark.parametrize("data", [packed((1, 2)), gzip.compress(b"\1\0\0\0\2"), packed((1, 2, pathdump.END))[:-9], packed((1, 2, pathdump.END))[:5]])
+def test_cut_dumps_raise(data):
+    with pytest.raises((ValueError, zlib.error)):
+        numbers(data, 64)
+
+
+def test_dumps_without_a_trip_or_with_nulls_raise(spark, tmp_path):
+    (tmp_path / "a.bin.gz").write_bytes(packed((1, pathdump.END), (pathdump.END,)))
+    with pytest.raises(Exception, match="no trip"):
+        pathdump.read_paths(spark, str(tmp_path / "a.bin.gz")).collect()
+    for row in ((None, [1]), (1, None), (1, [None]), (-1, [1]), (1, [pathdump.END])):
+        with pytest.raises(Exception):
+            pathdump.write_paths(spark.createDataFrame([row], "trip_id long, links array<long>"), str(tmp_path / "b"))
+    assert list((tmp_path / "b").iterdir()) == []
+    (tmp_path / "none").mkdir()
+    assert pathdump.read_paths(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_listings_are_read_by_line(spark, tmp_path):
+    block = "- - 0\n  - - - 3\n      - - 0\n        - 2\n        - 4\n    - - 3\n      - [1, 4]\n- - 2\n  - - - 3\n      - []\n"
+    (tmp_path / "a.yaml").write_text(block)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 24)
+    try:
+        found = pathdump.read_listing(spark, str(tmp_path / "a.yaml"))
+        assert sorted(map(tuple, found.collect())) == [(0, 3, [0, 2, 4]), (0, 3, [1, 4]), (2, 3, [])]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    pathdump.listing_lines(found).write.text(str(tmp_path / "out"))
+    assert sorted(map(tuple, pathdump.read_listing(spark, str(tmp_path / "out")).collect())) == [(0, 3, [0, 2, 4]), (0, 3, [1, 4]), (2, 3, [])]
