@@ -19,4 +19,6 @@ def test_tasks_grow_with_the_lines(spark):
 def test_dealt_out_flows_are_the_same(spark, monkeypatch):
     want = sorted(map(tuple, testnet.flows(spark, DATA).collect()))
     monkeypatch.setattr(testnet, "TASK_LINES", 500)
-    assert sorted(map(tuple, testnet.flows(spark, DATA).collect())) == want
+    got = sorted(map(tuple, testnet.flows(spark, DATA).collect()))
+    assert [(r[0], r[1], r[2], r[4]) for r in got] == [(r[0], r[1], r[2], r[4]) for r in want]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=2e-6)  # sums of floats in another order, rounded
