@@ -123,19 +123,51 @@ def centroids(zone_links: DataFrame, degrees: DataFrame) -> DataFrame:
 def nearest_nodes(points: DataFrame, nodes: DataFrame, cell: float = 0.01, rings: int = 6, slabs: int = 64) -> DataFrame:
     """``points`` (point_id, x, y) with the id of the nearest node (node_id, x, y): the smallest id among equals.
 
-    Equal coordinates are joined first.  The others look in the grid cells around them, in
-    ``rings`` rings that double until the best distance lies within the ring.  Points that
-    are still open look among boxes of about equally many nodes: ``slabs`` by x, as many by
-    y in each.  Only boxes that may hold the nearest node are searched.  Raises without nodes.
+    Equal coordinates are joined first; of nodes, and of points, at one place one looks for all.
+    The others look in the grid cells around them, in rings that double until the best
+    distance lies within the ring: ``rings`` from ``cell`` on, and smaller ones before where the nodes
+    lie so close that a cell holds many.  Points that are still open look among boxes of about
+    equally many nodes: ``slabs`` by x, as many by y in each.  Only boxes that may hold the
+    nearest node are searched.  Raises without nodes.
     """
     if nodes.isEmpty():
         raise LookupError("there is no node to be near to")
-    exact = nodes.groupBy("x", "y").agg(F.min("node_id").alias("node_id"))
-    joined = cut(points.select("point_id", "x", "y").join(exact, ["x", "y"], "left"))
+    nodes = cut(nodes.groupBy("x", "y").agg(F.min("node_id").alias("node_id")))
+    joined = cut(points.select("point_id", "x", "y").join(nodes, ["x", "y"], "left"))
+    sought = joined.where("node_id is null")
+    # Points without both coordinates are near to nothing by any distance, and stay apart.
+    places = cut(sought.groupBy("x", "y").agg(F.min("point_id").alias("place")))
     done = joined.where("node_id is not null").select("point_id", "node_id")
-    open_ = joined.where("node_id is null").select("point_id", "x", "y")
-    ring = 1
-    for _ in range(rings):
+    found = _near(places.select(F.col("place").alias("point_id"), "x", "y"), nodes, cell, rings, slabs)
+    same = F.col("x").eqNullSafe(F.col("_x")) & F.col("y").eqNullSafe(F.col("_y"))
+    shared = places.join(found.withColumnRenamed("point_id", "place"), "place").select(F.col("x").alias("_x"), F.col("y").alias("_y"), "node_id")
+    done = done.unionByName(sought.drop("node_id").join(shared, same).select("point_id", "node_id"))
+    return points.join(done, "point_id")
+
+
+#: Nodes of a cell, as a node sees it on average, up to which cells aren't made smaller.
+CELL_NODES = 8
+#: Halvings of cells at most.
+HALVINGS = 16
+
+
+def _halvings(nodes: DataFrame, cell: float) -> int:
+    """How often to halve ``cell`` until a node's own cell holds few others on average."""
+    for k in range(HALVINGS):
+        wide = cell / 2**k
+        held = nodes.groupBy(F.floor(F.col("x") / wide), F.floor(F.col("y") / wide)).count()
+        row = held.agg(F.sum(F.col("count") * F.col("count")).alias("pairs"), F.sum("count").alias("n")).first()
+        if row["pairs"] <= CELL_NODES * row["n"]:
+            return k
+    return HALVINGS
+
+
+def _near(points: DataFrame, nodes: DataFrame, cell: float, rings: int, slabs: int) -> DataFrame:
+    """(point_id, node_id) of points at different places, none of which is a node's."""
+    done, open_ = points.sparkSession.createDataFrame([], "point_id long, node_id long"), points
+    halved = _halvings(nodes, cell)
+    ring = 0.5**halved
+    for _ in range(rings + halved):
         if open_.isEmpty():
             break
         # Cells as wide as the ring keep the look-ups at nine whatever the ring is.
@@ -151,7 +183,7 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, cell: float = 0.01, rings
         ring *= 2
     if not open_.isEmpty():
         done = done.unionByName(_by_boxes(open_, nodes, slabs))
-    return points.join(done, "point_id")
+    return done
 
 
 def _square():

@@ -196,3 +196,21 @@ def test_pivots_alone(spark):
     rng = random.Random(78)
     links = sorted({(u, v) for u, v in ((rng.randrange(25), rng.randrange(25)) for _ in range(45)) if u != v})
     assert grouped(components.by_pivots(spark.createDataFrame(links, "u long, v long"))) == plain_components(links)
+
+
+def test_nodes_close_together_get_smaller_cells(spark):
+    """A cell that holds all nodes is halved, and nodes at one place count once."""
+    from flowloom.operators.graph import _halvings
+
+    one = spark.createDataFrame([(i, float(i % 20) / 20, float(i // 20) / 20) for i in range(400)], "node_id long, x double, y double")
+    assert _halvings(one, 1.0) >= 2
+    copies = one
+    for k in range(1, 5):
+        copies = copies.unionByName(one.select((F.col("node_id") + 400 * k).alias("node_id"), "x", "y"))
+    rng = random.Random(3)
+    points = [(i, rng.random() * 1.5, rng.random() * 1.5) for i in range(60)]
+    points += [(100 + i, x, y) for i, x, y in points[:20]] + [(200, 0.5, 0.5), (201, None, 0.5)]
+    got = {r.point_id: r.node_id for r in graph.nearest_nodes(spark.createDataFrame(points, "point_id long, x double, y double"), copies, cell=1.0).collect()}
+    held = [(r.node_id, r.x, r.y) for r in one.collect()]
+    want = {i: min(((x - a) ** 2 + (y - b) ** 2, n) for n, a, b in held)[1] for i, x, y in points if x is not None}
+    assert got == want
