@@ -1,6 +1,6 @@
 """Strongly connected components of any network, without a search on the driver.
 
-The network is cut into parts.  A task finds the components within its part and replaces the
+Weak components that a task can hold are searched by one.  A larger one is cut into parts.  A task finds the components within its part and replaces the
 part by them: by the ways between those where links enter and leave it, or by its own links
 where these are fewer.  What is left is cut again as long as it shrinks, so that long chains,
 circles and grids take a number of levels that grows with the logarithm of their size.  The
@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import cut, drop
 from .overlay import PART_LINKS, cut_parts
+from .whole import WHOLE_LINKS, bins
 
 #: A level must leave fewer links than this share.
 SHRINK = 0.9
@@ -222,17 +224,38 @@ def by_pivots(pairs: DataFrame, levels: list | None = None) -> DataFrame:
     return cut(out)
 
 
-def strong_components(links: DataFrame, part_links: int = PART_LINKS, levels: list | None = None) -> DataFrame:
+def _in_tasks(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """(node, component) of the ends of ``pairs`` in the weak components that ``held`` (node, bin) puts into tasks."""
+
+    def run(links: pa.Table) -> pa.Table:
+        names, ends = np.unique(np.concatenate([links["u"].to_numpy(), links["v"].to_numpy()]), return_inverse=True)
+        label = search(len(names), *np.split(ends, 2))
+        return pa.table({"node": names, "component": names[np.array(label, np.int64)]})
+
+    tasks = (held.agg(F.max("bin")).first()[0] or 0) + 1
+    dealt = pairs.join(held.withColumnRenamed("node", "u"), "u").select("bin", "u", "v").repartition(tasks, "bin")
+    return dealt.groupBy("bin").applyInArrow(run, "node long, component long")
+
+
+def strong_components(links: DataFrame, part_links: int | None = None, levels: list | None = None) -> DataFrame:
     """(node, component): strongly connected components of ``links`` (u, v), each named by its smallest node.
 
-    ``part_links`` bounds what a task holds.  ``levels`` gets the number of links of each
-    level and the negative number of each search by pivots, once a round.  Repeated links
-    and loops change nothing; an empty table gives no rows.
+    Weak components of up to ``part_links`` links (WHOLE_LINKS without it) are searched by one
+    task, larger ones in parts of about so many (PART_LINKS without it).  ``levels`` gets the
+    number of links of each level of parts and the negative number of each search by pivots, once
+    a round.  Repeated links and loops change nothing; an empty table gives no rows.
     """
     pairs = cut(links.select("u", "v").where("u <> v").distinct())
     nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     if pairs.isEmpty():
         return nodes.select("node", F.col("node").alias("component"))
-    found = cut(nodes.join(_solved(pairs, part_links, levels), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    held = bins(pairs, WHOLE_LINKS if part_links is None else part_links)
+    found = _in_tasks(pairs, held.where("bin is not null"))
+    over = held.where("bin is null")
+    if not over.isEmpty():
+        rest = cut(pairs.join(over.select(F.col("node").alias("u")), "u", "left_semi"))
+        found = found.unionByName(_solved(rest, PART_LINKS if part_links is None else part_links, levels))
+    found = cut(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    drop(pairs, held)
     least = found.groupBy("component").agg(F.min("node").alias("_least"))
     return found.join(least, "component").select("node", F.col("_least").alias("component"))

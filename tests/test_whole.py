@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from flowloom.operators import overlay, whole
+from flowloom.operators import components, overlay, whole
 from flowloom.operators.loading import tree_flow
 from flowloom.operators.paths import shortest_paths, trip_costs, weak_components
 
@@ -63,3 +63,17 @@ def test_a_component_of_several_parts_is_searched_whole(spark, monkeypatch):
     demand = spark.createDataFrame([(i, i % 3, int(t), 1.0) for i, t in enumerate(rng.integers(0, n, 60))], "trip_id long, source long, target long, volume double")
     flows = [sorted(map(tuple, tree_flow(links, demand, strategy=s)[0].collect())) for s in ("search", "relax")]
     assert flows[0] == flows[1]
+
+
+def test_strong_components_of_several_parts_take_no_levels(spark, monkeypatch):
+    """Networks side by side, each of over a part's links, beside a loop: none is cut into parts."""
+    monkeypatch.setattr(components, "_solved", lambda *_: pytest.fail("levels of parts"))
+    rng = np.random.default_rng(14)
+    n, m = 3000, overlay.PART_LINKS + 1
+    one = np.stack([rng.integers(0, n, m), rng.integers(0, n, m)], axis=1)
+    rows = np.concatenate([one, one + n, [[9 * n, 9 * n]]])
+    names, ends = np.unique(rows, return_inverse=True)
+    ends = ends.reshape(-1, 2)
+    expected = names[components.search(len(names), ends[:, 0], ends[:, 1])]
+    found = {r["node"]: r["component"] for r in components.strong_components(spark.createDataFrame(rows.tolist(), "u long, v long")).collect()}
+    assert found == dict(zip(names.tolist(), expected.tolist()))
