@@ -13,14 +13,15 @@ from .components import strong_components
 def dense_ids(df: DataFrame, id_col: str, *order: str) -> DataFrame:
     """``df`` with ids 0.. in the order of the given columns, without gathering rows in one task.
 
-    Rows are range-partitioned by the order, numbered within their partition and shifted
-    by the partitions before, of which only the counts meet.
+    Rows are range-partitioned by the order, numbered within their sorted partition as they are
+    written (an id in 33 bits below the partition's) and shifted by the partitions before, of
+    which only the counts meet.
     """
-    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_part", F.shiftright("_at", 33)).withColumn("_own", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = ranged.groupBy("_part").count()
     before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(id_col, (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_own", "_before")
+    return ranged.join(F.broadcast(before), "_part").withColumn(id_col, (F.col("_own") + F.col("_before")).cast("long")).drop("_at", "_part", "_own", "_before")
 
 
 class DiGraph:

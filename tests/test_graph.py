@@ -214,3 +214,13 @@ def test_nodes_close_together_get_smaller_cells(spark):
     held = [(r.node_id, r.x, r.y) for r in one.collect()]
     want = {i: min(((x - a) ** 2 + (y - b) ** 2, n) for n, a, b in held)[1] for i, x, y in points if x is not None}
     assert got == want
+
+
+def test_dense_ids_move_no_rows_twice(spark):
+    """Rows are numbered as they are written: no window over them, which a few tasks would sort again."""
+    frame = spark.createDataFrame([((i * 37) % 101, i % 7) for i in range(300)], "a long, b long")
+    found = graph.dense_ids(frame, "n", "a", "b")
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in text
+    got = [(r["n"], r["a"], r["b"]) for r in found.orderBy("n").collect()]
+    assert got == [(i, *x) for i, x in enumerate(sorted(((j * 37) % 101, j % 7) for j in range(300)))]
