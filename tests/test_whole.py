@@ -77,3 +77,21 @@ def test_strong_components_of_several_parts_take_no_levels(spark, monkeypatch):
     expected = names[components.search(len(names), ends[:, 0], ends[:, 1])]
     found = {r["node"]: r["component"] for r in components.strong_components(spark.createDataFrame(rows.tolist(), "u long, v long")).collect()}
     assert found == dict(zip(names.tolist(), expected.tolist()))
+
+
+@pytest.mark.parametrize("left", [0, 4])
+def test_what_is_left_over_is_broadcast_where_it_can_be(spark, left, monkeypatch):
+    """Labels of all sources and nodes in joins are what took the disk."""
+    monkeypatch.setattr(whole, "WHOLE_LINKS", 150)
+    monkeypatch.setattr(whole, "LEFT", left)
+    made, labels = [], overlay.overlay_labels
+    monkeypatch.setattr(overlay, "overlay_labels", lambda *a: made.append(1) or labels(*a))
+    rng = np.random.default_rng(15)
+    rows = [(i, int(u), int(v), float(c)) for i, (u, v, c) in enumerate(zip(rng.integers(0, 50, 200), rng.integers(0, 50, 200), rng.integers(1, 9, 200)))]
+    rows += [(200 + i, 100 + i, 101 + i, 1.0) for i in range(10)]
+    links = spark.createDataFrame(rows, "link_id long, u long, v long, cost double").persist()
+    pairs = [(int(s), int(t)) for s, t in rng.integers(0, 50, (60, 2))] + [(100, 105), (101, 7)]
+    demand = spark.createDataFrame([(i, s, t, 1.0 + i % 2) for i, (s, t) in enumerate(pairs)], "trip_id long, source long, target long, volume double").persist()
+    for run in (lambda s: shortest_paths(links, demand, strategy=s), lambda s: trip_costs(links, demand, strategy=s), lambda s: tree_flow(links, demand, strategy=s)[0]):
+        assert sorted(map(str, run("relax").collect())) == sorted(map(str, run("search").collect()))
+    assert bool(made) is (left == 0)
